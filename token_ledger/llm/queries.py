@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, pii, quality, runtime, secrets, url_filters, warc
+from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(spark, folder).drop("url")
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / lm_scoring.CHUNK_ROWS))
+    return lm_scoring.lm_scores(docs.select("doc_id", "text", place.alias("place")), chunk=F.col("place"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     ratio = quality.fit_log_ratio(docs, _table(spark, sf_dir, "labels"))
@@ -45,6 +51,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.temporal_url_filter(url_captures(spark, sf_dir), url_list_entries(spark, sf_dir))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -117,7 +127,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_quality_rules, op4_url_filter, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
