@@ -11,8 +11,8 @@ pieces share is spread) and looks each number up in the plan.
 
 from __future__ import annotations
 
+import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from .runtime import staged
 
 CAPACITY = 2048
 END_ID = 0
 #: Most words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 700_000
+_TAIL = b".,!?;:%$&#*"
+#: Bytes of text that are looked up at once.
+SLICE_BYTES = 1 << 22
 SALTS = 64
-_TAIL = re.compile(rb"[.,!?;:%$&#*]+\Z")
 
 
 class SegmentTree:
@@ -103,13 +106,18 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
     return np.array(runs, dtype=np.int64).reshape(-1, 6)
 
 
-def _base(word: bytes) -> bytes:
-    """The word without its tail of signs; whole unless a letter or an ASCII digit stands before the tail."""
-    base = _TAIL.sub(b"", word)
-    if len(base) == len(word) or not base:
-        return word
-    last = base.decode()[-1].lower()
-    return base if last.isalpha() or "0" <= last <= "9" else word  # lower case as the tokenizer makes it
+def _parts(word: bytes) -> tuple[bytes, bytes]:
+    """The word, in lower case if that is the tokenizer's own, and its tail of signs; no tail unless a letter or an ASCII digit stands before it."""
+    base = word.rstrip(_TAIL)
+    if base.isascii():
+        if not base[-1:].isalnum():
+            base = word
+        return base.lower(), word[len(base) :]
+    if len(base) < len(word):
+        last = base.decode()[-1].lower()  # as the tokenizer makes it
+        if not (last.isalpha() or "0" <= last <= "9"):
+            return word, b""
+    return base, word[len(base) :]
 
 
 class WordEncoder:
@@ -125,34 +133,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[bytes, bytes] = {}
+        self.memory: dict[int, bytes] = {}  # ids of a word as it stands, by its 64-bit hash
+        self.bases: dict[bytes, bytes] = {b"": b""}  # ids of words without tails, and of tails
 
     def _learn(self, words: list[bytes]) -> None:
-        memory = self.memory
-        for at in range(0, len(words), 200):
-            part = words[at : at + 200]
-            texts = [w.decode() for w in part]
-            code = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
-            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            cut = np.searchsorted(np.array([o[0] for o in code.offsets], dtype=np.int64), begins)
+        bases = self.bases
+        for at in range(0, len(words), 50):
+            part = words[at : at + 50]
+            texts = b"\n".join(part).decode()
+            code = self.tokenizer.encode(texts, add_special_tokens=False)
+            begins = [0, *itertools.accumulate(len(t) + 1 for t in texts.split("\n"))]
+            cut = np.searchsorted(np.array([o[0] for o in code.offsets], dtype=np.int64), begins).tolist()
             raw = np.array(code.ids, dtype="<u4").tobytes()
-            for k, word in enumerate(part):
-                memory[word] = raw[4 * cut[k] : 4 * cut[k + 1]]
+            for word, lo, hi in zip(part, cut, cut[1:], strict=False):
+                bases[word] = raw[4 * lo : 4 * hi]
 
-    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
-        """The texts' ids as little-endian unsigned 32-bit integers."""
+    def _codes(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of all words of a slice in a row."""
         if len(self.memory) > MEMORY:
-            self.memory.clear()
-        memory, split = self.memory, [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in memory}
-        cut = {w: _base(w) for w in new}
-        bases = {b.lower() if b.isascii() else b: None for b in cut.values()}
-        tails = {w[len(b) :]: None for w, b in cut.items()}
-        self._learn([w for w in [*bases, *tails] if w and w not in memory])
-        memory.setdefault(b"", b"")
-        for w, b in cut.items():
-            memory[w] = memory[b.lower() if b.isascii() else b] + memory[w[len(b) :]]
-        return [b"".join(map(memory.__getitem__, words)) for words in split]
+            self.memory = {}
+        if len(self.bases) > MEMORY:
+            self.bases = {b"": b""}
+        keys, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
+        listed = keys.tolist()
+        new = [i for i, k in enumerate(listed) if k not in self.memory]
+        if new:
+            raw = words.data.tobytes()
+            cut = [_parts(raw[s:e]) for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
+            bases = self.bases
+            self._learn([w for w in {part for pair in cut for part in pair} if w not in bases])
+            self.memory.update(zip([listed[i] for i in new], [bases[b] + bases[t] for b, t in cut], strict=True))
+        codes = list(map(self.memory.__getitem__, listed))
+        sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        table, begins = np.frombuffer(b"".join(codes), dtype="<u4"), np.cumsum(sizes) - sizes
+        own = sizes[place]
+        ends = np.cumsum(own)
+        ids = table[np.repeat(begins[place] - (ends - own), own) + np.arange(own.sum())]
+        return ids, np.concatenate(([0], ends))
+
+    def encode_column(self, column: pa.Array) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        for _, _, words in K.batch_words(column, most=SLICE_BYTES):
+            ids, ends = self._codes(words)
+            for lo, hi in itertools.pairwise(ends[words.bounds].tolist()):
+                yield ids[lo:hi].tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -169,19 +193,16 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
         encoder, tail = _encoders[tokenizer_path], np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
-                codes = encoder.encode_batch([t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()])
-                rows, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(codes):
-                    ids += tail
-                    for n, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        own = ids[at : at + 4 * capacity]
-                        rows.append(k), piece.append(n), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    ["id", "piece", "start", "length", "ids_crc32"],
-                )
+            rows, piece, start, length, crc = [], [], [], [], []
+            for k, ids in enumerate(encoder.encode_column(batch.column(1))):
+                ids += tail
+                for n, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    own = ids[at : at + 4 * capacity]
+                    rows.append(k), piece.append(n), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                ["id", "piece", "start", "length", "ids_crc32"],
+            )
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
