@@ -1,0 +1,59 @@
+"""The corpus pipeline, stage by stage, against what each stage promises."""
+
+from __future__ import annotations
+
+import corpus_pipeline as pipeline
+from token_ledger.llm import quality, secrets
+
+from ..oracle import SF
+
+
+def _sets(rows):
+    out = {}
+    for i, t in rows.items():
+        w = t.encode().split()
+        out[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    return out
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = {"documents": {r["doc_id"]: r["text"] for r in docs.collect()}}
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "best_fit_packing":
+            seen[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    ratio = quality.fit_log_ratio(start, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert set(seen["quality_rules"]) == {r["doc_id"] for r in quality.quality_rules(start, ratio).filter("kept").collect()}
+
+    last = {}
+    for i, t in seen["quality_rules"].items():
+        last[t] = max(i, last.get(t, i))
+    assert set(seen["exact_dedup"]) == set(last.values())
+
+    sets = _sets(seen["exact_dedup"])
+    low = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = {k: x if v == y else v for k, v in low.items()}
+    assert set(seen["ngram_jaccard_join"]) == set(low.values())
+
+    assert set(seen["secret_scans"]) == set(seen["ngram_jaccard_join"])
+    for i, t in seen["secret_scans"].items():
+        base, added = secrets.scan_text(seen["ngram_jaccard_join"][i], None)
+        assert (t == seen["ngram_jaccard_join"][i]) or base or added
+        assert not secrets.scan_text(t, None)[0]
+    assert {r["doc_id"] for r in docs.collect()} == set(seen["secret_scans"])
+
+
+def test_run_on_no_rows(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0

@@ -43,14 +43,15 @@ def _spans(text: Column, kind: str, pattern: str, hint: Column, keep) -> Column:
 
 def _placed(gaps: Column, bodies: Column) -> Column:
     """(gap, body, start, end) of each body, which stands behind its gap."""
-    start = F.expr("cast(struct(0 as at, array() as out) as struct<at:int,out:array<struct<gap:string,body:string,start:int,`end`:int>>>)")
+    both = F.arrays_zip(gaps.alias("gap"), bodies.alias("body"))
+    # Running sums as plain numbers: nothing wider is copied from step to step.
+    sums = F.aggregate(F.transform(both, lambda x: F.length(x["gap"]) + F.length(x["body"])), F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.length(x["gap"])
-        e = s + F.length(x["body"])
-        return F.struct(e.alias("at"), F.array_append(acc["out"], F.struct(x["gap"].alias("gap"), x["body"].alias("body"), s.alias("start"), e.alias("end"))).alias("out"))
+    def place(x: Column) -> Column:
+        start = x["at"] + F.length(x["gap"])
+        return F.struct(x["gap"].alias("gap"), x["body"].alias("body"), start.alias("start"), (start + F.length(x["body"])).alias("end"))
 
-    return F.aggregate(F.arrays_zip(gaps.alias("gap"), bodies.alias("body")), start, step, lambda acc: acc["out"])
+    return F.transform(F.arrays_zip(gaps.alias("gap"), bodies.alias("body"), F.slice(sums, F.lit(1), F.size(bodies)).alias("at")), place)
 
 
 def _digits(c: Column) -> Column:

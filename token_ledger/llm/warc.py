@@ -14,6 +14,7 @@ import hashlib
 import itertools
 import os
 import struct
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -86,22 +87,19 @@ class ArchiveWriter:
 
     def write_all(self, records: Iterator[bytes], archive_bytes: int) -> Iterator[tuple[str, int, int]]:
         """Yields (archive, records, bytes) of every finished archive."""
+        waiting: deque[bytes] = deque()  # records that a dictionary was trained on and no archive holds yet
         while True:
-            sample, size = [], 0
-            for r in records:
-                sample.append(r)
+            size = sum(map(len, waiting))
+            while size < SAMPLE_BYTES and (r := next(records, None)) is not None:
+                waiting.append(r)
                 size += len(r)
-                if size >= SAMPLE_BYTES:
-                    break
-            if not sample:
+            if not waiting:
                 return
-            self._open(sample)
-            for r in itertools.chain(sample, records):
+            self._open(list(waiting))
+            while self.size < archive_bytes and (r := waiting.popleft() if waiting else next(records, None)) is not None:
                 frame = self.compressor.compress(r)
                 self.out.write(frame)
                 self.size, self.records = self.size + len(frame), self.records + 1
-                if self.size >= archive_bytes:
-                    break
             yield self._close()
 
     def _close(self) -> tuple[str, int, int]:
