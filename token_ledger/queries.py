@@ -523,10 +523,10 @@ def q_source_precedence(spark, d):
     return T.source_precedence(spark.sql(f"SELECT {_PREC} FROM {{e}}", e=_table(spark, d, "events"))).select("event_id", "kind_rank")
 
 
-@query("SELECT o_orderkey, coalesce(c, 0) AS cache_create, coalesce(r, 0) AS cache_read FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey % 1000) AS c, arg_max(l_suppkey, l_linenumber * 1000000 + l_partkey % 1000) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey", base=False)
+@query("SELECT o_orderkey, coalesce(c, 0) AS cache_create, coalesce(r, 0) AS cache_read FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS c, arg_max(l_suppkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey", base=False)
 def q_ledger_cache_join(spark, d):
     ledger = _table(spark, d, "orders").select(F.lit("f").alias("file_path"), F.col("o_orderkey").alias("message_id"))
-    messages = _table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("f").alias("file_path"), F.col("l_orderkey").alias("message_id"), F.expr("l_linenumber * 1000000 + l_partkey % 1000").alias("position"), F.col("l_partkey").alias("cache_create"), F.col("l_suppkey").alias("cache_read"))
+    messages = _table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("f").alias("file_path"), F.col("l_orderkey").alias("message_id"), F.expr("CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("position"), F.col("l_partkey").alias("cache_create"), F.col("l_suppkey").alias("cache_read"))
     return L.ledger_cache_join(ledger, messages).select(F.col("message_id").alias("o_orderkey"), "cache_create", "cache_read")
 
 
