@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit as K
 from .components import connected_components
-from .runtime import staged
+from .runtime import small_batches, staged
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -29,7 +29,7 @@ TREES = 36
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
 #: Representatives in a block; a larger component is verified block against block.
-BLOCK = 1000
+BLOCK = 250
 SALTS = 48
 
 _SEED = 20240612
@@ -102,6 +102,7 @@ def _sketch(trees: int, depth: int, k: int):
                     [*(batch.column(c).slice(first, n) for c in range(3)), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(labels)))],
                     ["id", "row_key", "salt", "size", "key", "key2", "labels"],
                 )
+        K.release_memory()
 
     return run
 
@@ -120,6 +121,7 @@ def _sets_of(k: int):
                         keep.append(first + i), sets.append(s.tobytes())
                 take = pa.array(keep, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).take(take) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
+        K.release_memory()
 
     return run
 
@@ -202,6 +204,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingle, so they link to equal ones only. Rows that repeat an id are separate rows. Other
     columns are not read. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     depth = forest_depth(threshold, trees, max_depth, target_recall)
     id_type = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))

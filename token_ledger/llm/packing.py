@@ -22,15 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .runtime import staged
+from .runtime import small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
 #: Most words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 700_000
+MEMORY = 600_000
+#: Most words without tails that it remembers besides.
+BASES = 150_000
 _TAIL = b".,!?;:%$&#*"
 #: Bytes of text that are looked up at once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 20
 SALTS = 64
 
 
@@ -133,8 +135,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memory: dict[int, bytes] = {}  # ids of a word as it stands, by its 64-bit hash
         self.bases: dict[bytes, bytes] = {b"": b""}  # ids of words without tails, and of tails
+        self._forget()
+
+    def _forget(self) -> None:
+        """Empties the memory: sorted word hashes, and where each word's ids begin and how many there are."""
+        self.keys, self.begins, self.sizes, self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _learn(self, words: list[bytes]) -> None:
         bases = self.bases
@@ -150,25 +156,28 @@ class WordEncoder:
 
     def _codes(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all words of a slice in a row."""
-        if len(self.memory) > MEMORY:
-            self.memory = {}
-        if len(self.bases) > MEMORY:
+        if self.keys.size > MEMORY:
+            self._forget()
+        if len(self.bases) > BASES:
             self.bases = {b"": b""}
         keys, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        new = [i for i, k in enumerate(listed) if k not in self.memory]
-        if new:
-            raw = words.data.tobytes()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, self.keys.size - 1))
+        new = np.flatnonzero(self.keys[at] != keys) if self.keys.size else np.arange(keys.size)
+        if new.size:
+            raw, bases = words.data.tobytes(), self.bases
             cut = [_parts(raw[s:e]) for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
-            bases = self.bases
             self._learn([w for w in {part for pair in cut for part in pair} if w not in bases])
-            self.memory.update(zip([listed[i] for i in new], [bases[b] + bases[t] for b, t in cut], strict=True))
-        codes = list(map(self.memory.__getitem__, listed))
-        sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
-        table, begins = np.frombuffer(b"".join(codes), dtype="<u4"), np.cumsum(sizes) - sizes
-        own = sizes[place]
+            codes = [bases[b] + bases[t] for b, t in cut]
+            sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+            self.begins = np.concatenate((self.begins, self.table.size + np.cumsum(sizes) - sizes))
+            self.sizes, self.table = np.concatenate((self.sizes, sizes)), np.concatenate((self.table, np.frombuffer(b"".join(codes), dtype="<u4")))
+            self.keys = np.concatenate((self.keys, keys[new]))
+            order = np.argsort(self.keys, kind="stable")
+            self.keys, self.begins, self.sizes = self.keys[order], self.begins[order], self.sizes[order]
+            at = np.searchsorted(self.keys, keys)
+        own = self.sizes[at][place]
         ends = np.cumsum(own)
-        ids = table[np.repeat(begins[place] - (ends - own), own) + np.arange(own.sum())]
+        ids = self.table[np.repeat(self.begins[at][place] - (ends - own), own) + np.arange(own.sum())]
         return ids, np.concatenate(([0], ends))
 
     def encode_column(self, column: pa.Array) -> Iterator[bytes]:
@@ -188,6 +197,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     A null or empty text is one piece that holds the end id only.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = WordEncoder(tokenizer_path)
@@ -203,6 +214,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        K.release_memory()
 
     kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .runtime import small_batches
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -89,6 +90,7 @@ def _count_buckets(buckets: int):
                 doc, bucket = _grams(words, buckets)
                 raw += np.bincount(bucket, minlength=buckets)
                 target += np.bincount(bucket[trusted[first:end][doc]], minlength=buckets)
+        K.release_memory()
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
@@ -105,6 +107,7 @@ def fit_log_ratio(
     are 0.
     """
     spark = df.sparkSession
+    small_batches(spark)
     ids = [r[0] for r in labels.filter(good).filter(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(target_ids).collect()]
     key = df.schema[id_col].dataType
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("_target_id", key)])))
@@ -146,6 +149,7 @@ def quality_rules(df: DataFrame, log_ratio: np.ndarray, id_col: str = "doc_id",
     row's text only, so ties and repeated rows get equal verdicts. Other columns of ``df``
     are not read. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(log_ratio)  # fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,6 +159,7 @@ def quality_rules(df: DataFrame, log_ratio: np.ndarray, id_col: str = "doc_id",
                 f, mean, kept = _verdicts(words, ratio, threshold)
                 values = [*f.values(), _base_failed(f), mean, kept]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), *(pa.array(v if v.dtype != np.int64 else v.astype(np.int64)) for v in values)], ["id", *(x.split()[0] for x in OUT.split(", "))])
+        K.release_memory()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(score, f"id {kind}, {OUT}").withColumnRenamed("id", id_col)
@@ -165,6 +170,7 @@ def keep_good(df: DataFrame, log_ratio: np.ndarray, text_col: str = "text", thre
 
     Rows of null or empty text go (they have fewer words than the base rules ask for).
     """
+    small_batches(df.sparkSession)
     model = df.sparkSession.sparkContext.broadcast(log_ratio)  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,5 +179,6 @@ def keep_good(df: DataFrame, log_ratio: np.ndarray, text_col: str = "text", thre
             for first, end, words in K.batch_words(column):
                 _, _, kept = _verdicts(words, model.value, threshold)
                 yield batch.slice(first, end - first).filter(pa.array(kept))
+        K.release_memory()
 
     return df.mapInArrow(run, df.schema)

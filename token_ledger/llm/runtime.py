@@ -35,3 +35,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bytes of rows that Spark hands to a Python task at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the rows that Python tasks get at once by bytes, so that very long texts do not add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    scale = {"b": 0, "k": 10, "m": 20, "g": 30}
+    size = int(now) if now.lstrip("-").isdigit() else int(now[:-1]) << scale[now[-1].lower()]
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))

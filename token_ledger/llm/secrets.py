@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
+from .textkit import release_memory
+
 #: Fixed patterns of the base scan, in the order of their kinds.
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -119,6 +122,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     no spans. Rows are independent of each other; other columns are not read; an empty table
     gives an empty result.
     """
+    small_batches(df.sparkSession)
     allowed = "|".join(f"(?:{p})" for p in allow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +139,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     every = sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2])))
                     rows.append((*n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(added), *([redact(text, every)] if with_redacted else [])))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(list(c)) for c in zip(*rows, strict=True))], ["id", *names])
+        release_memory()
 
     kind = df.schema[id_col].dataType.simpleString()
     schema = OUT if with_redacted else OUT.rpartition(", ")[0]
@@ -146,6 +151,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None
 
     Only texts with a secret change; ``length_col``, if given, follows them. A null stays null.
     """
+    small_batches(df.sparkSession)
     allowed = "|".join(f"(?:{p})" for p in allow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,5 +169,6 @@ def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None
                     new = [len(m) if m is not None and m != t else old for t, m, old in zip(texts, masked, part.column(n).to_pylist(), strict=True)]
                     columns[n] = pa.array(new, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+        release_memory()
 
     return df.mapInArrow(run, df.schema)

@@ -163,3 +163,14 @@ def sum_by(bounds: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sums of ``values[bounds[i]:bounds[i + 1]]``."""
     total = np.concatenate(([0], np.cumsum(values)))
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def release_memory() -> None:
+    """Gives free memory back to the system at a task's end; the Python worker lives on."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
