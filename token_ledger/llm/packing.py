@@ -27,12 +27,12 @@ from .runtime import small_batches, staged
 CAPACITY = 2048
 END_ID = 0
 #: Most words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 600_000
+MEMORY = 2_000_000
 #: Most words without tails that it remembers besides.
-BASES = 150_000
+BASES = 400_000
 _TAIL = b".,!?;:%$&#*"
 #: Bytes of text that are looked up at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 21
 SALTS = 64
 
 
