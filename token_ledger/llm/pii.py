@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction, in DataFrame operations only.
 
-The fixed patterns give seed entities. The words before a seed are a lexical pattern of its
-kind; other tokens with digits or an at sign that stand behind the same words are candidate
-instances. A graph of patterns and instances is scored in rounds: an instance's confidence
+The fixed patterns give seed entities, each its whole text. The two words before a seed
+are a lexical pattern of its kind; a line break is a word,
+digits are one class. Other tokens with digits or an at sign, and groups of digits with blanks
+between, that stand in the same places are candidate instances. A graph of patterns and instances is scored in rounds: an instance's confidence
 comes from the patterns that extract it, a pattern's from the instances it extracts. What
 patterns above a fixed confidence extract, and no fixed pattern has found, is personal data
 of the pattern's kind.
@@ -24,9 +25,16 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
-#: A token that may be an identifier, from a word's start.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: A group of digits, and two or more of them with single blanks between, up to a word's end.
+_GROUP = r"[+(]*+[0-9]{1,8}+(?:[()-]++[0-9]{1,8}+)*+\)?+"
+_GROUPS = rf"[^\s\p{{L}}\p{{N}}@+(]*+{_GROUP}(?:[ ]{_GROUP}(?=[^\s\p{{L}}\p{{N}}@]*+(?!\S)))++\S*+"
+#: What may be an identifier, from a word's start: groups of digits, or a token.
+CANDIDATE = rf"(?<!\S)(?:{_GROUPS}|[^\s0-9@]*+[0-9@]\S*+)"
+#: Code points that a text is cut into, to read the words around a span without a pass over the text.
+CHUNK = 256
 CONTEXT_WORDS = 2
+#: What the pattern of all context words begins with.
+WIDE = "2 "
 ROUNDS = 3
 #: A pattern needs so many different seeds, and this share of confidence among its instances.
 MIN_SEEDS = 3
@@ -34,11 +42,11 @@ MIN_CONFIDENCE = 0.8
 
 
 def _spans(text: Column, kind: str, pattern: str, hint: Column, keep) -> Column:
-    """Array of (kind, start, end) of a pattern's matches, in code points; ``keep``: matched text -> condition."""
+    """Array of (kind, start, end, body) of a pattern's matches, in code points; ``keep``: matched text -> condition."""
     found = F.when(hint, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
     placed = _placed(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found)
-    return F.transform(F.filter(placed, lambda s: keep(s["body"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(F.filter(placed, lambda s: keep(s["body"])), lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["body"].alias("body")))
 
 
 def _placed(gaps: Column, bodies: Column) -> Column:
@@ -71,7 +79,7 @@ def luhn(digits: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Array of (kind, start, end) of the fixed patterns, by kind and then start."""
+    """Array of (kind, start, end, body) of the fixed patterns, by kind and then start."""
 
     def card(m: Column) -> Column:
         d = _digits(m)
@@ -87,22 +95,50 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (context, body, start, end) of tokens with a digit or an at sign."""
+    """Array of (body, start, end) of tokens with a digit or an at sign, and of blank-separated groups of digits."""
     found = F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.when(F.size(found) > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array().cast("array<string>"))
-    words = rf"(\S+(?:[ ]+\S+){{{CONTEXT_WORDS - 1}}})[ ]+$"
-    return F.transform(
-        F.transform(_placed(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found), lambda s: F.struct(F.lower(F.regexp_extract(F.substring(s["gap"], -200, 200), words, 1)).alias("context"), s["body"].alias("body"), s["start"].alias("start"))),
-        _trimmed,
-    )
+    return F.transform(_placed(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found), _trimmed)
 
 
 def _trimmed(s: Column) -> Column:
     """The candidate without signs around it."""
-    lead = F.length(s["body"]) - F.length(F.regexp_replace(s["body"], r"^[^\p{L}\p{N}+]+", ""))
-    body = F.regexp_replace(F.regexp_replace(s["body"], r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]+$", "")
-    start = s["start"] + lead
-    return F.struct(s["context"].alias("context"), body.alias("body"), start.alias("start"), (start + F.length(body)).alias("end"))
+    tail = F.regexp_replace(s["body"], r"^(?:(?!\([0-9]+\))[^\p{L}\p{N}+])+", "")
+    body = F.regexp_replace(tail, r"[^\p{L}\p{N}]+$", "")
+    start = s["start"] + F.length(s["body"]) - F.length(tail)
+    return F.struct(body.alias("body"), start.alias("start"), (start + F.length(body)).alias("end"))
+
+
+def _around(chunks: Column, s: Column) -> Column:
+    """(body, start, end, kind, before, after): the span with the text around it, a line break where the text begins or ends."""
+
+    def chunk(k: Column) -> Column:
+        return F.coalesce(F.get(chunks, k), F.lit(""))
+
+    first, last = F.floor(s["start"] / CHUNK).cast("int"), F.floor(s["end"] / CHUNK).cast("int")
+    before = F.concat(F.when(first <= 1, "\n").otherwise(""), chunk(first - 1), F.substring(chunk(first), F.lit(1), s["start"] % CHUNK))
+    after = F.concat(F.substring(chunk(last), s["end"] % CHUNK + 1, F.lit(CHUNK)), chunk(last + 1), F.when(last + 2 >= F.size(chunks), "\n").otherwise(""))
+    return F.struct(*(s[c].alias(c) for c in ("body", "start", "end", "kind")), _shape(before).alias("before"), _shape(after).alias("after"))
+
+
+def _shape(text: Column) -> Column:
+    """Lower case, digits as one class."""
+    return F.regexp_replace(F.lower(text), "[0-9]+", "0")
+
+
+def _worded(s: Column) -> Column:
+    """(body, start, end, kind, words, behind): the words before the span, nearest last, and the word behind; a line break is a word."""
+    words = F.filter(F.split(F.regexp_replace(s["before"], r"[\n\r]\s*+", " \n "), r"[^\S\n]+"), lambda w: w != "")
+    behind = F.regexp_extract(s["after"], r"^[^\S\n]*+[^\s\p{L}\p{N}]*+[^\S\n]*+(\S+|\n)", 1)
+    near = F.slice(words, F.greatest(F.size(words) - (CONTEXT_WORDS - 1), F.lit(1)), F.lit(CONTEXT_WORDS))
+    return F.struct(*(s[c].alias(c) for c in ("body", "start", "end", "kind")), near.alias("words"), behind.alias("behind"))
+
+
+def _patterned(s: Column) -> Column:
+    """(body, start, end, kind, wide, contexts): patterns of the words before."""
+    wide = F.array_join(s["words"], " ")
+    contexts = F.array(F.concat(F.lit(WIDE), wide))
+    return F.struct(*(s[c].alias(c) for c in ("body", "start", "end", "kind")), wide.alias("wide"), F.filter(contexts, lambda c: F.length(c) > 2).alias("contexts"))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -115,13 +151,17 @@ def joined(spans: Column) -> Column:
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, name: str = "pii-patterns") -> DataFrame:
-    """``context, kind, confidence`` from distinct ``context, body, kind`` (kind null: no seed).
+    """``context, kind, confidence`` from distinct ``context, wide, body, kind`` (kind null: no seed).
 
+    A pattern needs ``min_seeds`` different seeds. One that is not of all context words
+    (``wide``) needs so many different ``wide`` among its seeds as well: behind one phrase only,
+    a single word says no more than the phrase.
     A seed has confidence 1 for its own kind and 0 for others. In each round a pattern's
     confidence is its instances' mean, with one doubtful instance added, and an instance that
     is no seed has ``1 - product(1 - pattern confidence)``, as of the round before.
     """
-    seeds = edges.filter("kind IS NOT NULL").groupBy("context", "kind").agg(F.countDistinct("body").alias("seeds")).filter(F.col("seeds") >= min_seeds)
+    seeds = edges.filter("kind IS NOT NULL").groupBy("context", "kind").agg(F.countDistinct("body").alias("seeds"), F.countDistinct("wide").alias("phrases"))
+    seeds = seeds.filter((F.col("seeds") >= min_seeds) & (F.startswith("context", F.lit(WIDE)) | (F.col("phrases") >= min_seeds)))
     # (pattern, instance) pairs; a pattern is a context with the kind of enough seeds
     pairs = edges.groupBy("context", "body").agg(F.max("kind").alias("seed_kind"), F.count_distinct("kind").alias("kinds")).join(seeds, "context")
     pairs = staged(pairs.select("context", "kind", "body", F.when(F.col("kinds") == 0, None).otherwise((F.col("seed_kind") == F.col("kind")) & (F.col("kinds") == 1)).cast("double").alias("fixed")), name)
@@ -144,20 +184,23 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     documents without candidates take no part in the graph only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), text.alias("body")).select("id", F.xxhash64("body").alias("text_key"), base_spans(F.col("body")).alias("base"), candidates(F.col("body")).alias("cands"))
-    rows = staged(rows, "pii-spans")  # spans and candidates only, no texts
-
-    def kind_of(c: Column, base: Column) -> Column:
-        return F.element_at(F.concat(F.transform(F.filter(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])), lambda b: b["kind"]), F.array(F.lit(None).cast("string"))), 1)
-
-    tokens = rows.filter(F.size("cands") > 0).select(
-        "id", "text_key", F.explode(F.transform("cands", lambda c: F.struct(c["context"].alias("context"), c["body"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), kind_of(c, F.col("base")).alias("kind")))).alias("c")
-    ).select("id", "text_key", "c.*").filter("context != '' AND `end` > start")
-    edges = tokens.select("context", F.col("token").alias("body"), "kind").distinct()
-    good = score_patterns(edges, rounds, min_seeds).filter(F.col("confidence") >= min_confidence)
-    best = good.groupBy("context").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("found_kind"))
-    extra = tokens.filter("kind IS NULL AND token rlike '[0-9]'").join(best, "context").groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct(F.col("found_kind").alias("kind"), "start", "end"))).alias("extra"))
-    out = rows.drop("cands").join(extra.withColumnsRenamed({"id": "x_id", "text_key": "x_key"}), F.col("id").eqNullSafe(F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left")
+    rows = df.select(F.col(id_col).alias("id"), text.alias("body")).select("id", "body", base_spans(F.col("body")).alias("base"), candidates(F.col("body")).alias("cands"))
+    rows = rows.select("*", F.when(F.size("base") + F.size("cands") > 0, F.regexp_extract_all("body", F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))).alias("chunks"))
+    other = F.filter("cands", lambda c: (c["end"] > c["start"]) & ~F.exists("base", lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"])))
+    seeds = F.transform("base", lambda b: F.struct(b["body"], b["start"], b["end"], b["kind"]))
+    spans = F.concat(seeds, F.transform(other, lambda c: F.struct(c["body"], c["start"], c["end"], F.lit(None).cast("string").alias("kind"))))
+    for step in (lambda s: _around(F.col("chunks"), s), _worded, _patterned):
+        spans = F.transform(spans, step)
+    base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end")))
+    rows = staged(rows.select("id", F.xxhash64("body").alias("text_key"), base.alias("base"), spans.alias("spans")), "pii-spans")  # spans and words around them only, no texts
+
+    tokens = rows.filter(F.size("spans") > 0).select("id", "text_key", F.explode("spans").alias("c")).select("id", "text_key", "c.*").withColumn("context", F.explode("contexts")).drop("contexts")
+    good = score_patterns(tokens.select("context", "wide", "body", "kind").distinct(), rounds, min_seeds).filter(F.col("confidence") >= min_confidence)
+    good = good.withColumnRenamed("kind", "found_kind")
+    extra = tokens.filter("kind IS NULL").join(good, "context").filter("body rlike '[0-9]'")
+    extra = extra.groupBy("id", "text_key", "start", "end").agg(F.max_by("found_kind", F.struct("confidence", "found_kind")).alias("kind"))
+    extra = extra.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
+    out = rows.drop("spans").join(extra.withColumnsRenamed({"id": "x_id", "text_key": "x_key"}), F.col("id").eqNullSafe(F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left")
     found = F.coalesce("extra", F.array().cast(rows.schema["base"].dataType))
     every = F.concat(*(F.array_sort(_of_kind(F.concat("base", found), k)) for k in KINDS))
     counts = [F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
