@@ -28,3 +28,22 @@ def test_pii_counts_whole_seeds_and_spans_whole_numbers(spark):
     seeds += [f"he paid by card {c} twice" for c in cards]
     more = ["please call the desk phone 030 123 4567 today", "please call the desk phone (030) 123-4567, today", "he paid by card 12 3456 789 twice", "the year 030 123 4567 today"]
     assert _found(spark, seeds, more) == [[("phone", "030 123 4567")], [("phone", "(030) 123-4567")], [("card", "12 3456 789")], []]
+
+
+def test_pii_takes_one_word_line_starts_tabs_digits_and_the_word_behind(spark):
+    starts = ["we saw", "they know", "all of", "nobody likes", "some have", "my own"]
+    ends = ["once", "and", "today", "but", "never", "again"]
+    rest = list(zip(starts, PHONES, ends, strict=True))
+    label = [f"{s} tel: {p} {e}" for s, p, e in rest]
+    line = [f"{s}\nMobile: {p} {e}" for s, p, e in rest]
+    digits = [f"{s} id {k} line {p} {e}" for k, (s, p, e) in enumerate(rest)]
+    tabs = [f"{s} phone\tno\t{p} {e}" for s, p, e in rest]
+    behind = [f"{s} {p} (dial" for s, p, _ in rest]
+    for seeds, more in (
+        (label, ["quite other tel: 030 123 4567 there", "quite other word 030 123 4567 there"]),
+        (line, ["Mobile: 030 123 4567 there", "another 030 123 4567 there"]),
+        (digits, ["see id 77 line 030 123 4567 there", "see no 030 123 4567 there"]),
+        (tabs, ["his phone\tno\t030 123 4567\tthere", "his\t030 123 4567\tthere"]),
+        (behind, ["quite other 030 123 4567 (dial it", "quite other 030 123 4567 there"]),
+    ):
+        assert _found(spark, seeds, more) == [[("phone", "030 123 4567")], []], seeds[0]

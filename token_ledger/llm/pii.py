@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction, in DataFrame operations only.
 
-The fixed patterns give seed entities, each its whole text. The two words before a seed
-are a lexical pattern of its kind; a line break is a word,
+The fixed patterns give seed entities, each its whole text. The two words before a seed, the
+word before it and the word behind it are lexical patterns of its kind; a line break is a word,
 digits are one class. Other tokens with digits or an at sign, and groups of digits with blanks
 between, that stand in the same places are candidate instances. A graph of patterns and instances is scored in rounds: an instance's confidence
 comes from the patterns that extract it, a pattern's from the instances it extracts. What
@@ -135,9 +135,10 @@ def _worded(s: Column) -> Column:
 
 
 def _patterned(s: Column) -> Column:
-    """(body, start, end, kind, wide, contexts): patterns of the words before."""
+    """(body, start, end, kind, wide, contexts): patterns of the words before, of the last of them alone, and of the word behind."""
     wide = F.array_join(s["words"], " ")
-    contexts = F.array(F.concat(F.lit(WIDE), wide))
+    last = F.element_at(F.concat(F.array(F.lit("")), s["words"]), -1)
+    contexts = F.array(F.concat(F.lit(WIDE), wide), F.concat(F.lit("1 "), last), F.concat(F.lit("> "), s["behind"]))
     return F.struct(*(s[c].alias(c) for c in ("body", "start", "end", "kind")), wide.alias("wide"), F.filter(contexts, lambda c: F.length(c) > 2).alias("contexts"))
 
 
