@@ -47,3 +47,10 @@ def test_pii_takes_one_word_line_starts_tabs_digits_and_the_word_behind(spark):
         (behind, ["quite other 030 123 4567 (dial it", "quite other 030 123 4567 there"]),
     ):
         assert _found(spark, seeds, more) == [[("phone", "030 123 4567")], []], seeds[0]
+
+
+def test_pii_finds_addresses_without_digits(spark):
+    seeds = [f"please write to {name}@example.org soon" for name in ("ann", "bob", "cid", "dee", "eve", "fay", "gil", "hal")]
+    seeds += [f"or dial from desk {p} soon" for p in PHONES]
+    more = ["please write to jane@localhost soon", "please write to anna@intranet.", "or dial from desk jane@localhost soon"]
+    assert _found(spark, seeds, more) == [[("email", "jane@localhost")], [("email", "anna@intranet")], []]

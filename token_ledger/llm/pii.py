@@ -181,6 +181,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
 
     Spans are ``kind:start:end`` in code points, end exclusive, by kind and then start. A
     null text is an empty one, with no spans. Rows that repeat id and text get equal results.
+    What context finds has a digit, or is of an email pattern.
     Other columns are not read. An empty table gives an empty result. No row is dropped:
     documents without candidates take no part in the graph only.
     """
@@ -198,7 +199,7 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     tokens = rows.filter(F.size("spans") > 0).select("id", "text_key", F.explode("spans").alias("c")).select("id", "text_key", "c.*").withColumn("context", F.explode("contexts")).drop("contexts")
     good = score_patterns(tokens.select("context", "wide", "body", "kind").distinct(), rounds, min_seeds).filter(F.col("confidence") >= min_confidence)
     good = good.withColumnRenamed("kind", "found_kind")
-    extra = tokens.filter("kind IS NULL").join(good, "context").filter("body rlike '[0-9]'")
+    extra = tokens.filter("kind IS NULL").join(good, "context").filter("found_kind = 'email' OR body rlike '[0-9]'")
     extra = extra.groupBy("id", "text_key", "start", "end").agg(F.max_by("found_kind", F.struct("confidence", "found_kind")).alias("kind"))
     extra = extra.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("extra"))
     out = rows.drop("spans").join(extra.withColumnsRenamed({"id": "x_id", "text_key": "x_key"}), F.col("id").eqNullSafe(F.col("x_id")) & (F.col("text_key") == F.col("x_key")), "left")
