@@ -1,6 +1,7 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy of candidate strings.
 
-Candidate strings are runs of one alphabet (hexadecimal, base64). A window slides over a
+Candidate strings are runs of one alphabet (hexadecimal, base32, lower or upper case with
+digits, base64, letters without digits). A window slides over a
 candidate; its character counts, and with them the entropy, change by one character in and
 one out. A candidate whose best window reaches its alphabet's threshold is a secret, unless
 an allow-list pattern covers it.
@@ -29,11 +30,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 WINDOW = 20
-#: (name, runs of the alphabet, what a run must hold, bits per character that a window must reach)
+_DIGIT, _LOWER, _UPPER = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
+_OUTSIDE = r"(?<![A-Za-z0-9+/_=-])", r"(?![A-Za-z0-9+/_=-])"
+#: (name, runs of the alphabet, what a run must hold to be of the class, bits per character that a window must reach)
 ALPHABETS = (
-    ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), (re.compile(r"[0-9]"), re.compile(r"[A-Fa-f]")), 3.0),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")), 3.7),
+    ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), (_DIGIT, re.compile(r"[A-Fa-f]")), 3.0),
+    ("base32", re.compile(r"[A-Z2-7]{20,}=*".join(_OUTSIDE)), (re.compile(r"[2-7]"), _UPPER), 3.2),
+    ("lower", re.compile(r"[a-z0-9+/_=-]{20,}".join(_OUTSIDE)), (_DIGIT, _LOWER), 3.7),
+    ("upper", re.compile(r"[A-Z0-9+/_=-]{20,}".join(_OUTSIDE)), (_DIGIT, _UPPER), 3.7),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (_DIGIT, _LOWER, _UPPER), 3.7),
+    ("letters", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (), 4.1),
 )
+#: A name before a value, which no allow-list pattern has to cover.
+LABEL = re.compile(r"[A-Za-z_-]+=(?=.)")
 #: Allowed strings: UUIDs, dates and times run together, paths of lower-case words.
 ALLOW = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
@@ -92,7 +101,7 @@ def scan_text(text: str, allow: re.Pattern | None) -> tuple[list[tuple[int, int,
             k = bisect.bisect_right(ends, m.start())
             if k < len(starts) and starts[k] < m.end():
                 continue  # inside what is found already
-            if all(n.search(m[0]) for n in needs) and not (allow and allow.fullmatch(m[0])) and best_entropy(m[0]) >= threshold:
+            if all(n.search(m[0]) for n in needs) and not (allow and allow.fullmatch(LABEL.sub("", m[0], count=1) if LABEL.match(m[0]) else m[0])) and best_entropy(m[0]) >= threshold:
                 added.append((*m.span(), "entropy"))
     return base, sorted(added)
 
