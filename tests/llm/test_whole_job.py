@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+import zlib
 
-from token_ledger.llm import pii, secrets
+import numpy as np
+
+from token_ledger.llm import packing, pii, secrets
 
 PHONES = [f"+1 (0{k}) 555-77{k}" for k in range(10, 16)]
 
@@ -64,3 +67,17 @@ def test_secrets_of_one_case():
         assert secrets.scan_text(f"see {key} here", allow) == ([], [(4, 4 + len(key), "entropy")]), key
     for plain in ("f47ac10b-58cc-4372-a567-0e02b2c3d479", "id=f47ac10b-58cc-4372-a567-0e02b2c3d479", "2024-05-06T10-11-12-345678Z", "usr/local/share/python/zlib-1234", "internationalisation", "UNCHARACTERISTICALLY", "state-of-the-art-compression", "-" * 30):
         assert secrets.scan_text(f"see {plain} here", allow) == ([], []), plain
+
+
+def test_packing_keeps_special_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)  # as the file has it
+    texts = ["end <|endoftext|> start", "End<|endoftext|>START, <|startoftext|>!", "<|ENDOFTEXT|> <|EndOfText|>. <|endoftext", "<|endoftext|><|endoftext|>\n<|startoftext|> é<|endoftext|>É?!", "Plain WORDS, plain words!", "<|endoftext|>"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1572]
+    got = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in packing.pack_documents(_docs(spark, enumerate(texts)), path).collect()}
+    for k, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert got[k] == (ids.size, zlib.crc32(ids.tobytes())), text

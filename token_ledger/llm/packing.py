@@ -127,6 +127,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins over it, so a text's ids are its words'
     ids in a row; a tail of ASCII signs is cut off a word where the tokenizer cuts as well.
+    A word that may hold one of the tokenizer's special tokens goes to it as it stands.
     """
 
     def __init__(self, path: str):
@@ -134,7 +135,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Special tokens, in lower case: of another case they are plain text, which no lower-casing may change.
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bases: dict[bytes, bytes] = {b"": b""}  # ids of words without tails, and of tails
         self._forget()
 
@@ -142,6 +144,10 @@ class WordEncoder:
         """Empties the memory: sorted word hashes, and where each word's ids begin and how many there are."""
         self.keys, self.begins, self.sizes, self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
+    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
+        low = word.lower()
+        return (word, b"") if any(t in low for t in self.special) else _parts(word)
+
     def _learn(self, words: list[bytes]) -> None:
         bases = self.bases
         for at in range(0, len(words), 50):
@@ -165,7 +171,7 @@ class WordEncoder:
         new = np.flatnonzero(self.keys[at] != keys) if self.keys.size else np.arange(keys.size)
         if new.size:
             raw, bases = words.data.tobytes(), self.bases
-            cut = [_parts(raw[s:e]) for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
+            cut = [self._cut(raw[s:e]) for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
             self._learn([w for w in {part for pair in cut for part in pair} if w not in bases])
             codes = [bases[b] + bases[t] for b, t in cut]
             sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
