@@ -71,7 +71,7 @@ def base_features(words: K.Words) -> dict[str, np.ndarray]:
     ends = np.minimum(np.append(breaks, data.size)[np.searchsorted(breaks, lines)], offsets[doc + 1])
     has_word = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, lines)
     lines, ends, doc = lines[has_word], ends[has_word], doc[has_word]
-    _, later = K.repeated(doc, words.hasher.spans(lines, ends))
+    _, later = K.repeated(doc, K.hash_bytes((words.raw[s:e] for s, e in zip(lines.tolist(), ends.tolist(), strict=True)), lines.size))
     return {
         "n_words": words.counts,
         "word_chars": K.sum_by(offsets, letters),

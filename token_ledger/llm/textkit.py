@@ -3,28 +3,25 @@
 Python tasks read the UTF-8 buffer of an Arrow column as one numpy array, so a batch of
 documents costs a few array passes instead of a Python object per word. Words are runs of
 bytes other than the six ASCII white-space bytes 20 and 09-0D, the same as
-``[^\\x20\\x09-\\x0D]+`` on the decoded text. Word identity is a 64-bit polynomial hash
-with a mixing step.
+``[^\\x20\\x09-\\x0D]+`` on the decoded text. Word identity is the 64-bit xxh3 hash of the
+word's bytes.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LETTER = np.random.RandomState(20240611).randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers: dict[str, np.ndarray] = {}
-
 #: Bytes of text that one array pass handles; a longer document is handled alone, whole.
 SLICE_BYTES = 1 << 20
 
@@ -39,27 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers.get("n", np.empty(0)).shape[0] < n:
-        size = max(n, SLICE_BYTES + 1)
-        for name, base in (("n", _BASE), ("inverse", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["n"][:n], _powers["inverse"]
-
-
-class SpanHasher:
-    """Hashes of any spans of a buffer, from one running sum."""
-
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power(data.shape[0])
-        self.sums = np.zeros(data.shape[0] + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[data] * power, out=self.sums[1:])
-
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts] if starts.size else np.zeros(0, np.uint64)
-        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def hash_bytes(parts: Iterator[bytes], n: int) -> np.ndarray:
+    """64-bit hashes of ``n`` byte strings."""
+    return np.fromiter(map(xxh3_64_intdigest, parts), dtype=np.uint64, count=n)
 
 
 @dataclass
@@ -72,7 +51,7 @@ class Words:
     ends: np.ndarray
     hashes: np.ndarray
     bounds: np.ndarray
-    hasher: SpanHasher
+    raw: bytes
 
     @property
     def counts(self) -> np.ndarray:
@@ -97,8 +76,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> W
         after[-1], after[:-1] = True, ~solid[1:]
     starts = np.flatnonzero(solid & (before | edge[:-1]))
     ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    hasher = SpanHasher(data)
-    return Words(data, offsets, starts, ends, hasher.spans(starts, ends), np.searchsorted(starts, offsets), hasher)
+    raw = data.tobytes()
+    parts = itertools.chain.from_iterable(raw[lo:hi].split() for lo, hi in itertools.pairwise(offsets.tolist()))  # splits at the same six bytes
+    return Words(data, offsets, starts, ends, hash_bytes(parts, starts.size), np.searchsorted(starts, offsets), raw)
 
 
 def windows(words: Words, k: int, same_doc: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -106,13 +86,12 @@ def windows(words: Words, k: int, same_doc: bool = True) -> tuple[np.ndarray, np
     total = words.hashes.size
     if total < k:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    value, factor = np.zeros(total - k + 1, dtype=np.uint64), 1
+    value = np.full(total - k + 1, k, dtype=np.uint64)
     for j in range(k):
-        value += words.hashes[j : total - k + 1 + j] * np.uint64(factor)
-        factor = factor * 0xC2B2AE3D27D4EB4F % (1 << 64)
+        value = mix((value ^ words.hashes[j : total - k + 1 + j]) * np.uint64(0xC2B2AE3D27D4EB4F))
     doc = words.doc
     first = np.flatnonzero(doc[: total - k + 1] == doc[k - 1 :])
-    return first, mix(value[first])
+    return first, value[first]
 
 
 def repeated(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
