@@ -185,9 +185,7 @@ def _tokenizer():
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t, P.path("word_bpe_49k.json")
+    return Tokenizer.from_file(P.path("word_bpe_49k.json")), P.path("word_bpe_49k.json")
 
 
 def test_packing(spark, hard, pairs):

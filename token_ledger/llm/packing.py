@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .runtime import small_batches, staged
+from .runtime import shuffle_partitions, small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,7 +33,8 @@ BASES = 400_000
 _TAIL = b".,!?;:%$&#*"
 #: Bytes of text that are looked up at once.
 SLICE_BYTES = 1 << 21
-SALTS = 64
+#: Shares that pieces of one length are numbered in: as many as shuffle partitions, within these bounds.
+SALTS = 64, 1024
 
 
 class SegmentTree:
@@ -122,11 +123,21 @@ def _parts(word: bytes) -> tuple[bytes, bytes]:
     return base, word[len(base) :]
 
 
+def _equal(a: np.ndarray, a_starts: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_lengths: np.ndarray) -> bool:
+    """Whether all spans of ``a`` have the same bytes as those of ``b``."""
+    if not (a_lengths == b_lengths).all():
+        return False
+    ends = np.cumsum(a_lengths)
+    step = np.arange(a_lengths.sum())
+    skip = ends - a_lengths
+    return bool((a[np.repeat(a_starts - skip, a_lengths) + step] == b[np.repeat(b_starts - skip, b_lengths) + step]).all())
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizer file, word by word with a memory.
 
     The tokenizer drops white space and never joins over it, so a text's ids are its words'
-    ids in a row; a tail of ASCII signs is cut off a word where the tokenizer cuts as well.
+    ids in a row; the memory is found by a word's hash and checked by its bytes. A tail of ASCII signs is cut off a word where the tokenizer cuts as well.
     A word that may hold one of the tokenizer's special tokens goes to it as it stands.
     """
 
@@ -141,8 +152,9 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Empties the memory: sorted word hashes, and where each word's ids begin and how many there are."""
+        """Empties the memory: sorted word hashes, where each word's ids begin and how many there are, and the same of its bytes."""
         self.keys, self.begins, self.sizes, self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.spells, self.lengths, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def _cut(self, word: bytes) -> tuple[bytes, bytes]:
         low = word.lower()
@@ -160,6 +172,15 @@ class WordEncoder:
             for word, lo, hi in zip(part, cut, cut[1:], strict=False):
                 bases[word] = raw[4 * lo : 4 * hi]
 
+    def _one_by_one(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) without the memory, where two different words have one hash."""
+        codes = []
+        for lo, hi in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
+            base, tail = self._cut(words.raw[lo:hi])
+            self._learn([w for w in {base, tail} if w not in self.bases])
+            codes.append(self.bases[base] + self.bases[tail])
+        return np.frombuffer(b"".join(codes), dtype="<u4"), np.array([0, *itertools.accumulate(len(c) // 4 for c in codes)], dtype=np.int64)
+
     def _codes(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of all words of a slice in a row."""
         if self.keys.size > MEMORY:
@@ -168,18 +189,30 @@ class WordEncoder:
             self.bases = {b"": b""}
         keys, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, self.keys.size - 1))
-        new = np.flatnonzero(self.keys[at] != keys) if self.keys.size else np.arange(keys.size)
+        known = self.keys[at] == keys if self.keys.size else np.zeros(keys.size, dtype=bool)
+        starts, lengths = words.starts, words.ends - words.starts
+        again, seen = np.flatnonzero(starts != starts[first][place]), np.flatnonzero(known)
+        model = first[place[again]]
+        if not (
+            _equal(words.data, starts[again], lengths[again], words.data, starts[model], lengths[model])
+            and _equal(words.data, starts[first[seen]], lengths[first[seen]], self.letters, self.spells[at[seen]], self.lengths[at[seen]])
+        ):
+            return self._one_by_one(words)
+        new = np.flatnonzero(~known)
         if new.size:
-            raw, bases = words.data.tobytes(), self.bases
-            cut = [self._cut(raw[s:e]) for s, e in zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist(), strict=True)]
+            raw, bases, n = words.raw, self.bases, first[new]
+            spelt = [raw[s:e] for s, e in zip(starts[n].tolist(), words.ends[n].tolist(), strict=True)]
+            cut = [self._cut(w) for w in spelt]
             self._learn([w for w in {part for pair in cut for part in pair} if w not in bases])
             codes = [bases[b] + bases[t] for b, t in cut]
             sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
-            self.begins = np.concatenate((self.begins, self.table.size + np.cumsum(sizes) - sizes))
-            self.sizes, self.table = np.concatenate((self.sizes, sizes)), np.concatenate((self.table, np.frombuffer(b"".join(codes), dtype="<u4")))
-            self.keys = np.concatenate((self.keys, keys[new]))
-            order = np.argsort(self.keys, kind="stable")
-            self.keys, self.begins, self.sizes = self.keys[order], self.begins[order], self.sizes[order]
+            begins, spells = self.table.size + np.cumsum(sizes) - sizes, self.letters.size + np.cumsum(lengths[n]) - lengths[n]
+            self.table = np.concatenate((self.table, np.frombuffer(b"".join(codes), dtype="<u4")))
+            self.letters = np.concatenate((self.letters, np.frombuffer(b"".join(spelt), dtype=np.uint8)))
+            order = np.argsort(np.concatenate((self.keys, keys[new])), kind="stable")
+            columns = ("keys", keys[new]), ("begins", begins), ("sizes", sizes), ("spells", spells), ("lengths", lengths[n])
+            for name, more in columns:
+                setattr(self, name, np.concatenate((getattr(self, name), more))[order])
             at = np.searchsorted(self.keys, keys)
         own = self.sizes[at][place]
         ends = np.cumsum(own)
@@ -227,13 +260,15 @@ def token_pieces(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     return out.withColumnRenamed("id", id_col)
 
 
-def best_fit_pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset``: gapless from 0, at most ``capacity`` in a sequence.
 
     ``pieces`` needs ``id_col, piece, length``; lengths are 1 to ``capacity``. Equal lengths
     are numbered by (id, piece), so a repeated row gets a place of its own. An empty table
-    gives an empty result.
+    gives an empty result. The plan that is broadcast has at most ``capacity`` squared runs
+    and ``capacity`` x ``salts`` counts, whatever the corpus.
     """
+    salts = salts or min(max(SALTS[0], shuffle_partitions(pieces.sparkSession)), SALTS[1])
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").count()
     rows = sizes.orderBy("length", "_salt").toPandas()  # at most capacity x salts rows
