@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import small_batches
+
 #: Most pieces that a Python worker remembers; beyond it the memory starts anew.
 MEMORY = 400_000
 _PRIME = (1 << 61) - 1
@@ -147,6 +149,8 @@ class Codec:
                 whole = self.table.get(raw)
                 ids = array("I", [whole] if whole >= 0 else merge_bytes(raw, self.ranks)).tobytes()
                 if len(piece) < 100:
+                    if len(merged) >= MEMORY:
+                        merged.clear()
                     merged[piece] = ids
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
@@ -165,8 +169,6 @@ class Codec:
         memory = self.memory
         if len(memory) > MEMORY:
             memory.clear()
-        if len(self.merged) > MEMORY:
-            self.merged.clear()
         pieces = [parts[0], *[" " + p for p in parts[1:]]]
         for piece in set(pieces):
             if piece not in memory:
@@ -195,6 +197,7 @@ def _codec(shared) -> Codec:
 
 
 def _each(df: DataFrame, id_col: str, text_col: str, ranks: dict[bytes, int], pattern: str, schema: str, row) -> DataFrame:
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, PerfectHash.build(ranks), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
