@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import collections
+import math
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from token_ledger.llm import packing, pii, secrets
+from token_ledger.llm import bpe, lm_scoring, ngram_jaccard, packing, pii, quality, secrets, textkit
 
 PHONES = [f"+1 (0{k}) 555-77{k}" for k in range(10, 16)]
 
@@ -81,3 +84,105 @@ def test_packing_keeps_special_tokens(spark):
     for k, text in enumerate(texts):
         ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
         assert got[k] == (ids.size, zlib.crc32(ids.tobytes())), text
+
+
+def _thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    one, two = _thue_morse(1024)
+    docs = _docs(spark, [(0, one), (1, two), (2, f"{one}\n{two}\n{one}"), (3, f"{one} {two} x y z"), (4, f"{two} {one} x y z")])
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in packing.pack_documents(docs, path).collect():
+        ids = np.array([*tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 0], dtype="<u4")
+        assert (r["length"], r["ids_crc32"]) == (ids.size, zlib.crc32(ids.tobytes()))
+    rules = {r["doc_id"]: r for r in quality.quality_rules(docs, np.zeros(16)).collect()}
+    assert rules[2]["n_dup_lines"] == 1
+    near = {r["doc_id"]: r["class_id"] for r in ngram_jaccard.ngram_jaccard_join(docs).collect()}
+    assert near == {k: k for k in texts}
+    own, out = (next(k for k in range(99) if (zlib.crc32(str(k).encode()) % 7 == 2) == held) for held in (False, True))
+    known = {r["doc_id"]: r["n_known"] for r in lm_scoring.lm_scores(_docs(spark, [(own, one), (out, two)])).collect()}
+    assert sorted(known.values()) == [1, 2]
+
+
+def test_packing_checks_the_bytes_of_words_with_one_hash(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from token_ledger.llm import textkit
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, texts = Tokenizer.from_file(path), ["plain words", "other words, more", "plain"]
+    monkeypatch.setattr(textkit, "xxh3_64_intdigest", lambda word: len(word) // 6)
+    encoder = packing.WordEncoder(path)
+    for _ in range(2):
+        got = [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode_column(pa.array(texts))]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_bpe_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMORY", 100)
+    codec = bpe.Codec(bpe.PerfectHash.build({bytes([k]): k for k in range(256)}), r"\S+|\s+")
+    for k in range(40):
+        text = "  ".join(f"w{k}-{j}\n x" for j in range(20))
+        assert codec.decode(codec.encode(text)).decode() == text
+    assert len(codec.merged) <= 100
+
+
+def test_redaction_leaves_other_columns_alone(spark):
+    key = "k3v9x0q2m7t1z8w4p6n5"
+    rows = spark.createDataFrame([(1, f"see {key} here", 7), (2, "nothing", 8), (3, None, 9)], "doc_id long, text string, other long")
+    assert sorted(map(tuple, secrets.redact_secrets(rows).collect())) == [(1, "see [SECRET] here", 7), (2, "nothing", 8), (3, None, 9)]
+
+
+def test_added_secrets_by_brute_force():
+    """Every candidate's best window, counted anew for each place, decides as the running counts do."""
+    rng = np.random.RandomState(11)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
+    for _ in range(60):
+        parts = ["".join(rng.choice(letters[: rng.randint(2, len(letters))], rng.randint(1, 60))) for _ in range(12)]
+        text = " ".join(parts)
+        base, added = secrets.scan_text(text, None)
+        taken = [(s, e) for s, e, _ in base]
+        want = set()
+        for _, runs, needs, least in secrets.ALPHABETS:
+            for m in runs.finditer(text):
+                if any(s < m.end() and e > m.start() for s, e in taken) or not all(n.search(m[0]) for n in needs):
+                    continue
+                windows = [m[0][k : k + secrets.WINDOW] for k in range(max(1, len(m[0]) - secrets.WINDOW + 1))]
+                bits = max(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) for w in windows)
+                if bits >= least:
+                    want.add(m.span())
+            taken += list(want)
+        assert {(s, e) for s, e, _ in added} == want
+
+
+def test_quality_score_by_brute_force(spark):
+    rng = np.random.RandomState(4)
+    texts = {k: " ".join("".join(rng.choice(list("abcé #"), 7)) for _ in range(30)) for k in range(30)}
+    docs, labels = _docs(spark, texts.items()), spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    ratio = quality.fit_log_ratio(docs, labels, buckets=64)
+
+    def grams(text):
+        raw = text.encode()
+        values = np.array([int.from_bytes(raw[j : j + 4], "big") for j in range(len(raw) - 3)], dtype=np.uint64)
+        return (textkit.mix(values) % np.uint64(64)).tolist()
+
+    raw, target = (collections.Counter(g for k, t in texts.items() if some(k) for g in grams(t)) for some in (lambda k: True, lambda k: k < 20 and k % 2))
+    share = sum(target.values()) / sum(raw.values())
+    want = [math.log((target[b] + share) / share) - math.log(raw[b] + 1) for b in range(64)]
+    assert np.allclose(ratio, want)
+    for threshold in (-0.05, 0.0, 0.05):
+        for r in quality.quality_rules(docs, ratio, threshold=threshold).collect():
+            own = grams(texts[r["doc_id"]])
+            score = sum(want[g] for g in own) / len(own)
+            assert math.isclose(r["score"], score, abs_tol=1e-8) and r["kept"] == (not r["base_failed"] and r["score"] >= threshold)

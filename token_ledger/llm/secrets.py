@@ -158,10 +158,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", allow: Sequence[str] = ALLOW) -> DataFrame:
     """All rows and columns of ``df`` with secrets in the text masked, in one pass without a join.
 
-    Only texts with a secret change; ``length_col``, if given, follows them. A null stays null.
+    Only texts with a secret change; ``length_col``, if there is such a column, follows them.
+    A null stays null. Rows are independent of each other; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
     allowed = "|".join(f"(?:{p})" for p in allow)
+    follows = length_col in df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_re = re.compile(allowed) if allowed else None
@@ -173,8 +175,8 @@ def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None
                 masked = [None if t is None else redact(t, [s for spans in scan_text(t, allow_re) for s in spans]) for t in texts]
                 columns = part.columns
                 columns[at] = pa.array(masked, part.schema.field(at).type)
-                if length_col is not None:
-                    n = part.schema.get_field_index(length_col)
+                n = part.schema.get_field_index(length_col) if follows else -1
+                if n >= 0:
                     new = [len(m) if m is not None and m != t else old for t, m, old in zip(texts, masked, part.column(n).to_pylist(), strict=True)]
                     columns[n] = pa.array(new, part.schema.field(n).type)
                 yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
