@@ -1,4 +1,4 @@
-"""Connected components of an edge table, with min-label rounds and pointer jumping."""
+"""Connected components of an edge table by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -9,20 +9,28 @@ from .runtime import staged
 
 
 def connected_components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """``node, component`` (the smallest node of the component) of every node in ``src, dst``.
+    """``node, component`` (the smallest node of the component) of every node in ``src, dst`` that has a link.
 
-    Each round takes the smallest label among a node's neighbours and then follows labels one
-    step, so rounds grow with the logarithm of the longest path. Every round is written to the
-    shared folder, which cuts lineage.
+    In a round every node hooks to its smallest neighbour, if that is smaller, follows one
+    step further, and the edges are contracted: both ends become what they hooked to, loops
+    and repeats go. Only what is still to be joined goes into the next round; at least every
+    second round halves the nodes that have edges. A hub's links are aggregated before they
+    are shuffled. Each round is written to the shared folder, which cuts lineage.
     """
-    edges = edges.filter("src != dst")
-    both = staged(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), f"{name}-edges")
-    labels = staged(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("component"), F.lit(True).alias("moved")), f"{name}-0")
+    one = F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")
+    edges = staged(edges.select(*one).filter("src != dst").distinct(), f"{name}-edges-0")
+    labels = None
     for n in range(1, max_rounds + 1):
-        near = both.join(labels.select(F.col("node").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("low"))
-        step = labels.join(near, labels["node"] == near["src"]).select("node", F.col("component").alias("was"), F.least("component", "low").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("component").alias("next"))
-        labels = staged(step.join(jump, "to").select("node", F.least("to", "next").alias("component"), (F.least("to", "next") != F.col("was")).alias("moved")), f"{name}-{n}")
-        if labels.filter("moved").isEmpty():
-            return labels.select("node", "component")
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        hooks = staged(both.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("node"), F.least("src", "low").alias("parent")), f"{name}-hooks-{n}")
+        hooks = staged(hooks.join(hooks.select(F.col("node").alias("parent"), F.col("parent").alias("root")), "parent").select("node", "root"), f"{name}-roots-{n}")
+        if labels is None:
+            labels = hooks.withColumnRenamed("root", "component")
+        else:
+            moved = labels.join(hooks.withColumnRenamed("node", "component"), "component", "left")
+            labels = staged(moved.select("node", F.coalesce("root", "component").alias("component")), f"{name}-labels-{n}")
+        ends = edges.join(hooks.select(F.col("node").alias("src"), F.col("root").alias("a")), "src").join(hooks.select(F.col("node").alias("dst"), F.col("root").alias("b")), "dst")
+        edges = staged(ends.select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).filter("src != dst").distinct(), f"{name}-edges-{n}")
+        if edges.isEmpty():
+            return labels
+    raise RuntimeError(f"edges are left after {max_rounds} rounds")

@@ -2,22 +2,32 @@
 
 A document is its set of five-word shingles. Documents with equal sets form a class, and one
 representative of each class goes on. A representative has a MinHash signature, cut into one
-label for each tree of a forest. In a tree's prefix trie, representatives under one prefix
-are candidates; the prefix is shortened from the full label until the forest's recall at the
-similarity threshold reaches the target. Candidates form components (of candidate links, not
-of similar pairs); each component's shingle sets are gathered once, in blocks of bounded
-size, and every pair inside is verified exactly. Pairs are counted where they are found and
-never become rows.
+label for each tree; a tree is the trie of its labels, kept as tables of label prefixes with
+counts. Matching starts at whole labels. A representative that has met others in so many
+trees that a neighbour no nearer than those would be missed with at most the probability
+``1 - target_recall`` stays at that depth; for the others the prefix is shortened by one, and
+so on, down to the depth at which any pair at the threshold meets with that probability. So
+lonely documents search the shortest prefixes, where they meet next to nothing, and members
+of dense groups the longest.
+
+Representatives that meet form components (of meetings, not of similar pairs). A component's
+shingle sets are gathered once, in blocks of bounded size; a large component is parted by set
+size first, since similar sets have sizes of one class or of two neighbouring ones. Every
+pair of a block, or of two blocks, is verified exactly, and pairs are counted where they are
+found and never become rows.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from . import textkit as K
 from .components import connected_components
@@ -28,11 +38,13 @@ THRESHOLD = 0.8
 TREES = 36
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
-#: Representatives in a block; a larger component is verified block against block.
-BLOCK = 250
+#: Representatives in a block, and shingles in it; a larger component is verified block against block.
+BLOCK, BLOCK_SHINGLES = 250, 1 << 20
 SALTS = 48
 
 _SEED = 20240612
+#: Bytes of a label for each of its hashes.
+_WIDTH = 2
 
 
 def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> int:
@@ -43,6 +55,11 @@ def forest_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: in
     return depth
 
 
+def trees_enough(trees: int = TREES, target: float = TARGET_RECALL) -> int:
+    """In how many trees a representative has to meet others for its prefixes to be short enough."""
+    return next((m for m in range(1, trees + 1) if 1 - (1 - m / trees) ** trees >= target), trees)
+
+
 def shingle_sets(words: K.Words, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each document; fewer than k words are one shingle, no words none."""
     first, value = K.windows(words, k)
@@ -52,39 +69,32 @@ def shingle_sets(words: K.Words, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]
             yield np.unique(value[cut[d] : cut[d + 1]])
         elif n:
             lo = words.bounds[d]
-            yield K.mix(np.array([int(sum(int(h) * (2 * j + 3) for j, h in enumerate(words.hashes[lo : lo + n]))) + int(n) & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))
+            yield np.array([xxh3_64_intdigest(words.hashes[lo : lo + n].tobytes())], dtype=np.uint64)
         else:
             yield np.zeros(0, np.uint64)
 
 
 def set_keys(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit keys of a set, as signed numbers."""
-    with np.errstate(over="ignore"):
-        a, b = K.mix(shingles).sum(dtype=np.uint64), K.mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    """Two 64-bit keys of a sorted set, as signed numbers."""
+    one, two = np.frombuffer(xxh3_128_digest(shingles.tobytes()), dtype=np.int64).tolist()
+    return one, two
 
 
 class Forest:
-    """MinHash labels of a set: one prefix key for each tree."""
+    """MinHash labels of a set: one string of hashes for each tree, so that a prefix of the string is a prefix of the label."""
 
     def __init__(self, trees: int, depth: int):
         rng = np.random.RandomState(_SEED)
-        self.trees, self.depth = trees, depth
         self.a = rng.randint(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
         self.b = rng.randint(0, 1 << 32, trees * depth, dtype=np.uint64).astype(np.uint32)
-        self.fold = rng.randint(1, 1 << 62, depth).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        self.tree = K.mix(np.arange(1, trees + 1, dtype=np.uint64))
 
-    def signature(self, shingles: np.ndarray) -> np.ndarray:
+    def labels(self, shingles: np.ndarray) -> bytes:
+        """The labels of all trees in a row, the low 16 bits of each hash."""
         x = (shingles >> np.uint64(32)).astype(np.uint32)
         low = np.full(self.a.size, 0xFFFFFFFF, dtype=np.uint32)
         for at in range(0, x.size, 1024):
             np.minimum(low, (x[at : at + 1024, None] * self.a + self.b).min(axis=0), out=low)
-        return low
-
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        label = self.signature(shingles).reshape(self.trees, self.depth).astype(np.uint64)
-        return K.mix((label * self.fold).sum(axis=1, dtype=np.uint64) + self.tree).astype(np.int64)
+        return low.astype("<u2").tobytes()
 
 
 def _sketch(trees: int, depth: int, k: int):
@@ -95,11 +105,12 @@ def _sketch(trees: int, depth: int, k: int):
                 size, key, key2, labels = [], [], [], []
                 for s in shingle_sets(words, k):
                     one, two = set_keys(s)
-                    size.append(s.size), key.append(one), key2.append(two), labels.append(forest.keys(s) if s.size else np.zeros(0, np.int64))
-                n = end - first
-                cut = np.cumsum([0, *(x.size for x in labels)]).astype(np.int32)
+                    size.append(s.size), key.append(one), key2.append(two), labels.append(forest.labels(s) if s.size else b"")
+                n, wide, flat = end - first, _WIDTH * depth, b"".join(labels)
+                cut = np.array([0, *itertools.accumulate(len(x) // wide for x in labels)], dtype=np.int32)
+                flat = pa.Array.from_buffers(pa.binary(wide), len(flat) // wide, [None, pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(first, n) for c in range(3)), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(labels)))],
+                    [*(batch.column(c).slice(first, n) for c in range(3)), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(key2, pa.int64()), pa.ListArray.from_arrays(pa.array(cut), flat)],
                     ["id", "row_key", "salt", "size", "key", "key2", "labels"],
                 )
         K.release_memory()
@@ -107,11 +118,14 @@ def _sketch(trees: int, depth: int, k: int):
     return run
 
 
+MEMBER = ("component", "node", "copies", "block", "others")
+
+
 def _sets_of(k: int):
-    """Shingle sets of the representatives; a row whose set is not its class's is another text with the same id."""
+    """Shingle sets of the representatives; a row whose set is not its class's is another text with the same row key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["component", "parts", "node", "copies"]
+        names = list(MEMBER)
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("node")).to_numpy()
             for first, end, words in K.batch_words(batch.column(batch.schema.get_field_index("body"))):
@@ -170,8 +184,6 @@ def _verify(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         node = table["node"].to_numpy()
-        _, once = np.unique(node, return_index=True)  # repeated input rows are one representative
-        table, node = table.take(pa.array(once)), node[once]
         sets = [np.frombuffer(s, dtype=np.uint64) for s in table["shingles"].to_pylist()]
         copies, block = table["copies"].to_numpy(), table["block"].to_numpy()
         lo, hi = table["block_a"][0].as_py(), table["block_b"][0].as_py()
@@ -194,43 +206,110 @@ def _verify(threshold: float):
     return run
 
 
+def _shared_prefixes(labels: DataFrame, depths: list[int], extra: dict[str, Column] | None = None) -> DataFrame:
+    """``tree, label`` with ``n<d>`` (how many rows), ``low<d>`` (smallest node) and ``extra`` minima of its prefix of each depth.
+
+    Rolled up from whole labels to shorter prefixes, so that a label that many share is one row from the start.
+    """
+    extra = extra or {}
+    trie = labels.groupBy("tree", "label").agg(F.count(F.lit(1)).alias(f"n{depths[0]}"), F.min("node").alias(f"low{depths[0]}"), *(F.min(c).alias(f"{e}{depths[0]}") for e, c in extra.items()))
+    leaves = trie
+    for d in depths[1:]:
+        prefix, top = F.substring("label", 1, _WIDTH * d).alias("prefix"), depths[0]
+        short = leaves.groupBy("tree", prefix).agg(F.sum(f"n{top}").alias(f"n{d}"), *(F.min(f"{e}{top}").alias(f"{e}{d}") for e in ("low", *extra)))
+        trie = trie.select("*", prefix).join(short, ["tree", "prefix"]).drop("prefix")
+    return trie
+
+
+def forest_meetings(labelled: DataFrame, least: int, depth: int, trees: int, target: float, name: str = "jaccard") -> DataFrame:
+    """``node, lows``: for each representative that meets others, the smallest node of each of its prefix groups.
+
+    ``labelled`` has ``node, tree, label``. The prefixes are of the depth at which some member
+    of the group stopped shortening; a group is found by all its members, whatever their own depth.
+    """
+    depths, enough = list(range(depth, least - 1, -1)), trees_enough(trees, target)
+    prefix = F.substring("label", 1, _WIDTH * least).alias("prefix")
+    met = labelled.groupBy("tree", prefix).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tree", "prefix")
+    close = staged(labelled.select("*", prefix).join(met, ["tree", "prefix"], "left_semi").select("node", "tree", "label"), f"{name}-close")
+    if depth == least:
+        stops = close.select("*", F.lit(depth).alias("stop"))
+    else:
+        found = close.join(_shared_prefixes(close, depths), ["tree", "label"])
+        own = found.groupBy("node").agg(*(F.count_if(F.col(f"n{d}") > 1).alias(f"m{d}") for d in depths[:-1]))
+        stop = F.coalesce(*(F.when(F.col(f"m{d}") >= enough, d) for d in depths[:-1]), F.lit(least)).alias("stop")
+        stops = staged(close.join(own.select("node", stop), "node"), f"{name}-stops")
+    trie = _shared_prefixes(stops, depths, {"stop": F.col("stop")})
+    low = F.coalesce(*(F.when((F.col(f"n{d}") > 1) & (F.col(f"stop{d}") <= d), F.col(f"low{d}")) for d in reversed(depths))).alias("low")
+    return close.join(trie.select("tree", "label", low), ["tree", "label"]).filter("low IS NOT NULL").groupBy("node").agg(F.collect_set("low").alias("lows"))  # at most one for each tree
+
+
+def _dealt(members: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``members`` (``component, node, size, ...``) with their ``block`` and ``others``, the blocks that theirs is verified against.
+
+    A component of more than one block is parted into classes of set size; sets of similarity
+    ``threshold`` are in one class or in two neighbouring ones.
+    """
+    need = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    whole = members.groupBy("component").agg(need).select("component", (F.col("parts") > 1).alias("large"))
+    by_size = F.floor(F.log("size") / (-math.log(threshold) * (1 + 1e-9))) if threshold < 1 else F.col("size")
+    members = members.join(whole, "component").withColumn("size_class", F.when(F.col("large"), by_size).otherwise(0).cast("int"))
+    sizes = staged(members.groupBy("component", "size_class").agg(need), "jaccard-sizes")
+
+    def beside(step: int, name: str) -> DataFrame:
+        return sizes.select("component", (F.col("size_class") - step).alias("size_class"), F.col("parts").alias(name))
+
+    def blocks(step: int, n: str) -> Column:
+        first = F.shiftleft((F.col("size_class") + step).cast("long"), 32)
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: first + i)).otherwise(F.array().cast("array<bigint>"))
+
+    at = ["component", "size_class"]
+    members = members.join(sizes, at).join(beside(1, "above"), at, "left").join(beside(-1, "below"), at, "left")
+    own = F.shiftleft(F.col("size_class").cast("long"), 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    return members.withColumns({"block": own, "others": F.concat(blocks(0, "parts"), blocks(1, "above"), blocks(-1, "below"))})
+
+
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE_WORDS, trees: int = TREES, max_depth: int = MAX_DEPTH, target_recall: float = TARGET_RECALL, block: int = BLOCK, salts: int = SALTS) -> DataFrame:
-    """One row per input row: ``id_col, class_id, links, copies``.
+    """One row per input row: ``id_col, class_id, links, copies, kept, row_key``.
 
     ``class_id`` is the smallest id of the connected component of links (similarity of at
-    least ``threshold``), ``links`` the number of other rows at that similarity, ``copies``
-    the number of rows with an equal shingle set, itself included. Null and empty texts are
-    copies of each other and have no other links. Texts of fewer than ``k`` words are one
-    shingle, so they link to equal ones only. Rows that repeat an id are separate rows. Other
-    columns are not read. An empty table gives an empty result.
+    least ``threshold``), null only if all its ids are; ``links`` the number of other rows at
+    that similarity; ``copies`` the number of rows with an equal shingle set, itself included;
+    ``kept`` marks the one row of each class that stays: that of the smallest id and, among
+    rows of one id, of the smallest ``row_key`` (a hash of id and text). Rows that repeat id
+    and text are separate rows with equal results. Null and empty texts are copies of each
+    other and have no other links. Texts of fewer than ``k`` words are one shingle, so they
+    link to equal ones only. Other columns are not read. An empty table gives an empty
+    result. Words, shingles and sets are told apart by 64-bit (sets: 128-bit) hashes.
     """
     small_batches(df.sparkSession)
-    depth = forest_depth(threshold, trees, max_depth, target_recall)
+    least = forest_depth(threshold, trees, max_depth, target_recall)
     id_type = df.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), text.alias("body"))
-    row_key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("body"))).alias("row_key")
+    row_key = F.xxhash64("id", "body").alias("row_key")
     keyed = rows.select("id", row_key, F.pmod(row_key, F.lit(salts)).cast("int").alias("salt"), "body")
-    sketches = staged(keyed.mapInArrow(_sketch(trees, depth, k), f"id {id_type}, row_key long, salt int, size long, key long, key2 long, labels array<long>"), "jaccard-sketches")
+    sketches = staged(keyed.mapInArrow(_sketch(trees, max_depth, k), f"id {id_type}, row_key long, salt int, size long, key long, key2 long, labels array<binary>"), "jaccard-sketches")
 
     # Classes of equal sets: combined in each task, by salt, then over the salts.
-    salted = sketches.groupBy("key", "key2", "size", "salt").agg(F.min("id").alias("low_id"), F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = staged(salted.groupBy("key", "key2", "size").agg(F.min("low_id").alias("low_id"), F.min("rep").alias("rep"), F.sum("n").alias("copies"), F.expr("bit_or(shiftleft(1L, salt))").alias("bits")), "jaccard-classes")
-
-    # The forest: one row for each representative and tree, met by prefix key.
-    reps = sketches.filter("size > 0").join(classes.select("key", F.col("rep").alias("row_key")), ["key", "row_key"])  # spread by row, not by class
-    labelled = reps.select(F.col("key").alias("node"), F.explode("labels").alias("label"))
-    met = labelled.groupBy("label").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high")
-    met = staged(met, "jaccard-buckets")
-    links = labelled.join(met.select("label", "low"), "label").filter("node != low").select(F.col("node").alias("src"), F.col("low").alias("dst")).distinct()
-    near = connected_components(links, "jaccard-candidates")
-
-    sizes = near.groupBy("component").count().select("component", F.ceil(F.col("count") / block).cast("int").alias("parts"))
-    members = near.join(sizes, "component").join(classes.select(F.col("key").alias("node"), "rep", "copies"), "node")
-    sets = members.join(rows.select(F.col("body"), row_key), F.col("rep") == F.col("row_key")).select("component", "parts", "node", "copies", "body")
-    sets = sets.mapInArrow(_sets_of(k), "component long, parts int, node long, copies long, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    dealt = sets.withColumn("block", own).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
+    salted = sketches.groupBy("key", "key2", "size", "salt").agg(F.min(first).alias("low"), F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("n"))
+    classes = staged(salted.groupBy("key", "key2", "size").agg(F.min("low").alias("low"), F.min("rep").alias("rep"), F.sum("n").alias("copies"), F.expr("bit_or(shiftleft(1L, salt))").alias("bits")), "jaccard-classes")
+
+    # The forest, over one row for each representative and tree.
+    reps = staged(sketches.filter("size > 0").join(classes.select("key", F.col("rep").alias("row_key")), ["key", "row_key"]).select(F.col("key").alias("node"), "labels"), "jaccard-reps")  # spread by row, not by class
+    repeated = not reps.groupBy("node").count().filter("count > 1").isEmpty()  # rows that repeat id and text
+    once = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
+    labelled = once(reps).select("node", F.posexplode("labels").alias("tree", "label"))
+    lows = staged(forest_meetings(labelled, least, max_depth, trees, target_recall).withColumn("low", F.array_min("lows")), "jaccard-lows")
+    # All groups of a representative hang together: what is left to join are their smallest nodes.
+    links = lows.select(F.explode("lows").alias("src"), F.col("low").alias("dst"))
+    joined = connected_components(links, "jaccard-candidates").withColumnRenamed("node", "low")
+    near = lows.select("node", "low").join(joined, "low", "left").select("node", F.coalesce("component", "low").alias("component"))
+
+    members = _dealt(near.join(classes.select(F.col("key").alias("node"), "rep", "copies", "size"), "node"), threshold, block)
+    sets = once(members.join(rows.select("body", row_key), F.col("rep") == F.col("row_key"))).select(*MEMBER, "body")
+    sets = sets.mapInArrow(_sets_of(k), "component long, node long, copies long, block long, others array<long>, shingles binary")
+    dealt = sets.withColumn("parts", F.size("others")).withColumn("other", F.explode("others"))
     dealt = dealt.select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "node", "copies", "parts", "shingles")
     verified = staged(dealt.groupBy("component", "block_a", "block_b").applyInArrow(_verify(threshold), "node long, links long, root long, parts int"), "jaccard-verified")
 
@@ -241,10 +320,11 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         counted = split.groupBy("node").agg(F.sum("links").alias("links"))
         final = final.unionByName(counted.join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "links"))
 
-    # Back to the rows: the smallest id of each component, over (class, salt).
-    placed = classes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "key2", "size", "bits", "copies", "low_id", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    # Back to the rows: the first row of each component, over (class, salt).
+    placed = classes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "key2", "size", "bits", "copies", "low", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     placed = staged(placed, "jaccard-placed")
-    lowest = placed.groupBy("component").agg(F.min("low_id").alias("class_id"))
-    each = placed.join(lowest, "component").select("key", "key2", "size", "class_id", "links", "copies", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit("bits", s) == 1)).alias("salt"))
-    out = sketches.select("id", "key", "key2", "size", "salt").join(each, ["key", "key2", "size", "salt"])
-    return out.select(F.col("id").alias(id_col), "class_id", "links", "copies")
+    lowest = placed.groupBy("component").agg(F.min("low").alias("lowest"))
+    each = placed.join(lowest, "component").select("key", "key2", "size", "lowest", "links", "copies", F.explode(F.filter(F.sequence(F.lit(0), F.lit(salts - 1)), lambda s: F.getbit("bits", s) == 1)).alias("salt"))
+    out = sketches.select("id", "row_key", "key", "key2", "size", "salt").join(each, ["key", "key2", "size", "salt"])
+    kept = F.col("id").eqNullSafe(F.col("lowest.id")) & (F.col("row_key") == F.col("lowest.row_key"))
+    return out.select(F.col("id").alias(id_col), F.col("lowest.id").alias("class_id"), "links", "copies", kept.alias("kept"), "row_key")

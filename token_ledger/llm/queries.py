@@ -52,7 +52,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard.ngram_jaccard_join(_table(spark, sf_dir, "documents")).drop("row_key")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
