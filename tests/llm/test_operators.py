@@ -109,11 +109,42 @@ def _words(t):
     return [w for w in t.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split()] + ["</s>"]
 
 
-def test_lm_scores(spark, hard, pairs, monkeypatch):
+def _held_out_weights(pairs):
+    """Weights from counts without the held-out slice, by plain expectation-maximisation over its single tokens."""
+    uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    rest = lambda i: zlib.crc32(str(i).encode()) % 7
+    for i, t in pairs:
+        if rest(i) not in (2, 3):
+            w = _words(t)
+            uni.update(w), bi.update(zip(["<s>", *w], w)), ctx.update(["<s>", *w[:-1]])
+    total, types, events = sum(uni.values()), len(uni), collections.defaultdict(list)
+    for i, t in pairs:
+        if rest(i) == 3:
+            w = _words(t)
+            for h, x in zip(["<s>", *w], w):
+                events[0 if not ctx[h] else 1 + int(math.log2(ctx[h]))].append((bi[h, x] / ctx[h] if ctx[h] else 0.0, uni[x] / total, 1 / (types + 1)))
+    out = {}
+    for bucket, rows in events.items():
+        p, w = np.array(rows), np.full(3, 1 / 3)
+        for _ in range(3000):
+            share = p * w
+            w = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
+        out[bucket] = w, p
+    return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"chunk_bytes": 2000, "range_bytes": 3000, "most_fan": 6}])
+def test_lm_scores(spark, hard, pairs, monkeypatch, sizes):
     kept = {}
     learn = lm_scoring.learn_weights
     monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a: kept.setdefault("w", learn(*a)))
-    got = _by_id(lm_scoring.lm_scores(hard))
+    got = _by_id(lm_scoring.lm_scores(hard, **sizes))
+    for bucket, (w, p) in _held_out_weights(pairs).items():
+        own = kept["w"][bucket]
+        assert np.log(p @ own).mean() >= np.log(p @ w).mean() - 2e-4 and (len(p) < 50 or np.allclose(own, w, atol=0.03)), bucket
+    if sizes:
+        text = sum(len(t.encode()) for _, t in pairs)
+        assert lm_scoring.Exchange(2 * text // 2000, text // 3000, 6).levels > 2
     uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
     for i, t in pairs:
         if zlib.crc32(str(i).encode()) % 7 != 2:

@@ -6,11 +6,15 @@ power of two). They are learned by expectation-maximisation on a held-out slice
 learning documents, against counts that leave that slice out; scores then use the counts of
 all learning documents.
 
-Counts are exact and cover every document. Documents are handled in chunks of neighbouring
-rows. A chunk sends its distinct words and word pairs (64-bit hashes, sorted and
-delta-packed) with its own counts to hash buckets; a bucket adds them up over all chunks and
-sends each chunk the totals of its words and pairs, in the same order, so hashes travel once
-and texts once. No table of n-grams is ever broadcast or collected.
+Counts are exact and cover every document. Documents are dealt to chunks of about
+``CHUNK_BYTES``. A chunk sends its distinct words and word pairs (64-bit hashes, sorted and
+delta-packed) with its own counts to ranges of hashes; a range adds them up over all chunks
+and sends each chunk the totals of its words and pairs, in the same order, so hashes travel
+once and texts once for each pass. Where chunks and ranges are more than ``MOST_FAN``, the
+exchange goes in levels: chunks of a group meet in wide ranges first, their sums go on to
+narrower ranges of wider groups, and totals come back the same way. A level has a number of
+rows in proportion to the number of chunks, a frequent word stands in a group's sum once, and
+no task gets more than ``MOST_FAN`` parts. No table of n-grams is ever broadcast or collected.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from .runtime import staged
 
 #: Document classes by crc32(id) mod 7: one is never learned from, one is the EM slice.
 MODULUS, HELD_OUT, EM_SLICE = 7, 2, 3
-CHUNK_ROWS = 2048
-#: Bytes of text for each hash bucket.
-BUCKET_BYTES = 6 << 20
-EM_ROUNDS = 60
-#: Likelihood ratios are kept in steps of this many powers of two.
+#: Bytes of text for each chunk, and for each range of hashes.
+CHUNK_BYTES, RANGE_BYTES = 7 << 20, 6 << 20
+#: Most ranges that one part is cut into, and most parts that are added up in one task.
+MOST_FAN = 512
+EM_ROUNDS, EM_CHANGE = 1000, 1e-8
+#: Likelihood ratios of one step, of this many powers of two, are kept as their mean.
 RATIO_STEP = 0.25
 MAX_CONTEXT_BUCKETS = 48
 LEAST_WEIGHT = 1e-6
@@ -39,22 +44,24 @@ LEAST_WEIGHT = 1e-6
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 ARRAYS = ("word_keys", "word_full", "word_kept", "pair_keys", "pair_full", "pair_kept")
+TOTALS = ("word_full", "word_kept", "pair_full", "pair_kept")
+SUMS = ("tokens", "types", "kept_tokens", "kept_types")
 
 
 def _pack(values: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes."""
     import zstandard
 
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(values.size, -1)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(values.size, values.itemsize)
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(raw.T).tobytes())
 
 
 def _unpack(blob: bytes, kind=np.uint64) -> np.ndarray:
     import zstandard
 
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+    raw, width = zstandard.ZstdDecompressor().decompress(blob), np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, dtype=np.uint8).reshape(width, len(raw) // width) if raw else np.zeros((width, 0), np.uint8)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _pack_keys(keys: np.ndarray) -> bytes:
@@ -84,7 +91,7 @@ def _tally(parts: list[np.ndarray], full: list[np.ndarray], kept: list[np.ndarra
     keys = np.unique(np.concatenate(parts))
     out = [keys]
     for some in (full, kept):
-        counts = np.zeros(keys.size, dtype=np.uint32)
+        counts = np.zeros(keys.size, dtype=np.uint64)
         if some:
             own, n = np.unique(np.concatenate(some), return_counts=True)
             counts[np.searchsorted(keys, own)] = n
@@ -92,76 +99,131 @@ def _tally(parts: list[np.ndarray], full: list[np.ndarray], kept: list[np.ndarra
     return tuple(out)
 
 
-def _bucket_cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Places where sorted keys pass from one of equal ranges to the next."""
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [keys.size]))
-
-
-def _chunk_counts(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            chunk, rest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for c in np.unique(chunk):
-                own = np.flatnonzero(chunk == c)
-                words, wf, wk, pairs, pf, pk = [], [], [], [], [], []
-                kind = rest[own]
-                for first, end, w in K.batch_words(batch.column(2).take(pa.array(own)), lower=True):
-                    tokens, contexts, pair, bounds = token_stream(w)
-                    doc = np.repeat(kind[first:end], np.diff(bounds))
-                    starts = np.full(end - first, START)
-                    words += [tokens, starts]
-                    pairs.append(pair)
-                    learn, keep = doc != HELD_OUT, (doc != HELD_OUT) & (doc != EM_SLICE)
-                    wf += [tokens[learn], starts[kind[first:end] != HELD_OUT]]
-                    wk += [tokens[keep], starts[(kind[first:end] != HELD_OUT) & (kind[first:end] != EM_SLICE)]]
-                    pf.append(pair[learn])
-                    pk.append(pair[keep])
-                found = [*_tally(words, wf, wk), *_tally(pairs, pf, pk)]
-                cut_w, cut_p = _bucket_cuts(found[0], buckets), _bucket_cuts(found[3], buckets)
-                used = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_p) > 0))
-                columns = []
-                for n, values in enumerate(found):
-                    cut = cut_w if n < 3 else cut_p
-                    pack = _pack_keys if n % 3 == 0 else _pack
-                    columns.append(pa.array([pack(values[cut[b] : cut[b + 1]]) for b in used], pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.full(used.size, c)), *columns], ["bucket", "chunk", *ARRAYS])
+class Exchange:
+    """Levels of the exchange of ``parts`` chunks over ``ranges`` ranges.
+
+    At level k the chunks of a group of ``fan_in ** k`` meet in each of ``fan_out ** k``
+    ranges; at the last level all chunks are one group.
+    """
+
+    def __init__(self, parts: int, ranges: int, most: int = MOST_FAN):
+        self.levels = 1
+        while max(parts, ranges) > most**self.levels:
+            self.levels += 1
+        self.fan_in, self.fan_out = (next(f for f in range(1, most + 1) if f**self.levels >= n) for n in (parts, ranges))
+
+    def cuts(self, keys: np.ndarray, own: int, level: int) -> np.ndarray:
+        """Places where sorted keys of range ``own`` of a level pass from one range of the next to another."""
+        edges = np.array([((own * self.fan_out + j) << 64) // self.fan_out ** (level + 1) for j in range(1, self.fan_out)], dtype=np.uint64)
+        return np.concatenate(([0], np.searchsorted(keys, edges), [keys.size]))
+
+    def parts(self, found: list[np.ndarray], group: int, own: int, level: int) -> pa.Table:
+        """Rows for the next level: sums (as ``ARRAYS``) of a group, a row for each range that has any."""
+        cut_w, cut_p = self.cuts(found[0], own, level), self.cuts(found[3], own, level)
+        used = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_p) > 0))
+        blobs = {}
+        for n, (name, values) in enumerate(zip(ARRAYS, found, strict=True)):
+            cut, pack = cut_w if n < 3 else cut_p, _pack if n % 3 else _pack_keys
+            blobs[name] = pa.array([pack(values[cut[r] : cut[r + 1]]) for r in used], pa.binary())
+        ids = {"grp": np.full(used.size, group // self.fan_in), "rng": own * self.fan_out + used, "child": np.full(used.size, group)}
+        return pa.table({**{n: pa.array(v, pa.int64()) for n, v in ids.items()}, **blobs})
+
+
+PARTS = "grp long, rng long, child long, " + ", ".join(f"{a} binary" for a in ARRAYS)
+BACK = "grp long, rng long, part long, " + ", ".join(f"{a} binary" for a in TOTALS) + ", " + ", ".join(f"{s} long" for s in SUMS)
+
+
+def _chunk_counts(exchange: Exchange):
+    def run(table: pa.Table) -> pa.Table:
+        kind = table["rest"].to_numpy()
+        words, wf, wk, pairs, pf, pk = [], [], [], [], [], []
+        for first, end, w in K.batch_words(table["body"], lower=True):
+            tokens, _, pair, bounds = token_stream(w)
+            doc = np.repeat(kind[first:end], np.diff(bounds))
+            starts = np.full(end - first, START)
+            words += [tokens, starts]
+            pairs.append(pair)
+            learn, keep = doc != HELD_OUT, (doc != HELD_OUT) & (doc != EM_SLICE)
+            wf += [tokens[learn], starts[kind[first:end] != HELD_OUT]]
+            wk += [tokens[keep], starts[(kind[first:end] != HELD_OUT) & (kind[first:end] != EM_SLICE)]]
+            pf.append(pair[learn])
+            pk.append(pair[keep])
+        return exchange.parts([*_tally(words, wf, wk), *_tally(pairs, pf, pk)], table["chunk"][0].as_py(), 0, 0)
 
     return run
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """Totals of one bucket, given back to each chunk in the order of its keys; chunk -1 has the bucket's sums."""
-    columns = {name: table[name].to_pylist() for name in ("chunk", *ARRAYS)}
-    out = {name: [] for name in ("chunk", "word_full", "word_kept", "pair_full", "pair_kept", "tokens", "types", "kept_tokens", "kept_types")}
-    chunks = sorted(set(columns["chunk"]))
-    own: dict[int, list[int]] = {c: [] for c in chunks}
-    for i, c in enumerate(columns["chunk"]):
-        own[c].append(i)
-    totals, sums = {}, {}
+def _merged(table: pa.Table) -> dict:
+    """Distinct keys of all parts of a range, their sums, and each part's places among them."""
+    out = {}
     for kind in ("word", "pair"):
-        keys = [_unpack_keys(b) for b in columns[f"{kind}_keys"]]
+        keys = [_unpack_keys(b) for b in table[f"{kind}_keys"].to_pylist()]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
+        out[f"{kind}_keys"], out[f"{kind}_places"] = every, np.split(place, np.cumsum([k.size for k in keys])[:-1])
         for which in ("full", "kept"):
-            counts = np.concatenate([_unpack(b, np.uint32) for b in columns[f"{kind}_{which}"]])
-            totals[kind, which] = np.bincount(place, weights=counts, minlength=every.size).astype(np.int64)
-            if kind == "word":
-                real = totals[kind, which] * (every != START)
-                sums[which] = int(real.sum()), int((real > 0).sum())
-        for c in chunks:
-            mine = np.searchsorted(every, np.unique(np.concatenate([keys[i] for i in own[c]])))
-            for which in ("full", "kept"):
-                out[f"{kind}_{which}"].append(_pack(totals[kind, which][mine].astype(np.uint64)))
-    for c in chunks:
-        out["chunk"].append(c)
-        for name in ("tokens", "types", "kept_tokens", "kept_types"):
-            out[name].append(0)
-    out["chunk"].append(-1)
-    for name in ("word_full", "word_kept", "pair_full", "pair_kept"):
-        out[name].append(None)
-    for name, value in zip(("tokens", "types", "kept_tokens", "kept_types"), (*sums["full"], *sums["kept"]), strict=True):
-        out[name].append(value)
-    return pa.table({"bucket": pa.array([table["bucket"][0].as_py()] * len(out["chunk"]), pa.int64()), **{k: pa.array(v, pa.binary() if k.startswith(("word", "pair")) else pa.int64()) for k, v in out.items()}})
+            counts = np.concatenate([_unpack(b, np.uint64) for b in table[f"{kind}_{which}"].to_pylist()])
+            out[f"{kind}_{which}"] = np.bincount(place, weights=counts, minlength=every.size).astype(np.uint64)
+    return out
+
+
+def _add_up(exchange: Exchange, level: int):
+    """Sums of one range over a group's parts, cut for the next level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _merged(table)
+        return exchange.parts([found[a] for a in ARRAYS], table["grp"][0].as_py(), table["rng"][0].as_py(), level)
+
+    return run
+
+
+def _handed_back(exchange: Exchange, table: pa.Table, found: dict, totals: dict[str, np.ndarray]) -> dict[str, list]:
+    """Totals of a range for each of its parts, in the order of the part's keys."""
+    out = {"grp": table["child"].to_pylist(), "rng": [r // exchange.fan_out for r in table["rng"].to_pylist()], "part": table["rng"].to_pylist()}
+    for name in TOTALS:
+        out[name] = [_pack(totals[name][place]) for place in found[f"{name[:4]}_places"]]
+    return out | {s: [0] * table.num_rows for s in SUMS}
+
+
+def _totals(exchange: Exchange):
+    """At the last level: totals for each part; a row of group -1 has the range's sums over words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = _merged(table)
+        out = _handed_back(exchange, table, found, found)
+        real = found["word_keys"] != START
+        sums = [int(x) for which in ("full", "kept") for x in (found[f"word_{which}"][real].sum(), (found[f"word_{which}"][real] > 0).sum())]
+        last = {"grp": -1, "rng": 0, "part": table["rng"][0].as_py()} | dict.fromkeys(TOTALS) | dict(zip(SUMS, sums, strict=True))
+        return pa.table({n: pa.array([*v, last[n]], pa.binary() if n in TOTALS else pa.int64()) for n, v in out.items()})
+
+    return run
+
+
+def _hand_down(exchange: Exchange):
+    """Totals that came back for a group's range, for each of its parts."""
+
+    def run(parts: pa.Table, back: pa.Table) -> pa.Table:
+        back = back.sort_by("part")
+        totals = {name: np.concatenate([_unpack(b) for b in back[name].to_pylist()]) for name in TOTALS}
+        found = _merged(parts)
+        if any(totals[n].size != found[f"{n[:4]}_keys"].size for n in TOTALS):
+            raise RuntimeError("totals do not fit a range's keys")
+        return pa.table({n: pa.array(v, pa.binary() if n in TOTALS else pa.int64()) for n, v in _handed_back(exchange, parts, found, totals).items()})
+
+    return run
+
+
+def _exchanged(parts: DataFrame, exchange: Exchange) -> tuple[DataFrame, list[int]]:
+    """(``grp, part`` and the totals of each chunk's words and pairs, [tokens, types, kept tokens, kept types])."""
+    levels = [parts]
+    for level in range(1, exchange.levels):
+        levels[-1] = staged(levels[-1], f"lm-parts-{level}")
+        levels.append(levels[-1].groupBy("grp", "rng").applyInArrow(_add_up(exchange, level), PARTS))
+    back = staged(levels.pop().groupBy("grp", "rng").applyInArrow(_totals(exchange), BACK), "lm-totals")
+    sums = back.filter("grp = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in SUMS)).first()
+    back = back.filter("grp >= 0")
+    while levels:
+        back = staged(levels.pop().groupBy("grp", "rng").cogroup(back.groupBy("grp", "rng")).applyInArrow(_hand_down(exchange), BACK), "lm-handed-down")
+    return back, [int(n) for n in sums]
 
 
 class _ChunkModel:
@@ -175,7 +237,7 @@ class _ChunkModel:
             words.append(np.unique(tokens))
             pairs.append(np.unique(pair))
         self.words, self.pairs = np.unique(np.concatenate([*words, np.array([START])])), np.unique(np.concatenate(pairs))
-        order = np.argsort(counts["bucket"].to_numpy())
+        order = np.argsort(counts["part"].to_numpy())
         rows = counts.take(pa.array(order))
         self.word_n, self.pair_n = (np.concatenate([_unpack(b) for b in rows[f"{kind}_{which}"].to_pylist()]).astype(np.float64) for kind in ("word", "pair"))
         if self.word_n.size != self.words.size or self.pair_n.size != self.pairs.size:
@@ -202,6 +264,7 @@ def learn_weights(bucket: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, e
 
     ``bigram`` and ``unigram`` are estimates relative to the uniform one. Buckets without
     events take the weights learned over all events; without any event the mix is even.
+    Rounds end when no weight changes by more than ``EM_CHANGE``.
     """
     weights = np.full((MAX_CONTEXT_BUCKETS, 3), 1 / 3)
     if not events.size:
@@ -213,8 +276,11 @@ def learn_weights(bucket: np.ndarray, bigram: np.ndarray, unigram: np.ndarray, e
         for _ in range(rounds):
             share = w[slot] * ratios
             share *= (events / share.sum(axis=1))[:, None]
-            w = np.stack([np.bincount(slot, weights=share[:, k], minlength=n) for k in range(3)], axis=1)
-            w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
+            new = np.stack([np.bincount(slot, weights=share[:, k], minlength=n) for k in range(3)], axis=1)
+            new /= np.maximum(new.sum(axis=1, keepdims=True), 1e-300)
+            change, w = np.abs(new - w).max(), new
+            if change < EM_CHANGE:
+                break
         w = np.maximum(w, LEAST_WEIGHT)
         return w / w.sum(axis=1, keepdims=True)
 
@@ -231,21 +297,25 @@ def _ratios(n: np.ndarray, context: np.ndarray, pair: np.ndarray, tokens: int, t
 
 
 def _held_out_events(tokens: int, types: int):
+    """Events of a chunk by context bucket and steps of both ratios, with the sums of the ratios themselves."""
+
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        cells: dict[tuple, np.ndarray] = {}
+        found = [np.zeros((0, 6))]
         if docs.num_rows and counts.num_rows:
             for _, _, _, n, context, pair in _ChunkModel(docs["body"].combine_chunks(), counts, "kept").slices():
                 two, one = _ratios(n, context, pair, tokens, types)
-                step = [np.where(r > 0, np.round(np.log2(np.maximum(r, 1e-300)) / RATIO_STEP), -9999).astype(np.int64) for r in (two, one)]
+                step = [np.where(r > 0, np.round(np.log2(np.maximum(r, 1e-300)) / RATIO_STEP), -9999) for r in (two, one)]
                 cell, at = np.unique(np.stack((context_bucket(context), *step), axis=1), axis=0, return_inverse=True)
-                for key, value in zip(map(tuple, cell.tolist()), np.bincount(at.ravel()).tolist(), strict=True):
-                    cells[key] = cells.get(key, 0) + value
-        rows = [(*k, v) for k, v in cells.items()]
-        return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(("context", "two", "one", "events"))})
+                found.append(np.column_stack((cell, *(np.bincount(at.ravel(), weights=w) for w in (np.ones(n.size), two, one)))))
+        cells = np.concatenate(found)
+        return pa.table({name: cells[:, i].astype(np.int64) if i < 4 else cells[:, i] for i, name in enumerate(CELL)})
 
     return run
 
 
+CELL = ("context", "two", "one", "events", "two_sum", "one_sum")
+
+
 def _score(tokens: int, types: int, weights: np.ndarray, id_type: pa.DataType):
     names = ("n_tokens", "n_known", "base_score", "score")
 
@@ -267,42 +337,41 @@ def _score(tokens: int, types: int, weights: np.ndarray, id_type: pa.DataType):
     return run
 
 
-def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: Column | None = None) -> DataFrame:
+def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", place: Column | None = None, chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES, most_fan: int = MOST_FAN) -> DataFrame:
     """One row per input row: id, ``held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from rows whose crc32(id as text) mod 7 is not 2 (a null id counts as an empty
     text). A null or empty text is its end token only. Rows that repeat an id are separate
-    rows. ``chunk`` is any deterministic long column that puts some thousand neighbouring
-    rows of a file together; without it rows are dealt by hash, which costs one more shuffle
-    of the texts. Other columns are not read. An empty table gives an empty result; without
-    any learning row all tokens are unknown.
+    rows. ``place`` is any deterministic column, by whose hash rows are dealt to chunks;
+    without it the hash of id and text deals them. A chunk is read whole by one task: it has
+    about ``chunk_bytes``, and a longer text at most. Other columns are not read. An empty
+    table gives an empty result; without any learning row all tokens are unknown.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = df.schema[id_col].dataType
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(MODULUS))
-    size = df.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
-    buckets = max(1, -(-(size[0] or 0) // BUCKET_BYTES))
-    if chunk is None:
-        chunk = F.pmod(F.xxhash64(id_col, text_col), F.lit(max(1, size[1] // CHUNK_ROWS)))
-    # The EM slice has chunks of its own, so that it can be read alone.
-    slice_chunk = F.shiftleft(F.shiftrightunsigned(chunk.cast("long"), 2), 1) + F.when(rest == EM_SLICE, 1).otherwise(0)
-    rows = df.select(slice_chunk.alias("chunk"), rest.alias("rest"), text.alias("body"), F.col(id_col).alias("id"))
-
-    blobs = rows.select("chunk", "rest", "body").mapInArrow(_chunk_counts(buckets), "bucket long, chunk long, " + ", ".join(f"{a} binary" for a in ARRAYS))
-    totals = blobs.groupBy("bucket").applyInArrow(_add_up, "bucket long, chunk long, word_full binary, word_kept binary, pair_full binary, pair_kept binary, tokens long, types long, kept_tokens long, kept_types long")
-    totals = staged(totals, "lm-counts")
-    n = totals.filter("chunk = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "kept_tokens", "kept_types"))).first()
-    counts = totals.filter("chunk >= 0")
-
-    slice_rows = rows.filter(F.col("rest") == EM_SLICE).groupBy("chunk").cogroup(counts.filter("chunk % 2 = 1").select("chunk", "bucket", "word_kept", "pair_kept").groupBy("chunk"))
-    events = slice_rows.applyInArrow(_held_out_events(n[2], n[3]), "context long, two long, one long, events long")
-    cells = events.groupBy("context", "two", "one").agg(F.sum("events").alias("events")).toPandas()  # bounded by the ratio steps
-    ratio = {c: np.where(cells[c] == -9999, 0.0, np.exp2(cells[c].clip(-4000, 4000) * RATIO_STEP)) for c in ("two", "one")}
-    weights = learn_weights(cells["context"].to_numpy(), ratio["two"], ratio["one"], cells["events"].to_numpy())
-
-    scored = rows.groupBy("chunk").cogroup(counts.select("chunk", "bucket", "word_full", "pair_full").groupBy("chunk")).applyInArrow(
+    own = rest == EM_SLICE
+    size = df.agg(F.coalesce(F.sum(F.when(own, F.octet_length(text))), F.lit(0)), F.coalesce(F.sum(F.when(~own, F.octet_length(text))), F.lit(0))).first()
+    # The EM slice has chunks of its own, with odd numbers, so that it can be read alone.
+    slices, others = (max(1, -(-n // chunk_bytes)) for n in size)
+    exchange = Exchange(2 * max(slices, others), max(1, -(-sum(size) // range_bytes)), most_fan)
+    deal = F.xxhash64(id_col, text_col) if place is None else F.xxhash64(place)
+    chunk = F.when(own, F.pmod(deal, F.lit(slices)) * 2 + 1).otherwise(F.pmod(deal, F.lit(others)) * 2)
+    rows = df.select(chunk.alias("chunk"), rest.alias("rest"), text.alias("body"), F.col(id_col).alias("id"))
+
+    parts = rows.select("chunk", "rest", "body").groupBy("chunk").applyInArrow(_chunk_counts(exchange), PARTS)
+    counts, n = _exchanged(parts, exchange)
+    counts = counts.withColumnRenamed("grp", "chunk")
+
+    slice_rows = rows.filter(F.col("rest") == EM_SLICE).groupBy("chunk").cogroup(counts.filter("chunk % 2 = 1").select("chunk", "part", "word_kept", "pair_kept").groupBy("chunk"))
+    events = slice_rows.applyInArrow(_held_out_events(n[2], n[3]), "context long, two long, one long, events long, two_sum double, one_sum double")
+    cells = events.groupBy("context", "two", "one").agg(*(F.sum(c).alias(c) for c in CELL[3:])).toPandas()  # bounded by the ratio steps
+    count = cells["events"].to_numpy()
+    weights = learn_weights(cells["context"].to_numpy(), cells["two_sum"].to_numpy() / count, cells["one_sum"].to_numpy() / count, count)
+
+    scored = rows.groupBy("chunk").cogroup(counts.select("chunk", "part", "word_full", "pair_full").groupBy("chunk")).applyInArrow(
         _score(n[0], n[1], weights, to_arrow_type(kind)), f"id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n[0])).cast("long").alias("train_tokens"), "base_score", "score")

@@ -22,8 +22,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    place = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / lm_scoring.CHUNK_ROWS))
-    return lm_scoring.lm_scores(docs.select("doc_id", "text", place.alias("place")), chunk=F.col("place"))
+    place = F.xxhash64("_metadata.file_path", "_metadata.row_index")
+    return lm_scoring.lm_scores(docs.select("doc_id", "text", place.alias("place")), place=F.col("place"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
