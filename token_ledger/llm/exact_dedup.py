@@ -53,6 +53,23 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     )
 
 
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 48) -> DataFrame:
+    """The rows of ``df`` that stay, one for each distinct text, with all their columns.
+
+    The same stages as ``exact_dedup``, but the winner travels as a whole row and nothing is
+    joined back. The row of the largest id stays (a null id only if there is no other); of
+    rows that repeat id and text, that whose columns have the largest hash, so the result
+    does not depend on row order. Nulls and empty texts are one text; the row keeps which it
+    has. Any other columns may be there, of any names. An empty table gives an empty result.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    order = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("tie")).alias("order")
+    rows = df.select(F.sha2(body, 256).alias("digest"), body.alias("body"), row, order)
+    salted = rows.groupBy("digest", F.pmod(F.col("order.tie"), F.lit(salts)).alias("salt"), "body").agg(F.max_by("row", "order").alias("row"), F.max("order").alias("order"))
+    return salted.groupBy("digest", "body").agg(F.max_by("row", "order").alias("row")).select("row.*")
+
+
 def _salt(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
