@@ -14,31 +14,55 @@ from token_ledger.llm import exact_dedup, ngram_jaccard, packing, quality, runti
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the model is fitted on the documents that come in."""
+    """Documents that the quality rules keep; the model is fitted on the documents that come in.
+
+    Null and empty texts go (too few words); repeated rows get one verdict and stay repeated;
+    very long texts are read whole; other columns pass through. No rows give no rows.
+    """
     ratio = quality.fit_log_ratio(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, ratio)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that with the largest id."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), "text_sha256")
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (digest == F.col("text_sha256")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of equal texts: that with the largest id.
+
+    Null and empty texts are one text; a null id stays only if its text has no other; of rows
+    that repeat id and text one stays, by a hash of its columns. Other columns pass through,
+    whatever their names. No rows give no rows.
+    """
+    return exact_dedup.one_of_each(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    kept = ngram_jaccard.ngram_jaccard_join(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One document of each group of near copies: that with the smallest id.
+
+    Documents without words are copies of each other; ties of an id go by a hash of id and
+    text; of rows that repeat both one stays. A null id stays only if its group has no other.
+    Very long texts are compared whole; other columns pass through, whatever their names. No
+    rows give no rows.
+    """
+    found = ngram_jaccard.ngram_jaccard_join(docs).filter("kept").select("row_key")
+    kept = runtime.staged(found, "pipeline-kept")
+    out = docs.join(kept, F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == kept["row_key"], "left_semi")
+    return out if kept.groupBy("row_key").count().filter("count > 1").isEmpty() else exact_dedup.one_of_each(out)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked.
+
+    Null texts stay null, rows without a secret stay as they are, repeated rows stay
+    repeated, very long texts are read whole, other columns pass through; ``n_chars`` follows
+    the text where there is such a column. No rows give no rows.
+    """
     return secrets.redact_secrets(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens.
+
+    A null or empty text is one end token; a repeated row has pieces of its own; only texts
+    of more than 2048 tokens are cut; other columns are not read. No rows give no rows.
+    """
     import public_tokenizers as tokenizers
 
     return packing.pack_documents(docs, tokenizers.path("word_bpe_49k.json"))
