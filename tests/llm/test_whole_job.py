@@ -186,3 +186,65 @@ def test_quality_score_by_brute_force(spark):
             own = grams(texts[r["doc_id"]])
             score = sum(want[g] for g in own) / len(own)
             assert math.isclose(r["score"], score, abs_tol=1e-8) and r["kept"] == (not r["base_failed"] and r["score"] >= threshold)
+
+
+def _scored(edges, rounds=200):
+    """Confidence of each pattern and kind, as ``score_patterns`` states it, in plain Python; edges: (context, wide, body, kind)."""
+    known = collections.defaultdict(set)
+    for context, wide, body, kind in edges:
+        if kind:
+            known[context, kind].add((body, wide))
+    own = {p: s for p, s in known.items() if len({b for b, _ in s}) >= 3 and (p[0].startswith(pii.WIDE) or len({w for _, w in s}) >= 3)}
+    kinds, bodies = collections.defaultdict(set), collections.defaultdict(set)
+    for context, _, body, kind in edges:
+        kinds[context, body] |= {kind} - {None}
+        bodies[context].add(body)
+    conf = dict.fromkeys(own, 0.0)
+    for n in range(rounds):
+        new = {}
+        for p in own:
+            top = low = 0.0
+            for b in bodies[p[0]]:
+                if kinds[p[0], b]:
+                    top, low = top + (kinds[p[0], b] == {p[1]}), low + 1
+                else:
+                    doubt = math.prod(1 - conf[q] for q in own if n and q != p and q[1] == p[1] and b in bodies[q[0]] and not kinds[q[0], b])
+                    top, low = top + pii.UNKNOWN * (1 - doubt), low + pii.UNKNOWN
+            new[p] = top / (low + pii.DOUBT)
+        if max((abs(new[p] - conf[p]) for p in own), default=0) <= pii.CHANGE:
+            return new
+        conf = new
+    return conf
+
+
+def test_pii_scores_by_brute_force(spark):
+    rng = np.random.RandomState(8)
+    edges = {}
+    for k in range(160):
+        context, body = f"{'2' if rng.rand() < 0.5 else '1'} c{rng.randint(9)}", f"b{rng.randint(30)}"
+        kind = ("phone", "card", None)[min(2, rng.randint(4))] if rng.rand() < 0.2 else ("phone" if int(body[1:]) % 2 else None)
+        edges[context, f"w{rng.randint(5)}", body, kind] = True
+    rows = list(edges)
+    df = spark.createDataFrame(rows, "context string, wide string, body string, kind string")
+    got = {(r["context"], r["kind"]): r["confidence"] for r in pii.score_patterns(df, rounds=200).collect()}
+    want = _scored(rows)
+    assert got.keys() == want.keys() and all(math.isclose(got[p], want[p], abs_tol=0.01) for p in want) and len(want) > 3
+
+
+def test_pii_three_seeds_are_enough_and_discoveries_induce_patterns(spark):
+    seeds = [f"word{k} please ring him {p} now{k}" for k, p in enumerate(PHONES)] + [f"wor{k} or call her {p} no{k}" for k, p in enumerate(PHONES[:3])]
+    new = ["030 123 4567", "040 765 4321", "050 111 2222"]
+    links = [f"abc{k} please ring him {n} xyz{k}" for k, n in enumerate(new)] + [f"def{k} secretary at {n} uvw{k}" for k, n in enumerate(new)]
+    more = ["ghi secretary at 060 333 4444 rst", "ghi nothing by 060 333 5555 rst", "ghi or call her 060 333 6666 rst"]
+    got = _found(spark, seeds, links + more)
+    assert got == [*[[("phone", n)] for n in new * 2], [("phone", "060 333 4444")], [], [("phone", "060 333 6666")]]
+
+
+def test_pii_places_many_candidates_in_linear_time(spark):
+    import time
+
+    text = " ".join(f"n{k}" for k in range(80_000)) + " a@b.cd " + "1.2.3.4 " * 2_000
+    began = time.time()
+    row = pii.find_pii(_docs(spark, [(1, text)])).first()
+    assert (row["n_email"], row["n_ip"], row["n_found"]) == (1, 2000, 0)
+    assert time.time() - began < 60
