@@ -42,6 +42,10 @@ def aliases_frame(spark, cutover: float = KIMI_CUTOVER):
     return frame.select("family", "alias", *(F.timestamp_micros((F.round(F.col(c) * 1000) * 1000).cast("bigint")).alias(n) for c, n in (("lo", "valid_from"), ("hi", "valid_to"))))
 
 
+#: A model is looked up under so many names at most.
+MOST_CANDIDATES = 3
+
+
 def pricing_candidates(model: Column, ts: Column, cutover: float = KIMI_CUTOVER) -> Column:
     """Names to look a price up under, in order."""
     family = model_family(bare_model(model))

@@ -15,13 +15,42 @@ REASONING_IN_OUTPUT = "codex-cli"
 FLAG_UNPRICED_ONLY = "claude-code"
 
 
+#: Most prices that are broadcast; public lists have a few hundred.
+MOST_BROADCAST = 50_000
+
+
 def attach_price(events: DataFrame, prices: DataFrame, cutover: float = M.KIMI_CUTOVER, candidates: Column | None = None) -> DataFrame:
     """``events`` with the rates of the first candidate that has a price; null if none has.
 
-    Distinct candidate lists are resolved once (models are few, events many) and joined back.
-    A price is found under the exact name or its lower-case form.
+    A price is found under the exact name or its lower-case form. The price table is counted;
+    up to ``MOST_BROADCAST`` rows it goes to the events, which are neither shuffled nor read
+    twice. Beyond it, and for ``candidates`` of the caller's, distinct candidate lists are
+    resolved once (models are few, events many) and joined back.
     """
-    keyed = events.withColumn("_candidates", M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), cutover) if candidates is None else candidates)
+    if candidates is None and prices.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        return _attach_broadcast(events, prices, M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), cutover))
+    return _attach_resolved(events, prices, M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), cutover) if candidates is None else candidates)
+
+
+def _attach_broadcast(events: DataFrame, prices: DataFrame, names: Column) -> DataFrame:
+    """One look-up for each of the three places of the candidate list."""
+    rate = F.struct(*RATES)
+    lookup = prices.groupBy(F.lower("family").alias("_low")).agg(F.min_by(rate, "family").alias("_low_rate"), F.collect_list(F.struct("family", rate.alias("rate"))).alias("_exact"))
+    out, found = events.withColumn("_names", names), []
+
+    def exact(rows: str, name: Column) -> Column:
+        return F.get(F.filter(rows, lambda x: x["family"] == name), F.lit(0))["rate"]
+
+    for n in range(M.MOST_CANDIDATES):
+        side = F.broadcast(lookup.select(*(F.col(c).alias(f"{c}{n}") for c in lookup.columns)))
+        name = F.get("_names", F.lit(n))
+        out = out.join(side, F.lower(name) == F.col(f"_low{n}"), "left")
+        found.append(F.coalesce(exact(f"_exact{n}", name), F.col(f"_low_rate{n}")))
+    return out.select(*(F.col(f"`{c}`") for c in events.columns), F.coalesce(*found).alias("_rate")).select(*(F.col(f"`{c}`") for c in events.columns), "_rate.*")
+
+
+def _attach_resolved(events: DataFrame, prices: DataFrame, names: Column) -> DataFrame:
+    keyed = events.withColumn("_candidates", names)
     each = keyed.select("_candidates").distinct().select("_candidates", F.posexplode("_candidates").alias("_pos", "_name"))
     exact = prices.select(F.col("family").alias("_name"), F.struct(*RATES).alias("_rate"))
     lower = prices.groupBy(F.lower("family").alias("_low")).agg(F.min_by(F.struct(*RATES), "family").alias("_low_rate"))
