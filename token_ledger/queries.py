@@ -26,7 +26,7 @@ from .operators import rollup as A
 from .operators import traces as T
 from .plans import reports
 from .schema import TOKENS
-from .session import configure
+from .session import configure, shared_dir
 
 USAGE = """
 SELECT CAST(event_id AS BIGINT) AS arrival,
@@ -477,18 +477,18 @@ def q_fallback_model(spark, d):
 
 
 @query("""SELECT arrival FROM usage_v WHERE arrival NOT IN (
-  SELECT arrival FROM (SELECT *, lag(model_raw) OVER w AS m, lag(source_file_line) OVER w AS pl, lag(arrival) OVER w AS pa FROM usage_v WHERE source_id = 'codex-cli' WINDOW w AS (PARTITION BY source_file_path ORDER BY source_file_line, arrival))
-  WHERE model_raw = m AND arrival % 3 = pa % 3 AND pl IS NOT NULL)""")
+  SELECT arrival FROM (SELECT *, lag(model_raw) OVER w AS m, lag(source_file_line) OVER w AS pl, lag(arrival) OVER w AS pa, arrival % 2 AS a, lag(arrival % 2) OVER w AS la, arrival % 5 // 3 AS b, lag(arrival % 5 // 3) OVER w AS lb FROM usage_v WHERE source_id = 'codex-cli' WINDOW w AS (PARTITION BY source_file_path ORDER BY source_file_line, arrival))
+  WHERE model_raw = m AND a = la AND b = lb AND arrival % 3 = pa % 3 AND pl IS NOT NULL)""")
 def q_lag_duplicates(spark, d):
     u = usage(spark, d)
-    same = u.withColumns({t: F.lit(1).cast("bigint") for t in TOKENS})
+    same = u.withColumns({t: F.expr("CAST(arrival % 2 AS BIGINT)" if n < 4 else "CAST(arrival % 5 DIV 3 AS BIGINT)") for n, t in enumerate(TOKENS)})
     totals = u.select(F.col("source_file_path").alias("file_path"), F.col("source_file_line").alias("line"), F.expr("arrival % 3").alias("total"))
     return C.lag_duplicates(same, totals).select("arrival")
 
 
 def _forks(spark, d):
     """Even users are parents; the user after each is its child, which starts with some of the parent's rows."""
-    e = _table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), "value")
+    e = _table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"), "value")
     parent = e.filter("user_id % 2 = 0").select(F.concat(F.lit("f"), "user_id").alias("file_path"), F.struct("at", "event_id").alias("line"), F.lit("h").alias("home"), F.col("user_id").cast("string").alias("session_id"), "at", F.col("value").alias("snapshot"))
     copied = parent.filter("line.event_id % 4 <> 3").select(F.concat(F.lit("f"), F.col("session_id").cast("bigint") + 1).alias("file_path"), "line", "home", (F.col("session_id").cast("bigint") + 1).cast("string").alias("session_id"), "at", "snapshot")
     own = e.filter("user_id % 2 = 1").select(F.concat(F.lit("f"), "user_id").alias("file_path"), F.struct((F.col("at") + F.expr("interval 100 days")).alias("at"), "event_id").alias("line"), F.lit("h").alias("home"), F.col("user_id").cast("string").alias("session_id"), "at", F.col("value").alias("snapshot"))
@@ -496,7 +496,7 @@ def _forks(spark, d):
     return parent.unionByName(copied).unionByName(own), forks
 
 
-@query("""WITH e AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'click'),
+@query("""WITH e AS (SELECT event_id, user_id, ts, value FROM events),
 shots AS (SELECT user_id AS s, ts AS k, event_id, value FROM e WHERE user_id % 2 = 0 UNION ALL SELECT user_id + 1, ts, event_id, value FROM e WHERE user_id % 2 = 0 AND event_id % 4 <> 3 UNION ALL SELECT user_id, ts + INTERVAL 100 DAY, event_id, value FROM e WHERE user_id % 2 = 1),
 num AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, event_id) AS n FROM shots),
 par AS (SELECT user_id + 1 AS s, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM e WHERE user_id % 2 = 0 AND ts <= TIMESTAMP '2024-01-20' AND user_id + 1 IN (SELECT user_id FROM e)),
@@ -523,10 +523,10 @@ def q_source_precedence(spark, d):
     return T.source_precedence(spark.sql(f"SELECT {_PREC} FROM {{e}}", e=_table(spark, d, "events"))).select("event_id", "kind_rank")
 
 
-@query("SELECT o_orderkey, coalesce(c, 0) AS cache_create, coalesce(r, 0) AS cache_read FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS c, arg_max(l_suppkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS r FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey", base=False)
+@query("SELECT o_orderkey, coalesce(c, 0) AS cache_create, coalesce(r, 0) AS cache_read FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_partkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS c, arg_max(l_suppkey, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey) AS r FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey", base=False)
 def q_ledger_cache_join(spark, d):
     ledger = _table(spark, d, "orders").select(F.lit("f").alias("file_path"), F.col("o_orderkey").alias("message_id"))
-    messages = _table(spark, d, "lineitem").filter("l_returnflag = 'R'").select(F.lit("f").alias("file_path"), F.col("l_orderkey").alias("message_id"), F.expr("CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("position"), F.col("l_partkey").alias("cache_create"), F.col("l_suppkey").alias("cache_read"))
+    messages = _table(spark, d, "lineitem").select(F.lit("f").alias("file_path"), F.col("l_orderkey").alias("message_id"), F.expr("CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey").alias("position"), F.col("l_partkey").alias("cache_create"), F.col("l_suppkey").alias("cache_read"))
     return L.ledger_cache_join(ledger, messages).select(F.col("message_id").alias("o_orderkey"), "cache_create", "cache_read")
 
 
@@ -817,13 +817,12 @@ def q_scan_openclaw(spark, d):
     return _scanned(_scan("openclaw")(spark, lines.unionByName(heads)))
 
 
-@query(_scan_sql(project="'GitHub Copilot CLI'", sessions="count(DISTINCT session_id)", keys="count(DISTINCT arrival)", where="source_id = 'opencode' OR NOT shared", **_ALL).replace("FROM usage_v", f"FROM (SELECT *, max(CASE WHEN source_id = 'opencode' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id) = 1 AS shared FROM usage_v WHERE source_id IN ('opencode', 'qwen') AND {TOTAL} > 0)"))
+@query(_scan_sql(project="'GitHub Copilot CLI'", sessions="count(DISTINCT session_id)", keys="count(DISTINCT arrival)", where="chat OR NOT shared", **_ALL).replace("FROM usage_v", f"FROM (SELECT *, bool_or(chat) OVER (PARTITION BY session_id) AS shared FROM (SELECT *, source_id IN ('opencode', 'codex-cli', 'gemini-cli') AS chat FROM usage_v WHERE {TOTAL} > 0))"))
 def q_scan_copilot(spark, d):
-    kind = "CASE source_id WHEN 'opencode' THEN 'chat' ELSE 'invoke_agent' END"
+    kind = "CASE WHEN source_id IN ('opencode', 'codex-cli', 'gemini-cli') THEN 'chat' ELSE 'invoke_agent' END"
     attributes = f"map('gen_ai.operation.name', {kind}, 'gen_ai.response.model', model_raw, 'session.id', session_id, 'gen_ai.usage.input_tokens', CAST(input_tokens + cache_read_tokens AS STRING), 'gen_ai.usage.output_tokens', CAST(output_tokens AS STRING), 'gen_ai.usage.cache_read.input_tokens', CAST(cache_read_tokens AS STRING), 'gen_ai.usage.cache_write.input_tokens', CAST(cache_create_tokens AS STRING), 'gen_ai.usage.reasoning_tokens', CAST(reasoning_tokens AS STRING))"
     record = f"to_json(named_struct('type', 'span', 'name', 'x', 'traceId', session_id, 'spanId', CAST(arrival AS STRING), 'endTime', array(unix_seconds(timestamp_utc), 0L), 'attributes', {attributes}))"
-    u = usage(spark, d).filter("source_id IN ('opencode', 'qwen')")
-    lines = u.selectExpr("'/c/all.jsonl' AS file_path", "arrival AS line", f"{record} AS value", "timestamp_utc AS modified_at").withColumn("file_path", F.concat(F.lit("/c/"), F.get_json_object("value", "$.traceId"), F.lit(".jsonl")))
+    lines = usage(spark, d).selectExpr("'/c/all.jsonl' AS file_path", "arrival AS line", f"{record} AS value", "timestamp_utc AS modified_at").withColumn("file_path", F.concat(F.lit("/c/"), F.get_json_object("value", "$.traceId"), F.lit(".jsonl")))
     return _scanned(_scan("copilot")(spark, lines))
 
 
@@ -898,24 +897,16 @@ def q_live_over_archived(spark, d):
 # Streams over the same rows
 
 
-def _stream_dir(spark, name: str) -> str:
-    import tempfile
-    import uuid
-
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledger-")
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _streamed(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and reads its sink."""
-    out, check = _stream_dir(spark, name), _stream_dir(spark, f"{name}-state")
+    out, check = shared_dir(spark, name), shared_dir(spark, f"{name}-state")
     stream.writeStream.outputMode(mode).format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
 def _landed(spark, df: DataFrame, name: str) -> DataFrame:
     """The rows as a stream of files."""
-    path = _stream_dir(spark, name)
+    path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
 

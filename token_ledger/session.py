@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -18,3 +21,21 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share, under ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="ledger-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back, for what several branches read."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

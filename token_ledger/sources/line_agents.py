@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions.models import model_family
 from ..operators import counters as C
 from ..operators import traces as T
+from ..session import staged
 from .events import usage_rows
 from .lines import as_documents, as_lines, prefer_live_over_archived
 
@@ -66,16 +67,21 @@ def scan_claude(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     )
 
 
-def _counters(base: str) -> Column:
-    """Counter struct at a path; null if there is no object."""
-    at = lambda *keys: J.integer(V, *(f"{base}.{k}" for k in keys))
+def _object(*paths: str) -> Column:
+    """The first of several paths that holds an object, as a variant."""
+    found = (F.try_variant_get(V, J.path(*p.split(".")), "variant") for p in paths)
+    return F.coalesce(*(F.when(F.schema_of_variant(v).startswith("OBJECT"), v) for v in found))
+
+
+def _counters(v: str) -> Column:
+    """Counter struct of an object; null without one."""
+    at = lambda *keys: J.integer(v, *keys)
     zero = F.lit(0).cast("bigint")
     part = lambda *keys: F.coalesce(at(*keys), zero)
     i, o, r = part("input_tokens", "prompt_tokens", "input"), part("output_tokens", "completion_tokens", "output"), part("reasoning_output_tokens", "reasoning_tokens")
     told = at("total_tokens")
     total = F.coalesce(F.when((told > 0) | (i + o + r == 0), told), i + o + r)
-    is_object = F.coalesce(F.schema_of_variant(F.try_variant_get(V, J.path(*base.split(".")), "variant")).startswith("OBJECT"), F.lit(False))
-    return F.when(is_object, F.struct(i.alias("input"), part("cached_input_tokens", "cache_read_input_tokens", "cached_tokens").alias("cached"), o.alias("output"), r.alias("reasoning"), total.alias("total")))
+    return F.when(F.col(v).isNotNull(), F.struct(i.alias("input"), part("cached_input_tokens", "cache_read_input_tokens", "cached_tokens").alias("cached"), o.alias("output"), r.alias("reasoning"), total.alias("total")))
 
 
 def _model_at(*bases: str) -> Column:
@@ -90,14 +96,14 @@ def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Token counters (cumulative or per call) and headless usage records.
 
     In order: repeats are dropped and deltas taken, then models resolved, then what a forked
-    session repeats of its parent goes, then rows without tokens.
+    session repeats of its parent goes, then rows without tokens. Lines are parsed when this
+    is called, and what was read stands in the shared folder.
     """
     lines = as_lines(spark, path)
     live = prefer_live_over_archived(lines.select("file_path").distinct())
     lines = _parsed(lines.join(live, "file_path"))
     kind, inner = J.text(V, "type"), J.text(V, "payload.type")
     is_counter, is_context = (kind == "event_msg") & (inner == "token_count"), kind == "turn_context"
-    usage_at = [_counters(f"{b}.usage" if b else "usage") for b in HEADLESS]
     stamp = J.text(V, "timestamp")
     rows = lines.select(
         "file_path",
@@ -106,13 +112,15 @@ def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         F.coalesce(is_counter, F.lit(False)).alias("is_counter"),
         F.coalesce(is_context, F.lit(False)).alias("is_context"),
         F.coalesce(stamp, J.text(V, *(f"{b}.{k}" if b else k for b in HEADLESS for k in ("timestamp", "created_at", "createdAt")))).alias("stamp"),
-        F.when(is_counter, _counters("payload.info.total_token_usage")).alias("total"),
-        F.when(is_counter, _counters("payload.info.last_token_usage")).alias("last"),
-        F.when(~F.coalesce(is_counter | is_context, F.lit(False)), F.coalesce(*usage_at)).alias("headless"),
+        F.when(is_counter, _object("payload.info.total_token_usage")).alias("total"),
+        F.when(is_counter, _object("payload.info.last_token_usage")).alias("last"),
+        F.when(~F.coalesce(is_counter | is_context, F.lit(False)), _object(*(f"{b}.usage" if b else "usage" for b in HEADLESS))).alias("headless"),
         F.when(is_context | is_counter, _model_at("payload", "payload.info")).otherwise(_model_at(*HEADLESS)).alias("model"),
         F.when(kind == "session_meta", J.text(V, "payload.id")).alias("meta_id"),
         F.when((kind == "session_meta") & (F.row_number().over(Window.partitionBy("file_path").orderBy("line")) == 1), J.text(V, "payload.forked_from_id")).alias("parent_id"),
     ).filter("is_counter OR is_context OR headless IS NOT NULL OR meta_id IS NOT NULL")
+    # Six branches read these few columns: they are taken out of the JSON once.
+    rows = staged(rows.withColumns({c: _counters(c) for c in ("total", "last", "headless")}), "codex-rows")
 
     # What a child session repeats of its parent: judged on every counter row with a snapshot.
     own_id = F.lower(F.regexp_extract("file_path", r"([0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})\.jsonl$", 1))
