@@ -17,7 +17,8 @@ def dashboard(usage: DataFrame, devices: DataFrame, descriptors: DataFrame, toda
     """Totals, sources, devices, models, days, activity and the models to choose from, by name.
 
     The activity range is fixed and ignores the chosen days; the list of models ignores the
-    chosen models. Plans share their scan; cache ``usage`` if all are asked for.
+    chosen models. Each part reads ``usage``: hand over a written table (``session.staged``) if
+    all are asked for.
     """
     scoped = P.visible_scope(usage, "source_id", visible, sources)
     base = P.filter_usage(scoped, models=models, devices=device_ids, start=start, end=end, tz=tz)

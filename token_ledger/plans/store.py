@@ -1,8 +1,9 @@
-"""Tables on storage: versioned events, published days, cached devices.
+"""Tables on storage: versioned events with file state, published days, cached devices.
 
-Parquet has no merge, so a changed table is a new version and a pointer; partitions that
-stand alone (device and day) are overwritten one by one. A path that is being read is never
-overwritten.
+Parquet has no merge, so a change is a new version that holds the changed (source, day)
+partitions only, a listing of the version that each partition stands in now, and a pointer
+that makes both visible. Partitions that stand alone (device and day) are overwritten one by
+one. A path that is being read is never overwritten.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import upsert_events
+from ..operators.dedup import KEYS, upsert_events
 from ..operators.exchange import day_checksum, days_to_publish, utc_day
-from ..sources.published import day_documents
+from ..session import staged
+from ..sources.published import day_documents, profile_documents
+
+PARTITION = ("source_id", "day_utc")
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
@@ -29,32 +33,84 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     return newest["version"] if newest else None
 
 
+def _listing(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """``source_id, day_utc, version``: where each partition stands."""
+    return spark.read.schema("source_id string, day_utc date, version string").parquet(f"{root}/listings/{version}")
+
+
 def read_events(spark: SparkSession, root: str) -> DataFrame | None:
+    """The events of the current version, with ``day_utc``; None for a new store."""
+    version = current_version(spark, root)
+    if version is None:
+        return None
+    rows = spark.read.parquet(f"{root}/events")
+    # A listing has a row for each source and day; Spark broadcasts it and prunes partitions by it.
+    return rows.join(_listing(spark, root, version), ["version", *PARTITION], "left_semi").drop("version")
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """File state of the current version; None if there is none."""
     version = current_version(spark, root)
-    return spark.read.parquet(f"{root}/events/{version}") if version else None
+    return spark.read.parquet(f"{root}/state/{version}") if version else None
 
 
 def write_events(incoming: DataFrame, root: str, state: DataFrame | None = None) -> str:
-    """Merges a scan into the store: data, then file state, then the pointer that makes both visible."""
+    """Merges a scan into the store: data, file state, listing, then the pointer that makes all visible.
+
+    Written anew are the partitions that rows come into and those that hold an event of a key
+    that comes in. State that comes in replaces that of the same ``file_path``; other files
+    keep theirs.
+    """
     spark = incoming.sparkSession
-    version = uuid.uuid4().hex
-    old = read_events(spark, root)
-    merged = incoming if old is None else upsert_events(old.drop("day_utc"), incoming)
-    merged.withColumn("day_utc", F.to_date("timestamp_utc")).write.partitionBy("source_id", "day_utc").parquet(f"{root}/events/{version}")
-    if state is not None:
-        state.write.parquet(f"{root}/state/{version}")
+    before, version = current_version(spark, root), uuid.uuid4().hex
+    incoming = staged(incoming.withColumn("day_utc", F.to_date("timestamp_utc")), "store-incoming")
+    touched = incoming.select(*PARTITION).distinct()
+    merged = upsert_events(incoming.limit(0), incoming)
+    if before is not None:
+        old = read_events(spark, root)
+        met = old.select(*KEYS, *PARTITION).join(incoming.select(*KEYS).distinct(), list(KEYS), "left_semi")
+        touched = staged(touched.unionByName(met.select(*PARTITION)).distinct(), "store-touched")
+        part = old.join(touched, list(PARTITION), "left_semi")
+        merged = upsert_events(part.select(*incoming.columns), incoming)
+    merged = staged(merged, "store-merged")
+    merged.repartition(*PARTITION, F.pmod(F.xxhash64("dedup_key"), F.lit(8))).write.partitionBy(*PARTITION).parquet(f"{root}/events/version={version}")
+    listing = merged.select(*PARTITION).distinct().withColumn("version", F.lit(version))
+    states = state
+    if before is not None:
+        listing = _listing(spark, root, before).join(touched, list(PARTITION), "left_anti").select(*PARTITION, "version").unionByName(listing)
+        kept = read_state(spark, root)
+        states = kept if state is None else kept.join(state.select("file_path"), "file_path", "left_anti").unionByName(state, allowMissingColumns=True)
+    listing.write.parquet(f"{root}/listings/{version}")
+    states = states if states is not None else spark.createDataFrame([], "file_path string")
+    states.write.parquet(f"{root}/state/{version}")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).coalesce(1).write.mode("append").json(f"{root}/pointers")
     return version
 
 
-def publish_days(buckets: DataFrame, root: str, published: DataFrame, generated_at: str) -> DataFrame:
-    """Writes new and changed device-days as documents, then the manifest; returns the changes."""
-    mine = day_checksum(buckets)
-    changes = days_to_publish(mine, published).cache()
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def publish_days(buckets: DataFrame, root: str, published: DataFrame, generated_at: str, profiles: DataFrame | None = None) -> DataFrame:
+    """Writes new and changed device-days as documents, deletes those that are empty now, then writes manifest and profiles; returns the changes.
+
+    ``profiles`` has ``device_id, name`` of the devices that publish.
+    """
+    spark = buckets.sparkSession
+    mine = staged(day_checksum(buckets), "publish-manifest")
+    changes = staged(days_to_publish(mine, published), "publish-changes")
     due = changes.filter("change != 'gone'").select("device_id", "day_utc")
     fresh = buckets.withColumn("day_utc", utc_day(F.col("hour_utc"))).join(due, ["device_id", "day_utc"], "left_semi").drop("day_utc")
     day_documents(fresh, generated_at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id", "day_utc").text(f"{root}/days")
+    gone = changes.filter("change = 'gone'")
+    for r in gone.select("device_id", "day_utc").toLocalIterator():  # names of emptied days only
+        _delete(spark, f"{root}/days/device_id={r['device_id']}/day_utc={r['day_utc']}")
     mine.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id").parquet(f"{root}/manifest")
+    for r in gone.select("device_id").distinct().join(mine.select("device_id"), "device_id", "left_anti").toLocalIterator():
+        _delete(spark, f"{root}/manifest/device_id={r['device_id']}")
+    if profiles is not None:
+        profile_documents(profiles, generated_at).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("device_id").text(f"{root}/profiles")
     return changes
 
 

@@ -26,7 +26,7 @@ from .operators import rollup as A
 from .operators import traces as T
 from .plans import reports
 from .schema import TOKENS
-from .session import configure, shared_dir
+from .session import configure, shared_dir, staged
 
 USAGE = """
 SELECT CAST(event_id AS BIGINT) AS arrival,
@@ -685,14 +685,12 @@ def q_usage_from_conversations(spark, d):
     return K.normalize_tokens(rows).groupBy("conv_id").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def _long(parts: dict[str, DataFrame], keys: dict[str, str], value: str) -> DataFrame:
-    """Bundles as one table ``section, key, value``."""
+def _long(parts: dict[str, DataFrame], keys: dict[str, str], value: str, other: dict[str, str]) -> DataFrame:
+    """Bundles as one table ``section, key, value``; ``other``: what stands for the value in some sections."""
     out = None
     for name, key in keys.items():
-        part = parts[name]
-        v = value if value in part.columns else "total"
-        part = part if v in part.columns else part.withColumn("total", K.total())
-        row = part.select(F.lit(name).alias("section"), F.expr(key).cast("string").alias("key"), F.col(v).cast("bigint").alias("value"))
+        v = other.get(name, value if value in parts[name].columns else TOTAL)
+        row = parts[name].select(F.lit(name).alias("section"), F.expr(key).cast("string").alias("key"), F.expr(v).cast("bigint").alias("value"))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -704,21 +702,27 @@ _IN = "CAST(timestamp_utc AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-3
 UNION ALL SELECT 'sources', source_id, sum({TOTAL}) FROM ev WHERE {_IN} AND source_id IN ('claude-code', 'codex-cli', 'gemini-cli') GROUP BY 2
 UNION ALL SELECT 'devices', device_id, sum({TOTAL}) FROM ev WHERE {_IN} AND device_id IN ('device-a', 'device-b') GROUP BY 2
 UNION ALL SELECT 'models', model_family || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2
-UNION ALL SELECT 'daily', CAST(CAST(timestamp_utc AS DATE) AS STRING) || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2)""")
+UNION ALL SELECT 'daily', CAST(CAST(timestamp_utc AS DATE) AS STRING) || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2
+UNION ALL SELECT 'activity', CAST(day AS STRING), coalesce(t, 0) FROM (SELECT CAST(unnest(generate_series(DATE '2023-08-16', DATE '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN (SELECT CAST(timestamp_utc AS DATE) AS d, sum({TOTAL}) AS t FROM ev GROUP BY 1) ON d = day
+UNION ALL SELECT 'available_models', model_family, 1 FROM ev WHERE {_IN} GROUP BY 2)""")
 def q_dashboard(spark, d):
     names = spark.createDataFrame(list(_DESCRIPTORS), "source_id string, display_name string, sort_order int")
-    parts = reports.dashboard(merged(spark, d), _devices(spark), names, TODAY, dt.date(2024, 1, 1), TODAY)
-    return _long(parts, {"totals": "''", "sources": "source_id", "devices": "device_id", "models": "concat(model_family, '/', source_id)", "daily": "concat(day, '/', source_id)"}, "total_tokens")
+    parts = reports.dashboard(staged(merged(spark, d), "dashboard"), _devices(spark), names, TODAY, dt.date(2024, 1, 1), TODAY)
+    return _long(parts, {"totals": "''", "sources": "source_id", "devices": "device_id", "models": "concat(model_family, '/', source_id)", "daily": "concat(day, '/', source_id)", "activity": "day", "available_models": "model_family"}, "total_tokens", {"available_models": "1"})
 
 
 @query(f"""SELECT section, key, CAST(value AS BIGINT) AS value FROM (SELECT 'totals' AS section, '' AS key, sum({TOTAL}) AS value FROM ev WHERE {_IN}
 UNION ALL SELECT 'projects', coalesce(project_or_workspace, '') || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2
 UNION ALL SELECT 'models', model_family || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2
-UNION ALL SELECT 'sources', source_id, sum({TOTAL}) FROM ev WHERE {_IN} AND source_id IN ('claude-code', 'codex-cli', 'gemini-cli') GROUP BY 2)""")
+UNION ALL SELECT 'sources', source_id, sum({TOTAL}) FROM ev WHERE {_IN} AND source_id IN ('claude-code', 'codex-cli', 'gemini-cli') GROUP BY 2
+UNION ALL SELECT 'comparison', '', sum({TOTAL}) FILTER (WHERE {_IN}) - coalesce(sum({TOTAL}) FILTER (WHERE CAST(timestamp_utc AS DATE) BETWEEN DATE '2023-12-02' AND DATE '2023-12-31'), 0) FROM ev
+UNION ALL SELECT 'daily', CAST(CAST(timestamp_utc AS DATE) AS STRING) || '/' || source_id, sum({TOTAL}) FROM ev WHERE {_IN} GROUP BY 2
+UNION ALL SELECT 'active_days', '', count(DISTINCT CAST(timestamp_utc AS DATE)) FROM ev WHERE {_IN})""")
 def q_insights(spark, d):
     names = spark.createDataFrame(list(_DESCRIPTORS), "source_id string, display_name string, sort_order int")
-    parts = reports.insights(merged(spark, d), events(spark, d), names, dt.date(2024, 1, 1), TODAY)
-    return _long(parts, {"totals": "''", "projects": "concat(project, '/', source_id)", "models": "concat(model_family, '/', source_id)", "sources": "source_id"}, "total_tokens")
+    own = staged(events(spark, d), "insights")
+    parts = reports.insights(A.all_usage(own, F.col("device_id")), own, names, dt.date(2024, 1, 1), TODAY)
+    return _long(parts, {"totals": "''", "projects": "concat(project, '/', source_id)", "models": "concat(model_family, '/', source_id)", "sources": "source_id", "comparison": "''", "daily": "concat(day, '/', source_id)", "active_days": "''"}, "total_tokens", {"comparison": "current_tokens - coalesce(previous_tokens, 0)", "active_days": "active_days"})
 
 
 # Scans: the events written as each agent writes its log, and read back
@@ -894,9 +898,120 @@ def q_live_over_archived(spark, d):
     return prefer_live_over_archived(files).filter("file_path LIKE '%/sessions/%'").agg(F.count(F.lit(1)).alias("files"))
 
 
+# Folders and stores: written from the events, and read back
+
+
+@query("SELECT source_id, count(*) AS lines, CAST(sum(arrival) AS BIGINT) AS arrivals, CAST(sum(source_file_line - 1) AS BIGINT) AS line_numbers, count(DISTINCT source_file_path) AS files FROM usage_v GROUP BY 1")
+def q_read_lines(spark, d):
+    """A log for each file of an event, as lines of text in the order of its rows."""
+    from .sources.lines import read_lines
+
+    place = shared_dir(spark, "lines")
+    rows = usage(spark, d).selectExpr("md5(source_file_path) AS file", "source_file_line", "concat_ws(',', source_id, CAST(arrival AS STRING)) AS value")
+    rows.repartition("file").sortWithinPartitions("file", "source_file_line").select("file", "value").write.partitionBy("file").text(place)
+    lines = read_lines(spark, place, "*.txt").withColumn("f", F.split("value", ","))
+    return lines.groupBy(F.col("f")[0].alias("source_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("f")[1].cast("bigint")).alias("arrivals"), F.sum("line").alias("line_numbers"), F.count_distinct("file_path").alias("files"))
+
+
+@query("SELECT device_id, count(*) AS events, count(DISTINCT session_id) AS sessions FROM usage_v GROUP BY 1")
+def q_read_documents(spark, d):
+    """A document for each device, read whole, and the listing of the same files."""
+    from .sources.lines import discover_files, read_documents
+
+    place = shared_dir(spark, "documents")
+    usage(spark, d).repartition("device_id").selectExpr("device_id AS device", "session_id AS value").write.partitionBy("device").text(place)
+    docs = read_documents(spark, place, "*.txt").join(discover_files(spark, place, "*.txt").select("file_path"), "file_path")
+    each = docs.select(F.regexp_extract("file_path", "device=([^/]+)/", 1).alias("device_id"), F.explode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("session_id"))
+    return each.groupBy("device_id").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("session_id").alias("sessions"))
+
+
+@query("SELECT family, CAST(input_rate AS DOUBLE) AS input_rate, CAST(output_rate AS DOUBLE) AS output_rate, CAST(cache_write_rate AS DOUBLE) AS cache_write_rate, CAST(cache_read_rate AS DOUBLE) AS cache_read_rate FROM price WHERE family IN (SELECT c2 FROM cand UNION SELECT c3 FROM cand UNION SELECT model_family FROM cand)")
+def q_price_snapshot(spark, d):
+    """Prices of the families that the events name, as a snapshot of rates a million."""
+    from .sources.published import read_price_snapshot
+
+    named = usage(spark, d).select(F.explode(M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), CUTOVER)).alias("family")).distinct()
+    rows = prices(spark).join(named, "family", "left_semi")
+    million = F.struct(*((F.col(c) * 1000000).cast("decimal(14,6)").alias(n) for c, n in zip(R.RATES, ("inputPerMillion", "outputPerMillion", "cacheWritePerMillion", "cacheReadPerMillion"), strict=True)))
+    place = shared_dir(spark, "prices")
+    rows.agg(F.map_from_entries(F.collect_list(F.struct("family", million.alias("rates")))).alias("m")).select(F.to_json("m")).write.text(place)  # a row for each family
+    return _money(read_price_snapshot(spark, place))
+
+
+@query("SELECT source_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(cost_usd) AS DOUBLE) AS cost_usd, count(DISTINCT CAST(timestamp_utc AS DATE)) AS days FROM ev GROUP BY 1")
+def q_event_store(spark, d):
+    """Two scans into one store, the second with keys and partitions of the first, then the events and the state of all files."""
+    from .plans import store
+
+    rows, place = priced(spark, d), shared_dir(spark, "store")
+    state = rows.select(F.col("source_file_path").alias("file_path"), "source_id").distinct()
+    even = F.pmod(F.xxhash64("file_path"), F.lit(2)) == 0
+    store.write_events(rows.filter("arrival % 3 != 0"), place, state.filter(even))
+    store.write_events(rows.filter("arrival % 3 = 0"), place, state.filter(~even))
+    found = store.read_events(spark, place)
+    # Every file's state is there after both scans.
+    files = store.read_state(spark, place).join(state, ["file_path", "source_id"]).groupBy("source_id").count().join(state.groupBy("source_id").agg(F.count(F.lit(1)).alias("all")), "source_id").filter("count = all")
+    out = found.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("cost_usd").alias("cost_usd"), F.count_distinct("day_utc").alias("days"))
+    return _money(out.join(files.select("source_id"), "source_id"))
+
+
+@query(f"{_DAYS}, kept AS (SELECT * FROM days WHERE day % 6 <> 0) SELECT device_id, day_utc, true AS ok, CAST(NULL AS STRING) AS reason, CAST(NULL AS STRING) AS name FROM kept UNION ALL SELECT DISTINCT device_id, NULL, NULL, NULL, 'name of ' || device_id FROM kept")
+def q_publish_days(spark, d):
+    """All days are published, then those that are left after some were emptied; read back, verified, with the profiles."""
+    from .plans import store
+    from .sources.published import read_day_documents, read_profiles
+
+    b, place = _buckets(spark, d), shared_dir(spark, "published")
+    none = X.day_checksum(b).limit(0)
+    names = b.select("device_id", F.concat(F.lit("name of "), "device_id").alias("name")).distinct()
+    store.publish_days(b, place, none, "2024-02-01T00:00:00Z", names)
+    left = b.filter("day(hour_utc) % 6 <> 0")
+    store.publish_days(left, place, spark.read.parquet(f"{place}/manifest").drop("bucket_count").withColumn("day_utc", F.col("day_utc").cast("string")), "2024-02-02T00:00:00Z", names)
+    manifest = spark.read.parquet(f"{place}/manifest").select("device_id", "day_utc", "checksum")
+    ok = X.verify_days(read_day_documents(spark, f"{place}/days"), manifest)
+    profiles = X.device_registry(read_profiles(spark, f"{place}/profiles"), "device-a").select("device_id", F.col("device_name").alias("name"))
+    return ok.unionByName(profiles, allowMissingColumns=True)
+
+
+@query(f"SELECT device_id, strftime(hour_utc, '%Y-%m-%d') AS day_utc, CAST(sum(event_count * CASE WHEN day(hour_utc) % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS event_count FROM bucket WHERE device_id <> 'device-b' GROUP BY 1, 2")
+def q_device_cache(spark, d):
+    """Device-days in a cache; some are replaced, then one device is dropped."""
+    from .plans import store
+
+    b, place = _buckets(spark, d), shared_dir(spark, "cache")
+    store.replace_device_day(b, place)
+    store.replace_device_day(b.filter("day(hour_utc) % 3 = 0").withColumn("event_count", F.col("event_count") * 2), place)
+    left = store.drop_device(spark.read.parquet(place), spark.createDataFrame([("device-b",)], "device_id string"))
+    return left.groupBy("device_id", F.col("day_utc").cast("string").alias("day_utc")).agg(F.sum("event_count").alias("event_count"))
+
+
+@query("SELECT CAST(CAST(timestamp_utc AS DATE) AS STRING) AS day_utc, CAST(count(DISTINCT arrival % 2) AS INT) AS revision, bool_or(arrival % 2 = 1) AS dirty FROM usage_v GROUP BY 1")
+def q_late_days(spark, d):
+    """Two batches raise the revision of the days they touch; what was published after the first is stale where the second came."""
+    from .streaming.streams import mark_published, republish_days
+
+    u, seen = usage(spark, d), []
+    first = republish_days(u.filter("arrival % 2 = 0"), spark.createDataFrame([], "day_utc date, revision int"), seen.append)
+    second = republish_days(u.filter("arrival % 2 = 1"), first, lambda days: None)
+    return mark_published(second, seen[0]).withColumn("day_utc", F.col("day_utc").cast("string"))
+
+
 # Streams over the same rows
 
 
+@query("SELECT source_id, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(source_file_line - 1) AS BIGINT) AS line_numbers FROM usage_v GROUP BY 1")
+def q_stream_ingest(spark, d):
+    """Rolled logs of the events' files, followed batch by batch into a table."""
+    from .streaming.streams import stream_ingest
+
+    place, out, check = (shared_dir(spark, n) for n in ("rolled", "ingested", "ingest-state"))
+    rows = usage(spark, d).selectExpr("md5(source_file_path) AS file", "source_file_line", "concat_ws(',', source_id, CAST(input_tokens AS STRING)) AS value")
+    rows.repartition("file").sortWithinPartitions("file", "source_file_line").select("file", "value").write.partitionBy("file").text(place)
+    scan = lambda lines: lines.withColumn("f", F.split("value", ",")).select(F.col("f")[0].alias("source_id"), F.col("f")[1].cast("bigint").alias("input_tokens"), "line")
+    stream_ingest(spark, place, scan, lambda batch: batch.write.mode("append").parquet(out), check, available_now=True).awaitTermination()
+    return spark.read.parquet(out).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.sum("line").alias("line_numbers"))
+
+
 def _streamed(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and reads its sink."""
     out, check = shared_dir(spark, name), shared_dir(spark, f"{name}-state")

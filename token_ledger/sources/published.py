@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.exchange import day_checksum
@@ -30,12 +30,18 @@ def read_price_snapshot(spark: SparkSession, *paths: str) -> DataFrame:
 DAY_DOCUMENT = "schemaVersion int, deviceID string, day string, generatedAt string, buckets array<struct<hourUTC:string,sourceID:string,modelFamily:string,tokens:struct<input:bigint,output:bigint,cacheCreate:bigint,cacheRead:bigint,reasoning:bigint>,costUSD:string,eventCount:bigint,estimatedEventCount:bigint>>"
 
 
+def _from_path(*patterns: str) -> Column:
+    """What the first matching pattern captures of the file's path."""
+    at = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.coalesce(*(F.nullif(F.regexp_extract(at, p, 1), F.lit("")) for p in patterns))
+
+
 def read_day_documents(spark: SparkSession, path: str) -> DataFrame:
     """Day documents as ``verify_days`` takes them, with the checksum that their buckets give.
 
     The path's device and day stand in ``device_id=…/day_utc=…`` or ``…/<device>/days/<day>.json``.
     """
-    raw = spark.read.schema(DAY_DOCUMENT).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    raw = spark.read.schema(DAY_DOCUMENT).option("recursiveFileLookup", True).option("multiLine", True).option("pathGlobFilter", "*.{json,txt}").json(path)
     names = ("input", "output", "cacheCreate", "cacheRead", "reasoning")
     bucket = F.transform(
         "buckets",
@@ -44,7 +50,7 @@ def read_day_documents(spark: SparkSession, path: str) -> DataFrame:
         ),
     )
     docs = raw.select(
-        F.regexp_extract("_metadata.file_path", r"([^/]+)/days/[^/]+\.json$", 1).alias("path_device"), F.regexp_extract("_metadata.file_path", r"/days/([^/]+)\.json$", 1).alias("path_day"), F.col("schemaVersion").alias("schema_version"), F.col("deviceID").alias("device_id"), F.col("day").alias("day_utc"), bucket.alias("buckets")
+        _from_path(r"([^/]+)/days/[^/]+\.json$", r"/device_id=([^/]+)/").alias("path_device"), _from_path(r"/days/([^/]+)\.json$", r"/day_utc=([^/]+)/").alias("path_day"), F.col("schemaVersion").alias("schema_version"), F.col("deviceID").alias("device_id"), F.col("day").alias("day_utc"), bucket.alias("buckets")
     )
     sums = day_checksum(docs.select(F.explode("buckets").alias("b")).select("b.*")).select("device_id", "day_utc", F.col("checksum").alias("computed_checksum"))
     return docs.join(sums, ["device_id", "day_utc"], "left")
@@ -59,3 +65,16 @@ def day_documents(buckets: DataFrame, generated_at: str) -> DataFrame:
     return days.select("device_id", "day_utc", F.to_json(doc).alias("document"))
 
 
+PROFILE = "schemaVersion int, deviceID string, name string, lastSyncedAt string"
+
+
+def profile_documents(profiles: DataFrame, synced_at: str) -> DataFrame:
+    """``device_id, document`` (JSON) of ``device_id, name``."""
+    doc = F.struct(F.lit(1).alias("schemaVersion"), F.col("device_id").alias("deviceID"), "name", F.lit(synced_at).alias("lastSyncedAt"))
+    return profiles.select("device_id", F.to_json(doc).alias("document"))
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """``device_id, device_name, updated_at`` of profile documents, as ``device_registry`` takes them."""
+    raw = spark.read.schema(PROFILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{json,txt}").json(path)
+    return raw.filter("schemaVersion = 1").select(F.col("deviceID").alias("device_id"), F.col("name").alias("device_name"), F.try_to_timestamp("lastSyncedAt").alias("updated_at"))

@@ -79,6 +79,19 @@ def stream_counter_delta(snapshots: DataFrame) -> DataFrame:
     return flat.groupBy("file_path").applyInPandasWithState(_delta, STREAM_DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def republish_days(batch: DataFrame, write: Callable[[DataFrame], None]) -> None:
-    """Sink for late data: every day that a batch touches is handed to ``write`` as ``day_utc``; no late row is dropped."""
-    write(batch.select(F.to_date("timestamp_utc").alias("day_utc")).distinct())
+def republish_days(batch: DataFrame, revisions: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
+    """Sink for late data: every day that a batch touches goes to ``write`` as ``day_utc, revision``; no late row is dropped.
+
+    ``revisions`` has the ``day_utc, revision`` of days so far; a touched day gets the next
+    one. Returns all days with their revisions, for ``mark_published``.
+    """
+    touched = batch.select(F.to_date("timestamp_utc").alias("day_utc")).distinct().withColumn("_touched", F.lit(1))
+    joined = revisions.join(touched, "day_utc", "full").withColumn("revision", F.coalesce("revision", F.lit(0)) + F.coalesce("_touched", F.lit(0)))
+    write(joined.filter("_touched = 1").select("day_utc", "revision"))
+    return joined.select("day_utc", "revision")
+
+
+def mark_published(revisions: DataFrame, published: DataFrame) -> DataFrame:
+    """``day_utc, revision, dirty``: a day is clean only if what was published is of its revision of now."""
+    done = published.groupBy("day_utc").agg(F.max("revision").alias("_done"))
+    return revisions.join(done, "day_utc", "left").select("day_utc", "revision", (~F.coalesce(F.col("_done") == F.col("revision"), F.lit(False))).alias("dirty"))
