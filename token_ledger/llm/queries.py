@@ -38,11 +38,11 @@ def url_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_list_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dated list entries that one page in ten gives: its host, the host's parent domain, or host and first segment."""
-    pages = _table(spark, sf_dir, "pages").filter("page_id % 10 = 3")
+    """A dated list entry that each page gives: its host, the host's parent domain, or host and first segment."""
+    pages = _table(spark, sf_dir, "pages")
     host, segment = url_filters.url_host(F.col("url")), url_filters.url_segment(F.col("url"))
-    kind = F.expr("page_id % 30")
-    key = F.when(kind == 3, host).when(kind == 13, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(F.concat(host, F.lit("/"), segment))
+    kind = F.expr("page_id % 3")
+    key = F.when(kind == 0, host).when(kind == 1, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(F.concat(host, F.lit("/"), segment))
     action = F.element_at(F.array(*(F.lit(a) for a in url_filters.ACTIONS)), F.expr("int(page_id % 7 % 3) + 1"))
     return pages.select(key.alias("key"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(int(page_id * 104729 % 365), 0)").alias("listed_at"), action.alias("action"))
 
@@ -98,9 +98,9 @@ WITH u AS (
     TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 7919 % 365 AS INT)) + to_hours(CAST(page_id % 24 AS INT)) AS fetch_time
   FROM pages),
 e AS (
-  SELECT CASE page_id % 30 WHEN 3 THEN host WHEN 13 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/' || segment END AS key,
+  SELECT CASE page_id % 3 WHEN 0 THEN host WHEN 1 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host || '/' || segment END AS key,
     TIMESTAMP '2024-01-01' + to_days(CAST(page_id * 104729 % 365 AS INT)) AS listed_at, page_id % 7 % 3 AS a
-  FROM u WHERE page_id % 10 = 3),
+  FROM u),
 one AS (SELECT key, listed_at, min(a) AS a FROM e GROUP BY key, listed_at),
 spans AS (
   SELECT key, CASE a WHEN 0 THEN 'block' WHEN 1 THEN 'allow' ELSE 'remove' END AS action, listed_at AS valid_from,
