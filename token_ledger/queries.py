@@ -1042,3 +1042,35 @@ def q_stream_delta(spark, d):
 
     stream = _landed(spark, _snapshots(spark, d).select("file_path", "line", "total", "last"), "delta")
     return _streamed(spark, stream_counter_delta(stream), "delta-out").select("file_path", "line", "input", "output")
+
+
+@query(_SNAP + """, m2 AS (
+  SELECT s1.file_path, s1.line, s1.arrival, i, o, s1.arrival % 9 <> 4 AS is_usage, s1.arrival % 11 = 0 AND s1.arrival % 9 <> 4 AS own,
+    CASE WHEN s1.arrival % 7 <> 3 AND s1.arrival % 9 <> 4 THEN ci END AS ti, CASE WHEN s1.arrival % 7 <> 3 AND s1.arrival % 9 <> 4 THEN co END AS tou,
+    CASE WHEN s1.arrival % 9 = 0 THEN 'codex-auto-review' WHEN s1.arrival % 9 = 4 THEN model_raw END AS model,
+    CASE WHEN s1.arrival % 2 = 0 THEN '2026-01-15' ELSE '2026-03-01' END AS event_date
+  FROM s1 JOIN usage_v u ON u.arrival = s1.arrival),
+m3 AS (SELECT *, last_value(ti IGNORE NULLS) OVER w AS pi, last_value(tou IGNORE NULLS) OVER w AS po FROM m2 WINDOW w AS (PARTITION BY file_path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+m4 AS (SELECT * FROM m3 WHERE NOT is_usage OR ((ti IS NULL OR pi IS NULL OR ti <> pi OR tou <> po) AND (own OR ti IS NOT NULL))),
+g AS (SELECT *, CAST(sum(CASE WHEN model IS NOT NULL THEN 1 ELSE 0 END) OVER w AS BIGINT) AS seg, last_value(model IGNORE NULLS) OVER w AS em FROM m4 WINDOW w AS (PARTITION BY file_path ORDER BY line)),
+n AS (SELECT *, sum(CASE WHEN is_usage THEN 1 ELSE 0 END) OVER (PARTITION BY file_path, seg ORDER BY line) AS un, first_value(CASE WHEN is_usage THEN event_date END IGNORE NULLS) OVER (PARTITION BY file_path, seg ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d0 FROM g)
+SELECT file_path, line, CAST(CASE WHEN own THEN i ELSE greatest(0, ti - coalesce(pi, 0)) END AS BIGINT) AS input, CAST(CASE WHEN own THEN o ELSE greatest(0, tou - coalesce(po, 0)) END AS BIGINT) AS output,
+  CASE WHEN seg = 0 THEN 'gpt-5' WHEN em = 'codex-auto-review' THEN CASE WHEN d0 >= '2026-02-01' THEN 'gpt-5.1-codex' ELSE 'gpt-5' END ELSE em END AS resolved_model,
+  seg = 0 OR (em = 'codex-auto-review' AND un = 1) AS is_fallback
+FROM n WHERE is_usage""")
+def q_stream_models(spark, d):
+    """Counters and models of files that arrive in three parts, each met by a restart of the stream."""
+    from .streaming.streams import stream_counter_delta
+
+    models = usage(spark, d).selectExpr(*_FALLBACK_IN.split(", "))
+    rows = _snapshots(spark, d).join(models, ["file_path", "line"])
+    rows = rows.withColumns({c: F.when(F.col("is_usage"), F.col(c)) for c in ("total", "last")})
+    third = F.ntile(3).over(Window.partitionBy("file_path").orderBy("line")).alias("third")
+    parts, landed, out, check = (shared_dir(spark, n) for n in ("thirds", "thirds-landed", "models-out", "models-state"))
+    rows.select("file_path", "line", "total", "last", "model", "is_usage", "event_date", third).write.partitionBy("third").parquet(parts)
+    for n in (1, 2, 3):
+        part = spark.read.parquet(f"{parts}/third={n}")
+        part.write.mode("append").parquet(landed)
+        stream = stream_counter_delta(spark.readStream.schema(part.schema).parquet(landed))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("file_path", "line", "input", "output", "resolved_model", "is_fallback")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.counters import COUNTER_FIELDS
+from ..operators.counters import COUNTER_FIELDS, FALLBACK_MODEL, REVIEW_MODEL, REVIEW_SINCE, REVIEW_TARGET
 from ..schema import TOKENS
 
 
@@ -43,39 +44,73 @@ def stream_hourly(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return sums.select(F.col("window.start").alias("hour_utc"), *(c for c in sums.columns if c != "window"))
 
 
-_STATE = ", ".join(f"{f} bigint" for f in COUNTER_FIELDS)
-_FLAT = ", ".join(f"total_{f} bigint, last_{f} bigint" for f in COUNTER_FIELDS)
-STREAM_DELTA = f"file_path string, line bigint, {_STATE}"
+_STATE = ", ".join(f"{f} bigint" for f in COUNTER_FIELDS) + ", model string, is_fallback boolean"
+STREAM_DELTA = "file_path string, line bigint, " + ", ".join(f"{f} bigint" for f in COUNTER_FIELDS) + ", resolved_model string, is_fallback boolean"
 
 
-def _delta(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas of one file's new lines; the state is its last total."""
-    rows = pd.concat(list(batches)).sort_values("line")
-    before = pd.Series(state.get, index=COUNTER_FIELDS, dtype="float64") if state.exists else pd.Series(index=COUNTER_FIELDS, dtype="float64")
-    total = rows[[f"total_{f}" for f in COUNTER_FIELDS]].astype("float64").set_axis(COUNTER_FIELDS, axis=1).reset_index(drop=True)
-    last = rows[[f"last_{f}" for f in COUNTER_FIELDS]].astype("float64").set_axis(COUNTER_FIELDS, axis=1).reset_index(drop=True)
-    known = pd.concat([before.to_frame().T, total], ignore_index=True).ffill()
+def _usage(rows: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, np.ndarray, tuple]:
+    """(usage of each row, which rows have any, the last total), given the last total before them."""
+    fields = list(COUNTER_FIELDS)
+    total = rows[[f"total_{f}" for f in fields]].astype("float64").set_axis(fields, axis=1)
+    last = rows[[f"last_{f}" for f in fields]].astype("float64").set_axis(fields, axis=1)
+    start = pd.DataFrame([before], columns=fields, dtype="float64")
+    known = pd.concat([start, total], ignore_index=True).ffill()
     previous = known.iloc[:-1].reset_index(drop=True)
     has_total, has_last = total["total"].notna(), last["total"].notna()
     repeat = has_total & (total == previous).all(axis=1)
-    delta = (total - previous.fillna(0)).clip(lower=0)
-    usage = last.where(has_last, delta)
-    keep = (~repeat & (has_last | has_total)).to_numpy()
-    if known.iloc[-1].notna().all():
-        state.update(tuple(int(x) for x in known.iloc[-1]))
-    out = usage[keep].astype("int64")
-    out.insert(0, "line", rows["line"].to_numpy()[keep])
+    usage = last.where(has_last, (total - previous.fillna(0)).clip(lower=0))
+    end = known.iloc[-1]
+    return usage, (rows["is_usage"] & ~repeat & (has_last | has_total)).to_numpy(), tuple(int(x) if pd.notna(x) else None for x in end)
+
+
+def _models(rows: pd.DataFrame, model: str | None, flag: bool) -> tuple[pd.Series, pd.Series, tuple[str | None, bool]]:
+    """(resolved model, fallback flag) of each row and the (model, flag) to go on with, given those before."""
+    stated = rows["model"].where(rows["model"].fillna("") != "")
+    segment = stated.notna().cumsum()
+    told = stated.ffill() if model is None else stated.ffill().fillna(model)
+    none, carried = told.isna(), (segment == 0) & flag
+    used = rows["is_usage"].astype("int64").groupby(segment).cumsum()
+    first = rows["event_date"].where(rows["is_usage"]).groupby(segment).transform("first").str.slice(0, 10)
+    review = told == REVIEW_MODEL
+    target = pd.Series(np.where(first.fillna("") >= REVIEW_SINCE, REVIEW_TARGET, FALLBACK_MODEL), index=rows.index)
+    resolved = told.mask(review, target).fillna(FALLBACK_MODEL)
+    flags = none | carried | (review & rows["is_usage"] & (used == 1))
+    if not used.iloc[-1]:  # nothing has used the last stated model yet
+        return resolved, flags, (None if none.iloc[-1] else told.iloc[-1], bool(carried.iloc[-1]))
+    return resolved, flags, (resolved.iloc[-1], bool(none.iloc[-1] or carried.iloc[-1]))
+
+
+def _delta(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Deltas and models of one file's new lines; the state is its last total, model and fallback flag."""
+    *before, model, flag = state.get if state.exists else (*[None] * len(COUNTER_FIELDS), None, False)
+    rows = pd.concat(list(batches)).sort_values("line", ignore_index=True)
+    usage, kept, end = _usage(rows, tuple(before))
+    stands = kept | (~rows["is_usage"] & (rows["model"].fillna("") != "")).to_numpy()
+    out = usage[kept].astype("int64")
+    out.insert(0, "line", rows["line"].to_numpy()[kept])
     out.insert(0, "file_path", key[0])
-    yield out
+    resolved, flags = pd.Series(dtype=object), pd.Series(dtype=bool)
+    if stands.any():
+        resolved, flags, (model, flag) = _models(rows[stands].reset_index(drop=True), model, flag)
+    state.update((*end, model, flag))
+    yield out.assign(resolved_model=resolved.to_numpy()[kept[stands]], is_fallback=flags.to_numpy(dtype=bool)[kept[stands]])
 
 
 def stream_counter_delta(snapshots: DataFrame) -> DataFrame:
-    """``counter_delta`` and ``drop_repeated_snapshot`` over micro-batches.
-
-    Takes ``file_path, line, total, last`` (structs of the counter fields). A file's last
-    total is kept as state, so a batch may end anywhere in a file.
+    """``drop_repeated_snapshot``, ``counter_delta`` and ``resolve_fallback_model`` over micro-batches.
+
+    Takes ``file_path, line, total, last`` (structs of the counter fields) and, if there are
+    such columns, ``model``, ``is_usage`` (false for lines that only state a model) and
+    ``event_date`` (text). Gives the usage rows: ``file_path, line``, the counter fields,
+    ``resolved_model, is_fallback``. A file's last total, model and fallback flag are kept as
+    state, so a batch may end anywhere in a file; later batches hold later lines. Repeats and
+    rows without usage state no model. A file's lines of one batch meet in one worker, as
+    numbers and names of models only; bound them by ``maxBytesPerTrigger`` at the source.
     """
-    flat = snapshots.select("file_path", "line", *(F.col(f"{s}.{f}").alias(f"{s}_{f}") for f in COUNTER_FIELDS for s in ("total", "last")))
+    have = lambda c, otherwise: F.col(c) if c in snapshots.columns else otherwise.alias(c)
+    text = F.lit(None).cast("string")
+    counters = (F.col(f"{s}.{f}").alias(f"{s}_{f}") for f in COUNTER_FIELDS for s in ("total", "last"))
+    flat = snapshots.select("file_path", "line", *counters, have("model", text), have("is_usage", F.lit(True)), have("event_date", text))
     return flat.groupBy("file_path").applyInPandasWithState(_delta, STREAM_DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
