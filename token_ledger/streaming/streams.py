@@ -65,14 +65,14 @@ def _usage(rows: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, np.ndarray,
 
 def _models(rows: pd.DataFrame, model: str | None, flag: bool) -> tuple[pd.Series, pd.Series, tuple[str | None, bool]]:
     """(resolved model, fallback flag) of each row and the (model, flag) to go on with, given those before."""
-    stated = rows["model"].where(rows["model"].fillna("") != "")
+    stated = rows["model"].astype("string").replace("", pd.NA)
     segment = stated.notna().cumsum()
     told = stated.ffill() if model is None else stated.ffill().fillna(model)
     none, carried = told.isna(), (segment == 0) & flag
     used = rows["is_usage"].astype("int64").groupby(segment).cumsum()
-    first = rows["event_date"].where(rows["is_usage"]).groupby(segment).transform("first").str.slice(0, 10)
-    review = told == REVIEW_MODEL
-    target = pd.Series(np.where(first.fillna("") >= REVIEW_SINCE, REVIEW_TARGET, FALLBACK_MODEL), index=rows.index)
+    first = rows["event_date"].astype("string").where(rows["is_usage"]).groupby(segment).transform("first").str.slice(0, 10)
+    review = (told == REVIEW_MODEL).fillna(False).astype(bool)
+    target = pd.Series(np.where(first.fillna("") >= REVIEW_SINCE, REVIEW_TARGET, FALLBACK_MODEL), index=rows.index, dtype="string")
     resolved = told.mask(review, target).fillna(FALLBACK_MODEL)
     flags = none | carried | (review & rows["is_usage"] & (used == 1))
     if not used.iloc[-1]:  # nothing has used the last stated model yet
