@@ -182,15 +182,8 @@ def _shingles(t):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("block", [1000, 4])
-def test_ngram_jaccard(spark, hard, pairs, block):
-    rows = list(pairs)
-    base = [f"v{k}" for k in range(120)]
-    for n in range(14):  # near copies of each other, all different
-        edited = list(base)
-        edited[5 * n] = f"edit{n}"
-        rows.append((2000 + n, " ".join(edited)))
-    got = ngram_jaccard.ngram_jaccard_join(_frame(spark, rows), block=block).collect()
+def _linked(rows):
+    """(id, class, links, copies) of every row, over all pairs."""
     sets = [_shingles(t) for _, t in rows]
     near = lambda a, b: a == b or (len(a & b) >= 0.8 * len(a | b) and bool(a | b))
     links, low = [0] * len(rows), list(range(len(rows)))
@@ -201,8 +194,33 @@ def test_ngram_jaccard(spark, hard, pairs, block):
                 a, b = low[i], low[j]
                 low = [min(a, b) if x in (a, b) else x for x in low]
     smallest = {c: min(rows[i][0] for i in range(len(rows)) if low[i] == c) for c in set(low)}
-    want = sorted((rows[i][0], smallest[low[i]], links[i], sum(s == sets[i] for s in sets)) for i in range(len(rows)))
-    assert sorted((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in got) == want
+    return sorted((rows[i][0], smallest[low[i]], links[i], sum(s == sets[i] for s in sets)) for i in range(len(rows)))
+
+
+@pytest.mark.parametrize("block", [1000, 4])
+def test_ngram_jaccard(spark, hard, pairs, block):
+    rows = list(pairs)
+    base = [f"v{k}" for k in range(120)]
+    for n in range(14):  # near copies of each other, all different
+        edited = list(base)
+        edited[5 * n] = f"edit{n}"
+        rows.append((2000 + n, " ".join(edited)))
+    got = ngram_jaccard.ngram_jaccard_join(_frame(spark, rows), block=block).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in got) == _linked(rows)
+
+
+@pytest.mark.parametrize("step", [10, 30])
+def test_ngram_jaccard_along_a_chain(spark, monkeypatch, step):
+    """A component of many that are near to a few each, or that only meet, is verified by groups."""
+    words = [f"c{k}" for k in range(250 * step + 200)]
+    rows = [(n, " ".join(words[n * step : n * step + 200])) for n in range(250)]
+    rows += [(1000 + n, " ".join(words[n * step : n * step + 199])) for n in range(0, 250, 5)]
+    units = []
+    real = ngram_jaccard._units
+    monkeypatch.setattr(ngram_jaccard, "_units", lambda *a: units.append(real(*a)) or units[-1])
+    got = ngram_jaccard.ngram_jaccard_join(_frame(spark, rows), block=8).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in got) == _linked(rows)
+    assert not units[0].filter("lows IS NOT NULL").isEmpty()
 
 
 def test_jaccard_forest_shortens_to_recall(spark, hard):

@@ -10,11 +10,13 @@ so on, down to the depth at which any pair at the threshold meets with that prob
 lonely documents search the shortest prefixes, where they meet next to nothing, and members
 of dense groups the longest.
 
-Representatives that meet form components (of meetings, not of similar pairs). A component's
-shingle sets are gathered once, in blocks of bounded size; a large component is parted by set
-size first, since similar sets have sizes of one class or of two neighbouring ones. Every
-pair of a block, or of two blocks, is verified exactly, and pairs are counted where they are
-found and never become rows.
+Representatives that meet form components (of meetings, not of similar pairs). A component
+that fits a block is verified at once. A larger one whose members met few others each (a
+chain of chance meetings) is verified by the groups that met, a pair where it met first; a
+larger one that is dense is verified as a whole, which is less work. What is larger than a
+block is parted by set size, since similar sets have sizes of one class or of two
+neighbouring ones, and then into blocks. Every pair of a block, or of two blocks, is verified
+exactly, and pairs are counted where they are found and never become rows.
 """
 
 from __future__ import annotations
@@ -118,7 +120,8 @@ def _sketch(trees: int, depth: int, k: int):
     return run
 
 
-MEMBER = ("component", "node", "copies", "block", "others")
+MEMBER = ("node", "copies", "lows", "places")
+PLACES = "array<struct<component:bigint,block:bigint,others:array<bigint>>>"
 
 
 def _sets_of(k: int):
@@ -178,6 +181,16 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
+def _met_before(lows: list[list[int] | None], unit: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs share a group of a smaller number than ``unit``, where they are counted."""
+    held = [[x for x in lows[i] or () if x < unit] for i in range(len(lows))]
+    at = {x: n for n, x in enumerate(sorted({x for h in held for x in h}))}
+    has = np.zeros((len(lows), len(at)), dtype=np.float32)
+    for i, h in enumerate(held):
+        has[i, [at[x] for x in h]] = 1
+    return has[left] @ has[right].T > 0
+
+
 def _verify(threshold: float):
     """Counts links of one block (or of two blocks against each other) of one component."""
 
@@ -193,6 +206,7 @@ def _verify(threshold: float):
             size = np.array([s.size for s in sets], dtype=np.float64)
             shared = intersections([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
             near = shared >= threshold * (size[left][:, None] + size[right][None, :] - shared) - 1e-9
+            near &= ~_met_before(table["lows"].to_pylist(), table["component"][0].as_py(), left, right)
             if lo == hi:
                 np.fill_diagonal(near, False)
                 links[left] = near @ copies[right]
@@ -243,6 +257,23 @@ def forest_meetings(labelled: DataFrame, least: int, depth: int, trees: int, tar
     return close.join(trie.select("tree", "label", low), ["tree", "label"]).filter("low IS NOT NULL").groupBy("node").agg(F.collect_set("low").alias("lows"))  # at most one for each tree
 
 
+def _units(members: DataFrame, block: int) -> DataFrame:
+    """``members`` (``component, node, size, lows, ...``) by what is verified together, with ``lows`` null but for groups.
+
+    A component stays one unit if it fits a block, or if its groups hold more pairs than it
+    has itself; otherwise each of its groups is a unit, under the number of its smallest node.
+    """
+    whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter((F.col("n") > block) | (F.col("size") > BLOCK_SHINGLES))
+    whole = staged(whole.select("component", "n"), "jaccard-large")
+    if whole.isEmpty():
+        return members.withColumn("lows", F.lit(None).cast("array<bigint>"))
+    groups = members.join(whole, "component").select("component", "n", F.explode("lows").alias("unit")).groupBy("component", "n", "unit").agg(F.count(F.lit(1)).alias("c"))
+    sparse = groups.groupBy("component", "n").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("pairs")).filter(F.col("pairs") < F.col("n").cast("double") * F.col("n")).select("component", F.lit(True).alias("sparse"))
+    marked = members.join(sparse, "component", "left").withColumn("lows", F.when(F.col("sparse"), F.col("lows"))).drop("sparse")
+    unit = F.explode(F.coalesce("lows", F.array("component"))).alias("component")
+    return marked.select(unit, *(c for c in marked.columns if c != "component"))
+
+
 def _dealt(members: DataFrame, threshold: float, block: int) -> DataFrame:
     """``members`` (``component, node, size, ...``) with their ``block`` and ``others``, the blocks that theirs is verified against.
 
@@ -304,17 +335,19 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # All groups of a representative hang together: what is left to join are their smallest nodes.
     links = lows.select(F.explode("lows").alias("src"), F.col("low").alias("dst"))
     joined = connected_components(links, "jaccard-candidates").withColumnRenamed("node", "low")
-    near = lows.select("node", "low").join(joined, "low", "left").select("node", F.coalesce("component", "low").alias("component"))
-
-    members = _dealt(near.join(classes.select(F.col("key").alias("node"), "rep", "copies", "size"), "node"), threshold, block)
-    sets = once(members.join(rows.select("body", row_key), F.col("rep") == F.col("row_key"))).select(*MEMBER, "body")
-    sets = sets.mapInArrow(_sets_of(k), "component long, node long, copies long, block long, others array<long>, shingles binary")
-    dealt = sets.withColumn("parts", F.size("others")).withColumn("other", F.explode("others"))
-    dealt = dealt.select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "node", "copies", "parts", "shingles")
+    near = lows.join(joined, "low", "left").select("node", "lows", F.coalesce("component", "low").alias("component"))
+
+    members = _dealt(_units(near.join(classes.select(F.col("key").alias("node"), "rep", "copies", "size"), "node"), block), threshold, block)
+    gathered = members.groupBy("node", "rep", "copies").agg(F.first("lows").alias("lows"), F.collect_list(F.struct("component", "block", "others")).alias("places"))  # at most one place for each tree
+    sets = once(gathered.join(rows.select("body", row_key), F.col("rep") == F.col("row_key"))).select(*MEMBER, "body")
+    sets = sets.mapInArrow(_sets_of(k), f"node long, copies long, lows array<long>, places {PLACES}, shingles binary")
+    parts = F.aggregate("places", F.lit(0), lambda n, p: n + F.size(p["others"])) + F.when(F.col("lows").isNull(), 0).otherwise(1)
+    dealt = sets.select("node", "copies", "lows", "shingles", parts.alias("parts"), F.inline("places")).withColumn("other", F.explode("others"))
+    dealt = dealt.select("component", F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"), "block", "node", "copies", "lows", "parts", "shingles")
     verified = staged(dealt.groupBy("component", "block_a", "block_b").applyInArrow(_verify(threshold), "node long, links long, root long, parts int"), "jaccard-verified")
 
     final = verified.filter("parts = 1").select("node", F.col("root").alias("component"), "links")
-    split = verified.filter("parts > 1")
+    split = verified.filter("parts > 1")  # in several blocks or groups
     if not split.isEmpty():
         merged = connected_components(split.select(F.col("node").alias("src"), F.col("root").alias("dst")), "jaccard-links")
         counted = split.groupBy("node").agg(F.sum("links").alias("links"))
