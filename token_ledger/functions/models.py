@@ -20,7 +20,7 @@ ALIASES = (
 
 def bare_model(model: Column) -> Column:
     """What stands after the last slash."""
-    parts = F.filter(F.split(model, "/"), lambda p: p != "")
+    parts = F.array_remove(F.split(model, "/"), "")
     return F.when(F.size(parts) > 0, F.element_at(parts, -1)).otherwise(model)
 
 
@@ -42,16 +42,16 @@ def aliases_frame(spark, cutover: float = KIMI_CUTOVER):
     return frame.select("family", "alias", *(F.timestamp_micros((F.round(F.col(c) * 1000) * 1000).cast("bigint")).alias(n) for c, n in (("lo", "valid_from"), ("hi", "valid_to"))))
 
 
-#: A model is looked up under so many names at most.
-MOST_CANDIDATES = 3
+def dated_alias(family: Column, ts: Column, cutover: float = KIMI_CUTOVER) -> Column:
+    """The name that a family is priced under at a time; null if it has no other."""
+    dated = F.when(F.coalesce(ts < F.timestamp_micros(F.lit(round(cutover * 1000) * 1000)), F.lit(False)), F.lit("kimi-k2.5")).otherwise("kimi-k2.6")
+    return F.when(family == "gemini-3-pro-high", F.lit("gemini-3-pro-preview")).when(family == "k2p6", F.lit("kimi-k2.6")).when(family == "kimi-for-coding", dated)
 
 
 def pricing_candidates(model: Column, ts: Column, cutover: float = KIMI_CUTOVER) -> Column:
     """Names to look a price up under, in order."""
     family = model_family(bare_model(model))
-    dated = F.when(F.coalesce(ts < F.timestamp_micros(F.lit(round(cutover * 1000) * 1000)), F.lit(False)), F.lit("kimi-k2.5")).otherwise("kimi-k2.6")
-    alias = F.when(family == "gemini-3-pro-high", F.lit("gemini-3-pro-preview")).when(family == "k2p6", F.lit("kimi-k2.6")).when(family == "kimi-for-coding", dated)
-    return F.array_distinct(F.array_compact(F.array(family, normalize_claude_version(family), alias)))
+    return F.array_distinct(F.array_compact(F.array(family, normalize_claude_version(family), dated_alias(family, ts, cutover))))
 
 
 #: Fixed values: (first letters or part of a model's name, provider it belongs to).

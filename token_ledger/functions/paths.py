@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def parts(path: Column | str) -> Column:
-    return F.filter(F.split(path, "/"), lambda p: p != "")
+    return F.array_remove(F.split(path, "/"), "")
 
 
 def name(path: Column | str) -> Column:

@@ -28,24 +28,25 @@ def attach_price(events: DataFrame, prices: DataFrame, cutover: float = M.KIMI_C
     resolved once (models are few, events many) and joined back.
     """
     if candidates is None and prices.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        return _attach_broadcast(events, prices, M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), cutover))
+        return _attach_broadcast(events, prices, cutover)
     return _attach_resolved(events, prices, M.pricing_candidates(F.col("model_raw"), F.col("timestamp_utc"), cutover) if candidates is None else candidates)
 
 
-def _attach_broadcast(events: DataFrame, prices: DataFrame, names: Column) -> DataFrame:
-    """One look-up for each of the three places of the candidate list."""
+def _attach_broadcast(events: DataFrame, prices: DataFrame, cutover: float) -> DataFrame:
+    """One look-up for each of the three names that ``pricing_candidates`` lists."""
     rate = F.struct(*RATES)
     lookup = prices.groupBy(F.lower("family").alias("_low")).agg(F.min_by(rate, "family").alias("_low_rate"), F.collect_list(F.struct("family", rate.alias("rate"))).alias("_exact"))
-    out, found = events.withColumn("_names", names), []
+    out = events.withColumn("_name0", M.model_family(M.bare_model(F.col("model_raw"))))
+    out = out.withColumns({"_name1": M.normalize_claude_version(F.col("_name0")), "_name2": M.dated_alias(F.col("_name0"), F.col("timestamp_utc"), cutover)})
+    found = []
 
-    def exact(rows: str, name: Column) -> Column:
-        return F.get(F.filter(rows, lambda x: x["family"] == name), F.lit(0))["rate"]
+    def exact(rows: str, name: str) -> Column:
+        return F.get(F.filter(rows, lambda x: x["family"] == F.col(name)), F.lit(0))["rate"]
 
-    for n in range(M.MOST_CANDIDATES):
+    for n in range(3):
         side = F.broadcast(lookup.select(*(F.col(c).alias(f"{c}{n}") for c in lookup.columns)))
-        name = F.get("_names", F.lit(n))
-        out = out.join(side, F.lower(name) == F.col(f"_low{n}"), "left")
-        found.append(F.coalesce(exact(f"_exact{n}", name), F.col(f"_low_rate{n}")))
+        out = out.join(side, F.lower(f"_name{n}") == F.col(f"_low{n}"), "left")
+        found.append(F.coalesce(exact(f"_exact{n}", f"_name{n}"), F.col(f"_low_rate{n}")))
     return out.select(*(F.col(f"`{c}`") for c in events.columns), F.coalesce(*found).alias("_rate")).select(*(F.col(f"`{c}`") for c in events.columns), "_rate.*")
 
 

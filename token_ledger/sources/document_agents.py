@@ -18,13 +18,9 @@ from .lines import as_documents, as_lines
 V, PATH = "v", "file_path"
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("v", J.parse(F.col("value"))).filter("v IS NOT NULL").drop("value")
-
-
 def scan_amp(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Thread documents: ledger events with their messages' cache counts, else assistant messages."""
-    docs = _parsed(as_documents(spark, path)).select("file_path", J.text(V, "id").alias("thread"), J.items(V, "messages").alias("messages"), J.items(V, "usageLedger.events").alias("events")).filter("thread IS NOT NULL")
+    docs = J.parsed(as_documents(spark, path)).select("file_path", J.text(V, "id").alias("thread"), J.items(V, "messages").alias("messages"), J.items(V, "usageLedger.events").alias("events")).filter("thread IS NOT NULL")
     messages = docs.select("file_path", "thread", F.posexplode("messages").alias("position", "v"), F.col("events").isNull().alias("no_ledger")).filter((J.text(V, "role") == "assistant") & J.has(V, "usage"))
     cache = messages.select("file_path", J.integer(V, "messageId").alias("message_id"), "position", J.count(V, "usage.cacheCreationInputTokens").alias("cache_create"), J.count(V, "usage.cacheReadInputTokens").alias("cache_read")).filter("message_id IS NOT NULL")
     ledger = docs.select("file_path", "thread", F.posexplode("events").alias("position", "v")).withColumn("message_id", J.integer(V, "toMessageId"))
@@ -59,7 +55,7 @@ DROID_PROVIDERS = (("anthropic", ("claude", "anthropic"), "claude-unknown"), ("o
 
 def scan_droid(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One settings document is one session; the model may stand in the chat file beside it."""
-    docs = _parsed(as_documents(spark, path, "*.settings.json")).withColumn("session", F.regexp_replace(P.name(PATH), r"\.settings\.json$", ""))
+    docs = J.parsed(as_documents(spark, path, "*.settings.json")).withColumn("session", F.regexp_replace(P.name(PATH), r"\.settings\.json$", ""))
     docs = docs.withColumn("sidecar", F.concat(P.parent(PATH), F.lit("/"), F.col("session"), F.lit(".jsonl")))
     beside = as_lines(spark, path).filter(F.col("value").contains("Model:")).select(F.col(PATH).alias("sidecar"), "line", droid_model(F.regexp_extract("value", r'Model:["\\\[]*([^"\\\[]*)', 1)).alias("side_model"))
     docs = L.sidecar_join(docs, beside, "sidecar", "side_model")
@@ -110,13 +106,13 @@ def _opencode(rows: DataFrame) -> DataFrame:
 
 def read_opencode_files(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One message for each JSON file under ``/storage/message/``."""
-    docs = _parsed(as_documents(spark, path).filter(F.col(PATH).contains("/storage/message/")))
+    docs = J.parsed(as_documents(spark, path).filter(F.col(PATH).contains("/storage/message/")))
     return _opencode(docs.withColumns({"row_id": F.lit(None).cast("string"), "row_session": F.lit(None).cast("string")}))
 
 
 def scan_message_table(rows: DataFrame, agent: str) -> DataFrame:
     """Usage of an exported message table ``rowid, id, session_id, data``: ``opencode`` or ``kilo``."""
-    table = rows.withColumns({"v": J.parse(F.col("data")), "row_id": F.col("id").cast("string"), "row_session": F.col("session_id").cast("string"), "file_path": F.col("file_path") if "file_path" in rows.columns else F.lit(agent)}).filter("v IS NOT NULL")
+    table = J.parsed(rows, "data").withColumns({"row_id": F.col("id").cast("string"), "row_session": F.col("session_id").cast("string"), "file_path": F.col("file_path") if "file_path" in rows.columns else F.lit(agent)})
     if agent == "opencode":
         return _opencode(table)
     if agent != "kilo":

@@ -18,10 +18,6 @@ from .lines import as_documents, as_lines, prefer_live_over_archived
 V, PATH = "v", "file_path"
 
 
-def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("v", J.parse(F.col("value"))).filter("v IS NOT NULL").drop("value")
-
-
 def _line() -> Column:
     """Line number from 1."""
     return F.col("line") + 1
@@ -33,35 +29,44 @@ def _key(source_id: str, *parts: Column | str) -> Column:
 
 def scan_claude(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Assistant messages with usage. The key is the message id, else path and line from 0."""
-    lines = _parsed(as_lines(spark, path).filter(F.col("value").contains('"usage"')))
+    lines = J.parsed(as_lines(spark, path).filter(F.col("value").contains('"usage"')))
     u = "message.usage"
     split = J.has(V, f"{u}.cache_creation")
     create = F.when(split, J.count(V, f"{u}.cache_creation.ephemeral_5m_input_tokens") + J.count(V, f"{u}.cache_creation.ephemeral_1h_input_tokens")).otherwise(J.count(V, f"{u}.cache_creation_input_tokens"))
-    version = J.raw_text(V, "version")
-    no_empty = [F.coalesce(J.raw_text(V, k) != "", F.lit(True)) for k in ("sessionId", "requestId", "message.id", "message.model")]
-    ok = J.integer(V, f"{u}.input_tokens").isNotNull() & J.integer(V, f"{u}.output_tokens").isNotNull() & (F.coalesce(version, F.lit("")).rlike(r"^$|^\d+\.\d+\.\d+"))
-    for c in no_empty:
-        ok = ok & c
-    model, rest = J.text(V, "message.model"), P.after(PATH, "projects")
+    words = {"version": "version", "session": "sessionId", "request": "requestId", "message": "message.id", "model": "message.model", "stamp": "timestamp"}
+    lines = J.taken(
+        lines,
+        input=J.integer(V, f"{u}.input_tokens"),
+        output=J.integer(V, f"{u}.output_tokens"),
+        cache_create=create,
+        cache_read=J.count(V, f"{u}.cache_read_input_tokens"),
+        sidechain=J.flag(V, "isSidechain"),
+        cost=J.money(V, "costUSD"),
+        **{n: J.raw_text(V, p) for n, p in words.items()},
+    )
+    ok = F.col("input").isNotNull() & F.col("output").isNotNull() & (F.coalesce("version", F.lit("")).rlike(r"^$|^\d+\.\d+\.\d+"))
+    for c in ("session", "request", "message", "model"):
+        ok = ok & F.coalesce(F.col(c) != "", F.lit(True))
+    model, rest = J.filled("model"), F.col("rest")  # of the path
     nested = (F.size(rest) >= 4) & (F.element_at(rest, -2) == "subagents")
     front = lambda drop: F.coalesce(F.nullif(F.array_join(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - drop, F.lit(0))), "/"), F.lit("")), F.lit("Unknown Project"))
     project = F.when(rest.isNull(), None).when(F.size(rest) <= 1, "Unknown Project").when(F.size(rest) == 2, rest[0]).when(nested, front(3)).otherwise(front(2))
     session = F.when(rest.isNull() | (F.size(rest) == 2), P.stem(PATH)).when(nested, F.element_at(rest, -3)).when(F.size(rest) >= 2, F.element_at(rest, -2)).otherwise("unknown")
-    message = J.text(V, "message.id")
-    rows = lines.filter(ok & model.isNotNull() & (model != "<synthetic>"))
+    message = J.filled("message")
+    rows = lines.filter(ok & model.isNotNull() & (model != "<synthetic>")).withColumn("rest", P.after(PATH, "projects"))
     return usage_rows(
         rows,
         "claude-code",
-        {"input": J.count(V, f"{u}.input_tokens"), "output": J.count(V, f"{u}.output_tokens"), "cache_create": create, "cache_read": J.count(V, f"{u}.cache_read_input_tokens")},
+        {t: F.col(t) for t in ("input", "output", "cache_create", "cache_read")},
         {
             "dedup_key": F.when(message.isNotNull(), F.concat(F.lit("claude-message:"), message)).otherwise(_key("claude-line", PATH, F.col("line"))),
-            "is_sidechain_replay": J.flag(V, "isSidechain"),
-            "timestamp_utc": J.iso_time(J.text(V, "timestamp")),
-            "session_id": F.coalesce(J.text(V, "sessionId"), session),
+            "is_sidechain_replay": F.col("sidechain"),
+            "timestamp_utc": J.iso_time(J.filled("stamp")),
+            "session_id": F.coalesce(J.filled("session"), session),
             "project_or_workspace": project,
-            "request_id": J.text(V, "requestId"),
+            "request_id": J.filled("request"),
             "model_raw": model,
-            "reported_cost": J.money(V, "costUSD"),
+            "reported_cost": F.col("cost"),
             "source_file_line": _line(),
         },
     )
@@ -101,7 +106,7 @@ def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """
     lines = as_lines(spark, path)
     live = prefer_live_over_archived(lines.select("file_path").distinct())
-    lines = _parsed(lines.join(live, "file_path"))
+    lines = J.parsed(lines.join(live, "file_path"))
     kind, inner = J.text(V, "type"), J.text(V, "payload.type")
     is_counter, is_context = (kind == "event_msg") & (inner == "token_count"), kind == "turn_context"
     stamp = J.text(V, "timestamp")
@@ -117,10 +122,13 @@ def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         F.when(~F.coalesce(is_counter | is_context, F.lit(False)), _object(*(f"{b}.usage" if b else "usage" for b in HEADLESS))).alias("headless"),
         F.when(is_context | is_counter, _model_at("payload", "payload.info")).otherwise(_model_at(*HEADLESS)).alias("model"),
         F.when(kind == "session_meta", J.text(V, "payload.id")).alias("meta_id"),
-        F.when((kind == "session_meta") & (F.row_number().over(Window.partitionBy("file_path").orderBy("line")) == 1), J.text(V, "payload.forked_from_id")).alias("parent_id"),
-    ).filter("is_counter OR is_context OR headless IS NOT NULL OR meta_id IS NOT NULL")
-    # Six branches read these few columns: they are taken out of the JSON once.
-    rows = staged(rows.withColumns({c: _counters(c) for c in ("total", "last", "headless")}), "codex-rows")
+        F.when(kind == "session_meta", J.text(V, "payload.forked_from_id")).alias("parent_id"),
+    )
+    # The window is over these few columns, with nothing of the JSON itself.
+    rows = rows.withColumns({c: _counters(c) for c in ("total", "last", "headless")})
+    first = F.row_number().over(Window.partitionBy("file_path").orderBy("line")) == 1
+    rows = rows.withColumn("parent_id", F.when(first, F.col("parent_id"))).filter("is_counter OR is_context OR headless IS NOT NULL OR meta_id IS NOT NULL")
+    rows = staged(rows, "codex-rows")  # six branches read them
 
     # What a child session repeats of its parent: judged on every counter row with a snapshot.
     own_id = F.lower(F.regexp_extract("file_path", r"([0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12})\.jsonl$", 1))
@@ -164,9 +172,9 @@ def _folder_project(path: Column) -> Column:
 def scan_gemini(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Chat records a line, or arrays of them in documents; the last header's session and project hold for later lines."""
     session = J.text(V, "sessionId", "session_id")
-    head = _parsed(as_lines(spark, path)).withColumns({"session": session, "project": F.when(session.isNotNull(), J.text(V, "projectHash", "project", "project_path"))})
+    head = J.parsed(as_lines(spark, path)).withColumns({"session": session, "project": F.when(session.isNotNull(), J.text(V, "projectHash", "project", "project_path"))})
     lined = C.carry_forward(head, ["session", "project"]).select("file_path", "line", "v", "session", "project")
-    docs = _parsed(as_documents(spark, path))
+    docs = J.parsed(as_documents(spark, path))
     one = F.coalesce(J.items(V, "$"), F.array(F.col(V)))
     whole = docs.select("file_path", F.posexplode(one).alias("line", "v")).withColumns({"session": F.lit(None).cast("string"), "project": F.lit(None).cast("string")})
     rows = lined.unionByName(whole.withColumn("line", F.col("line").cast("bigint"))).filter(J.text(V, "type") == "gemini")
@@ -191,7 +199,7 @@ def scan_gemini(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 def scan_qwen(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Assistant records with usage metadata in either spelling."""
     both = lambda a, b: [f"{u}.{k}" for u in ("usageMetadata", "usage_metadata") for k in (a, b)]
-    rows = _parsed(as_lines(spark, path)).filter((J.text(V, "type") == "assistant") & (J.has(V, "usageMetadata") | J.has(V, "usage_metadata")))
+    rows = J.parsed(as_lines(spark, path)).filter((J.text(V, "type") == "assistant") & (J.has(V, "usageMetadata") | J.has(V, "usage_metadata")))
     project = F.coalesce(P.after(PATH, "projects")[0], F.lit("qwen"))
     return usage_rows(
         rows,
@@ -220,7 +228,7 @@ def scan_kimi(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     root = PATH
     for _ in range(4):
         root = P.parent(root)
-    rows = _parsed(as_lines(spark, path, "wire.jsonl")).filter((J.text(V, "message.type") == "StatusUpdate") & J.has(V, "message.payload.token_usage"))
+    rows = J.parsed(as_lines(spark, path, "wire.jsonl")).filter((J.text(V, "message.type") == "StatusUpdate") & J.has(V, "message.payload.token_usage"))
     rows = rows.withColumn("root", root).join(config, "root", "left")
     u = "message.payload.token_usage"
     return usage_rows(
@@ -251,7 +259,7 @@ def _is_answer(strict: bool) -> Column:
 
 def scan_pi(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     stem = P.stem(PATH)
-    rows = _parsed(as_lines(spark, path)).filter(_is_answer(False))
+    rows = J.parsed(as_lines(spark, path)).filter(_is_answer(False))
     return usage_rows(
         rows,
         "pi",
@@ -273,7 +281,7 @@ def scan_omp(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """As ``scan_pi``, with reasoning; a session line names the session of later lines."""
     dated = r"^[^_]*T[^_]*_(.+)$"
     named = lambda s: F.when(s.rlike(dated) & (F.instr(s, "_") > 16), F.regexp_extract(s, dated, 1))
-    lines = _parsed(as_lines(spark, path)).withColumn("session", F.when(J.text(V, "type") == "session", J.text(V, "id")))
+    lines = J.parsed(as_lines(spark, path)).withColumn("session", F.when(J.text(V, "type") == "session", J.text(V, "id")))
     rows = C.carry_forward(lines, ["session"]).filter(_is_answer(False))
     request = J.text(V, "id", "message.id")
     tokens = _message_tokens() | {"reasoning": J.count(V, "message.usage.reasoningTokens", "message.usage.reasoning")}
@@ -299,7 +307,7 @@ def scan_openclaw(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """Messages with usage, deleted and reset files too; the model is the last one that a line set."""
     keys = [f"{b}{k}" for b in ("data.", "") for k in ("modelId", "model", "modelID")]
     sets = (J.text(V, "type") == "model_change") | ((J.text(V, "type") == "custom") & (J.text(V, "customType") == "model-snapshot"))
-    lines = _parsed(as_lines(spark, path, "*.jsonl*").filter(F.col(PATH).rlike(r"\.jsonl($|\.deleted\.|\.reset\.)")))
+    lines = J.parsed(as_lines(spark, path, "*.jsonl*").filter(F.col(PATH).rlike(r"\.jsonl($|\.deleted\.|\.reset\.)")))
     rows = C.carry_forward(lines.withColumn("set_model", F.when(sets, F.coalesce(J.text(V, *keys), F.lit("unknown")))), ["set_model"]).filter(_is_answer(True))
     return usage_rows(
         rows,
@@ -323,10 +331,13 @@ SESSION_ATTRIBUTES = (("gen_ai.conversation.id", 3), ("copilot_chat.session_id",
 
 
 def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
-    """Spans and logs of one call in four kinds; the best kind that shares a trace or response stays."""
+    """Spans and logs of one call in four kinds; the best kind that shares a trace or response stays.
+
+    Lines are parsed when this is called, and what was read stands in the shared folder.
+    """
     a = lambda *names: [J.path("attributes", n) for n in names]
     string = lambda *names: J.text(V, *a(*names))
-    lines = _parsed(as_lines(spark, path))
+    lines = J.parsed(as_lines(spark, path))
     name, body = J.text(V, "name"), J.text(V, "body", "_body")
     span = F.coalesce(J.text(V, "type") == "span", F.lit(False)) | (name.isNotNull() & (J.text(V, "spanId", "traceId").isNotNull() | J.has(V, "startTime") | J.has(V, "endTime") | J.has(V, "duration") | J.has(V, "kind")))
     op, event = string("gen_ai.operation.name"), string("event.name")
@@ -339,12 +350,20 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     )
     session = F.coalesce(*(string(k) for k, _ in SESSION_ATTRIBUTES))
     priority = F.coalesce(*(F.when(string(k).isNotNull(), F.lit(p)) for k, p in SESSION_ATTRIBUTES))
-    n = F.row_number().over(Window.partitionBy("file_path").orderBy("line")).cast("bigint") - 1
+    cached = J.count(V, *a("gen_ai.usage.cache_read.input_tokens"))
+    tokens = {
+        "input": F.greatest(F.lit(0).cast("bigint"), J.count(V, *a("gen_ai.usage.input_tokens")) - cached),
+        "output": J.count(V, *a("gen_ai.usage.output_tokens")),
+        "cache_create": J.count(V, *a("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens")),
+        "cache_read": cached,
+        "reasoning": J.count(V, *a("gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens")),
+    }
+    at = F.coalesce(*(J.parts_time(V, k) for k in ("endTime", "startTime", "hrTime", "_hrTime", "time")), J.magnitude_time(J.number(V, "timestamp")), J.magnitude_time(J.number(V, "observedTimestamp")), F.when(J.number(V, "timeUnixNano") > 0, F.timestamp_micros(F.round(J.number(V, "timeUnixNano") / 1e3).cast("bigint"))), F.col("modified_at"))
     rows = lines.select(
         "file_path",
-        n.alias("line"),
-        "v",
-        "modified_at",
+        "line",
+        J.has(V, "attributes").alias("has_attributes"),
+        at.alias("at"),
         rank.alias("kind_rank"),
         J.text(V, "traceId", "spanContext.traceId").alias("trace_id"),
         J.text(V, "spanId", "spanContext.spanId").alias("span_id"),
@@ -352,24 +371,20 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         string("gen_ai.response.model", "gen_ai.request.model").alias("model"),
         session.alias("session_id"),
         priority.alias("session_priority"),
-    ).filter(J.has(V, "attributes"))
+        J.integer(V, *a("turn.index", "copilot_chat.turn.index")).cast("string").alias("turn"),
+        J.integer(V, *a("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count")).alias("total"),
+        *(c.alias(t) for t, c in tokens.items()),
+    )
+    n = F.row_number().over(Window.partitionBy("file_path").orderBy("line")).cast("bigint") - 1
+    rows = staged(rows.withColumn("line", n).filter("has_attributes").drop("has_attributes"), "copilot-rows")  # read by two branches
     context = T.trace_context(rows).select("file_path", "trace_id", F.col("model").alias("trace_model"), F.col("session_id").alias("trace_session"))
-    cached = J.count(V, *a("gen_ai.usage.cache_read.input_tokens"))
-    tokens = {
-        "input": F.greatest(F.lit(0).cast("bigint"), J.count(V, *a("gen_ai.usage.input_tokens")) - cached),
-        "output": J.count(V, *a("gen_ai.usage.output_tokens")),
-        "cache_create": J.count(V, *a("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens")),
-        "cache_read": cached,
-        "reasoning": J.count(V, *a("gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens")),
-    }
-    total = J.integer(V, *a("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count"))
+    tokens, total = {t: F.col(t) for t in tokens}, F.col("total")
     some = (sum(tokens.values(), F.lit(0)) > 0) | (F.coalesce(total, F.lit(0)) > 0)
     used = T.source_precedence(rows.filter(F.col("kind_rank").isNotNull() & some)).join(context, ["file_path", "trace_id"], "left")
-    at = F.coalesce(*(J.parts_time(V, k) for k in ("endTime", "startTime", "hrTime", "_hrTime", "time")), J.magnitude_time(J.number(V, "timestamp")), J.magnitude_time(J.number(V, "observedTimestamp")), F.when(J.number(V, "timeUnixNano") > 0, F.timestamp_micros(F.round(J.number(V, "timeUnixNano") / 1e3).cast("bigint"))), F.col("modified_at"))
     who = F.coalesce("session_id", "trace_session", "trace_id", F.lit("unknown-session"))
-    millis, line = F.unix_millis(at).cast("string"), F.col("line").cast("string")
+    millis, line = F.unix_millis("at").cast("string"), F.col("line").cast("string")
     traced = F.col("trace_id").isNotNull() & F.col("span_id").isNotNull()
-    turn = F.coalesce(J.integer(V, *a("turn.index", "copilot_chat.turn.index")).cast("string"), F.concat(F.lit("idx-"), line))
+    turn = F.coalesce("turn", F.concat(F.lit("idx-"), line))
     request = (
         F.when(F.col("kind_rank").isin(1, 4), F.when(traced, F.concat_ws(":", "trace_id", "span_id")).otherwise(F.concat_ws(":", F.lit("span"), who, millis, line)))
         .when(F.col("kind_rank") == 2, F.when(traced, F.concat_ws(":", F.lit("log"), "trace_id", "span_id")).otherwise(F.concat_ws(":", F.lit("log"), who, millis, line)))
@@ -379,6 +394,6 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         used,
         "copilot",
         tokens,
-        {"dedup_key": _key("copilot", request), "timestamp_utc": at, "session_id": who, "project_or_workspace": F.lit("GitHub Copilot CLI"), "request_id": request, "model_raw": F.coalesce("model", "trace_model", F.lit("unknown")), "source_file_line": _line()},
+        {"dedup_key": _key("copilot", request), "timestamp_utc": F.col("at"), "session_id": who, "project_or_workspace": F.lit("GitHub Copilot CLI"), "request_id": request, "model_raw": F.coalesce("model", "trace_model", F.lit("unknown")), "source_file_line": _line()},
         total=total,
     )
