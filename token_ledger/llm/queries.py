@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, url_filters, warc
+from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, token_counts, url_filters, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
 r AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html)
@@ -127,7 +133,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets)}
+    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
