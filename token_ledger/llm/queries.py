@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, token_counts, url_filters, warc
+from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, token_counts, url_filters, warc, word_runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +82,44 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def looped_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where a tenth of the documents, by the crc32 of the id, repeat some of their words up to the end."""
+
+    def looped(i: int | None, text: str) -> str:
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        words = text.encode().split() if h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        return b" ".join(words[:a] + [words[a + k % p] for k in range(n - a)]).decode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [looped(i, t) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    runtime.small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, text string")
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.word_runs(looped_texts(_table(spark, sf_dir, "documents")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda b, r: F.when(b.isNull() | (r["length"] > b["length"]), r).otherwise(b))
+    line = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    found = found.withColumn("best", best)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", line), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -133,7 +173,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets, op13_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets, op11_word_runs, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
