@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, token_counts, url_filters, warc, word_runs
+from . import bpe, exact_dedup, lm_scoring, ngram_jaccard, packing, pii, quality, runtime, secrets, spelling, token_counts, url_filters, warc, word_runs
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +120,21 @@ def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def planted_typos(i: int | None, words: list[str]) -> list[str]:
+    """Of a document's words, about one in 31 without one of its letters, by the crc32 of id and word."""
+    first, out = zlib.crc32(f"{i}:".encode()), []
+    for word in words:
+        h = zlib.crc32(word.encode(), first)
+        k = h % len(word)
+        out.append(word if h % 31 else word[:k] + word[k + 1 :])
+    return out
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), change=planted_typos)
+    return spelling.spelling_variants(words.filter(F.col("n") >= spelling.LEAST_COUNT))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -173,7 +188,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets, op11_word_runs, op13_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_deleted_interpolation, op3_quality_rules, op4_url_filter, op5_ngram_jaccard, op6_exact_dedup, op7_best_fit_packing, op8_byte_bpe, op9_pii, op10_secrets, op11_word_runs, op12_spelling_variants, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
