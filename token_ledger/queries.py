@@ -955,6 +955,55 @@ def q_event_store(spark, d):
     return _money(out.join(files.select("source_id"), "source_id"))
 
 
+@query(f"SELECT hour_utc, source_id, model_family, {SUMS}, {_CASH}, CAST(sum(event_count) AS BIGINT) AS event_count, CAST(sum(estimated_event_count) AS BIGINT) AS estimated_event_count FROM bucket GROUP BY 1, 2, 3")
+def q_store_writers(spark, d):
+    """Three writers that start from one commit and meet in every partition; the hours that the store keeps of what all brought."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from .plans import store
+
+    rows, place = staged(priced(spark, d), "writers"), shared_dir(spark, "store")
+    part = F.pmod(F.xxhash64("dedup_key"), F.lit(4))  # all rows of a key come from one writer, as a tie goes to the earlier commit
+    store.write_events(rows.filter(part == 3), place)
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda n: store.write_events(rows.filter(part == n), place), range(3)))
+    return _money(store.read_hours(spark, place))
+
+
+@query(f""", kept AS (SELECT * FROM priced WHERE length(source_file_path) % 3 <> 0 OR source_file_line <= 3)
+SELECT source_id, CAST(CAST(timestamp_utc AS DATE) AS STRING) AS day_utc, count(*) AS n, {SUMS}, {_CASH}, count(DISTINCT source_file_path) AS files FROM kept GROUP BY 1, 2""")
+def q_store_reset(spark, d):
+    """A third of the files shrink to their first lines: old rows and state go in the commit that brings the new ones."""
+    from .plans import store
+
+    rows, place = priced(spark, d).withColumn("dedup_key", F.concat(F.lit("e"), "arrival")), shared_dir(spark, "store")
+    file, shrunk = F.col("source_file_path").alias("file_path"), F.length("source_file_path") % 3 == 0
+    store.write_events(rows, place, rows.groupBy(file).agg(F.max("source_file_line").alias("line_index")))
+    less = rows.filter(shrunk)
+    new = less.filter("source_file_line <= 3")
+    store.write_events(new, place, new.groupBy(file).agg(F.max("source_file_line").alias("line_index")), removed=less.select(file).distinct())
+    events, state = store.read_events(spark, place), store.read_state(spark, place)
+    # Only files whose state is that of their rows count.
+    right = events.groupBy(file).agg(F.max("source_file_line").alias("line_index")).join(state, ["file_path", "line_index"]).select(F.col("file_path").alias("source_file_path"))
+    out = events.join(right, "source_file_path", "left_semi").groupBy("source_id", "day_utc").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in (*TOKENS, "cost_usd")), F.count_distinct("source_file_path").alias("files"))
+    return _money(out)
+
+
+@query(", k AS (SELECT * FROM usage_v WHERE arrival % 2 = 0 OR day(timestamp_utc) % 3 = 0) SELECT CAST(CAST(timestamp_utc AS DATE) AS STRING) AS day_utc, count(DISTINCT arrival % 2) AS revision, bool_or(arrival % 2 = 1) AS dirty FROM k GROUP BY 1")
+def q_store_publish(spark, d):
+    """Days are published, then some get more rows: their revision goes up and they are dirty until they are published again."""
+    from .plans import store
+
+    rows, place, out = priced(spark, d).withColumn("dedup_key", F.concat(F.lit("e"), "arrival")), shared_dir(spark, "store"), shared_dir(spark, "published")
+    store.write_events(rows.filter("arrival % 2 = 0"), place)
+    store.publish_store(spark, place, out, "device-a", "2024-02-01T00:00:00Z")
+    store.write_events(rows.filter("arrival % 2 = 1 AND day(timestamp_utc) % 3 = 0"), place)
+    dirty = staged(store.dirty_days(spark, place, out), "dirty")
+    store.publish_store(spark, place, out, "device-a", "2024-02-02T00:00:00Z")
+    left = store.dirty_days(spark, place, out)  # none
+    return store.read_days(spark, place).join(dirty.join(left, "day_utc", "left_anti").select("day_utc", F.lit(True).alias("dirty")), "day_utc", "left").select(F.col("day_utc").cast("string").alias("day_utc"), "revision", F.coalesce("dirty", F.lit(False)).alias("dirty"))
+
+
 @query(f"{_DAYS}, kept AS (SELECT * FROM days WHERE day % 6 <> 0) SELECT device_id, day_utc, true AS ok, CAST(NULL AS STRING) AS reason, CAST(NULL AS STRING) AS name FROM kept UNION ALL SELECT DISTINCT device_id, NULL, NULL, NULL, 'name of ' || device_id FROM kept")
 def q_publish_days(spark, d):
     """All days are published, then those that are left after some were emptied; read back, verified, with the profiles."""
