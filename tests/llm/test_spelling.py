@@ -63,7 +63,7 @@ def _vocabulary(seed, size):
     return words | {"": 7, "x" * 400: 2, "x" * 401: 30, "x" * 300 + "y": 2}
 
 
-@pytest.mark.parametrize("leaf, top", [(4_000, 2_048), (20, 10_000), (3, 10_000), (20, 5)])
+@pytest.mark.parametrize("leaf, top", [(16_000, 2_048), (20, 10_000), (3, 10_000), (20, 5)])
 def test_variants_by_brute_force(spark, leaf, top):
     words = _vocabulary(leaf, 700)
     df = spark.createDataFrame([(w, n, "c") for w, n in words.items()], "word string, n long, form string")
@@ -79,9 +79,21 @@ def test_chains_ties_repeats_and_nulls(spark):
     assert S.spelling_variants(spark.createDataFrame([], "word string, n long")).collect() == []
 
 
+def _edit(a, b):
+    return S.one_edit(a, S.word_code(a), b, S.word_code(b))
+
+
 def test_one_edit():
-    assert all(S.one_edit(a, b) and S.one_edit(b, a) for a, b in [("", "a"), ("ab", "b"), ("ab", "ac"), ("aab", "ab"), ("abc", "abxc")])
-    assert not any(S.one_edit(a, b) for a, b in [("", ""), ("a", "a"), ("ab", "ba"), ("ab", "abcd"), ("abc", "xby")])
+    near = [("", "a"), ("ab", "b"), ("ab", "ac"), ("aab", "ab"), ("abc", "abxc"), ("a", "a\0"), ("\0", ""), ("aa", "aaa"), ("é\U0001f600", "é")]
+    far = [("", ""), ("a", "a"), ("ab", "ba"), ("ab", "abcd"), ("abc", "xby"), ("a\0\0", "a"), ("ab", "cab\0"), ("abc", "axyc")]
+    assert all(_edit(a, b) and _edit(b, a) for a, b in near) and not any(_edit(a, b) or _edit(b, a) for a, b in far)
+    rng = random.Random(9)
+    for _ in range(20_000):
+        a, b = ("".join(rng.choice("ab\0") for _ in range(rng.randint(0, 6))) for _ in range(2))
+        inserted = {a[:k] + c + a[k:] for k in range(len(a) + 1) for c in "ab\0"}
+        replaced = {a[:k] + c + a[k + 1 :] for k in range(len(a)) for c in "ab\0"} - {a}
+        deleted = {a[:k] + a[k + 1 :] for k in range(len(a))}
+        assert _edit(a, b) == (b in inserted | replaced | deleted)
 
 
 def test_reached_leaves_hold_every_vector_in_budget():

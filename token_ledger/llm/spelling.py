@@ -8,13 +8,15 @@ that it reaches are verified letter by letter.
 
 The top of the trie, nodes of more than so many words, is a small table on every worker.
 What hangs below each of its leaves is one task's trie: a word goes to its own leaf, and as
-a query to the other leaves that its budget reaches. The vocabulary is partitioned like this
-however large it is; no pair is a row, since a leaf gives one row for each query: how many near
-words it has there and which is the most frequent.
+a query to those of the other leaves that its budget reaches and that come later. The
+vocabulary is partitioned like this however large it is; no pair is a row, since a leaf gives
+one row for each query and each of its own words: how many near words they have there and
+which is the most frequent.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,16 +32,16 @@ from .runtime import small_batches, staged
 #: A letter's group is its code point modulo this.
 GROUPS = 16
 #: Words below a leaf of the top, at most; all of a leaf's words may have one vector, then it is dealt in parts.
-LEAF = 4_000
+LEAF = 16_000
 #: Nodes of each level of the top, at most.
-TOP = 2_048
+TOP = 16_384
 #: How much more frequent than a word its form is.
 RATIO = 10
 LEAST_LETTERS, LEAST_COUNT = 7, 2
 #: Words of a task that are counted before they are handed on.
 HELD = 200_000
 #: Words at a leaf of a task's trie.
-BUCKET = 6
+BUCKET = 12
 #: Levels of the top that one job counts.
 STEP = 4
 
@@ -163,7 +165,10 @@ def reached_leaves(top: Top, vector: bytes) -> Iterator[tuple[bytes, int]]:
 
 
 def _dealt(vectors: DataFrame, top: Top, leaf: int) -> DataFrame:
-    """``place, query, word, n, vector, leaf_levels``: each word at its own place, and as a query at the other places that it reaches."""
+    """``place, query, word, n, vector``: each word at its own place, and as a query at the later places that it reaches.
+
+    Two near words of different places meet at the later one, where both are told.
+    """
     shared = vectors.sparkSession.sparkContext.broadcast(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,29 +176,80 @@ def _dealt(vectors: DataFrame, top: Top, leaf: int) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 2_000):
                 part = batch.slice(first, 2_000)
-                row, place, query, levels = [], [], [], []
+                row, place, query = [], [], []
                 for i, (word, vector) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    places, own = [], None
                     for node, n in reached_leaves(nodes, vector):
                         shares = max(1, -(-n // leaf))  # more than one only where all words have one vector
-                        own = zlib.crc32(word.encode()) % shares if vector.startswith(node) else -1
-                        for share in range(shares):
-                            row.append(i), place.append(node + b"\xff" + str(share).encode()), query.append(share != own), levels.append(len(node))
+                        found = [node + b"\xff" + str(share).encode() for share in range(shares)]
+                        places += found
+                        if vector.startswith(node):
+                            own = found[zlib.crc32(word.encode()) % shares]
+                    for at in places:
+                        if at >= own:
+                            row.append(i), place.append(at), query.append(at != own)
                 take = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.binary()), pa.array(query), *(part.column(c).take(take) for c in range(3)), pa.array(levels, pa.int32())], ["place", "query", "word", "n", "vector", "levels"])
+                yield pa.RecordBatch.from_arrays([pa.array(place, pa.binary()), pa.array(query), *(part.column(c).take(take) for c in range(3))], ["place", "query", "word", "n", "vector"])
+
+    return vectors.mapInArrow(run, "place binary, query boolean, word string, n long, vector binary")
+
 
-    return vectors.mapInArrow(run, "place binary, query boolean, word string, n long, vector binary, levels int")
+def word_code(word: str) -> int:
+    """The word's code points in 32 bits each, the first one lowest."""
+    return int.from_bytes(word.encode("utf-32-le", "surrogatepass"), "little")
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether two words differ by exactly one inserted, deleted or replaced code point."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1 or a == b:
+def one_edit(a: str, code_a: int, b: str, code_b: int) -> bool:
+    """Whether two words differ by exactly one inserted, deleted or replaced code point, from where their codes first differ."""
+    more = len(b) - len(a)
+    off = code_a ^ code_b
+    if not -2 < more < 2 or a == b:
         return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
+    at = ((off & -off).bit_length() - 1) & ~31 if off else 32 * min(len(a), len(b))  # equal codes: one has zeros more
+    if not more:
+        return not off >> (at + 32)
+    return code_b >> (at + 32) == code_a >> at if more > 0 else code_a >> (at + 32) == code_b >> at
+
+
+def _halves(word: str) -> list[tuple[str, str]]:
+    """The outer letters by which near words meet, from the front and from the end.
+
+    Of two words one edit apart, of which the shorter has n letters, the first or the last
+    n // 2 are the same; a word may be the shorter one or have a letter more.
+    """
+    n = len(word)
+    return [(word[:h], word[n - h :]) for h in {n // 2, max(n - 1, 0) // 2}]
+
+
+class Bucket:
+    """Words at the end of a branch, by their outer letters."""
+
+    __slots__ = ("first", "last")
+
+    def __init__(self, words: list[tuple[str, int]]):
+        self.first: dict[str, list[tuple[str, int, int]]] = {}
+        self.last: dict[str, list[tuple[str, int, int]]] = {}
+        for word, n in words:
+            w = (word, n, word_code(word))
+            for head, tail in _halves(word):
+                self.first.setdefault(head, []).append(w)
+                self.last.setdefault(tail, []).append(w)
+
+
+def near_words(word: str, buckets: list[Bucket]) -> list[tuple[str, int]]:
+    """Words of the buckets that are one edit from a word."""
+    code, halves, near = word_code(word), _halves(word), {}
+    for bucket in buckets:
+        for head, tail in halves:
+            if (same := bucket.first.get(head)) is not None:
+                for other, n, own in same:
+                    if one_edit(word, code, other, own):
+                        near[other] = n
+            if (same := bucket.last.get(tail)) is not None:
+                for other, n, own in same:
+                    if one_edit(word, code, other, own):
+                        near[other] = n
+    return list(near.items())
 
 
 class Trie:
@@ -206,22 +262,20 @@ class Trie:
     @classmethod
     def _grow(cls, words: list[tuple[bytes, str, int]], level: int):
         if len(words) <= BUCKET or level == len(words[0][0]):
-            return [(word, n) for _, word, n in words]
+            return Bucket([(word, n) for _, word, n in words])
         parts: dict[int, list] = {}
         for w in words:
             parts.setdefault(w[0][level], []).append(w)
         return {count: cls._grow(part, level + 1) for count, part in parts.items()}
 
-    def near(self, word: str, vector: bytes, node: bytes) -> Iterator[tuple[str, int]]:
-        """Words one edit from a word whose vector may differ from this place's node."""
+    def reached(self, vector: bytes, node: bytes) -> list[Bucket]:
+        """Buckets within the budget of a vector, of which this place's node has spent some."""
         off = [node[k] - vector[k] for k in range(self.level)]
-        stack = [(self.root, self.level, 1 - (1 in off), 1 - (-1 in off))]
+        stack, found = [(self.root, self.level, 1 - (1 in off), 1 - (-1 in off))], []
         while stack:
             at, level, surplus, deficit = stack.pop()
-            if type(at) is list:
-                for other, n in at:
-                    if one_edit(word, other):
-                        yield other, n
+            if type(at) is Bucket:
+                found.append(at)
                 continue
             count = vector[level]
             if (below := at.get(count)) is not None:
@@ -230,48 +284,75 @@ class Trie:
                 stack.append((below, level + 1, 0, deficit))
             if deficit and (below := at.get(count - 1)) is not None:
                 stack.append((below, level + 1, surplus, 0))
+        return found
+
+
+class Place:
+    """A place's own words and what has been found of them; queries come after all of its own words."""
+
+    def __init__(self, name: bytes):
+        self.node, self.own, self.trie = name[: name.index(b"\xff")], [], None
+        self.found: dict[str, tuple[int, int, str]] = {}
+        self.vector, self.buckets = None, []
+
+    def _near(self, word: str, vector: bytes) -> list[tuple[str, int]]:
+        if self.trie is None:
+            self.trie = Trie(self.own, len(self.node))
+        if vector != self.vector:  # words of one vector come one after the other and share the search
+            self.vector, self.buckets = vector, self.trie.reached(vector, self.node)
+        return near_words(word, self.buckets)
+
+    def ask(self, word: str, n: int, vector: bytes) -> tuple[str, int, int, str] | None:
+        """What a word of another place has here; its near words here are told of it as well."""
+        near = self._near(word, vector) if self.own else []
+        for other, _ in near:
+            count, most, best = self.found.get(other, (0, 0, ""))
+            self.found[other] = (count + 1, n, word) if (-n, word) < (-most, best) else (count + 1, most, best)
+        return _told(word, near)
+
+    def among(self) -> Iterator[tuple[str, int, int, str]]:
+        """What its own words have among themselves."""
+        for vector, word, _ in self.own:
+            if row := _told(word, self._near(word, vector)):
+                yield row
+
+
+def _told(word: str, near: list[tuple[str, int]]) -> tuple[str, int, int, str] | None:
+    if not near:
+        return None
+    best, n = min(near, key=lambda x: (-x[1], x[0]))
+    return word, len(near), n, best
+
+
+#: Rows that a task hands on at once.
+ROWS = 20_000
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Near words of every row, place by place; a place's own words come first, then its queries."""
-    place, own, trie = None, [], None
-    out: list[tuple[str, int, int, str]] = []
-
-    def ask(word: str, vector: bytes) -> None:
-        found = list(trie.near(word, vector, place))
-        if found:
-            best, n = min(found, key=lambda x: (-x[1], x[0]))
-            out.append((word, len(found), n, best))
-
-    def planted() -> None:
-        nonlocal trie
-        if trie is None and own:
-            trie = Trie(own, levels)
-            for vector, word, _ in own:
-                ask(word, vector)
-
-    def told() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["word", "near", "best_n", "best"])
-
-    levels = 0
-    for batch in batches:
-        for at, query, word, n, vector, depth in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != place:
-                planted()
-                place, own, trie, levels = at, [], None, depth
-            if query:
-                planted()
-                if trie is not None:
-                    ask(word, vector)
-            else:
-                own.append((vector, word, n))
-        if out:
-            yield told()
-            out.clear()
-    planted()
-    if out:
-        yield told()
+
+    def rows() -> Iterator[tuple[str, int, int, str]]:
+        name, place = None, None
+
+        def end() -> Iterator[tuple[str, int, int, str]]:
+            if place is not None:
+                yield from place.among()
+                yield from ((w, *found) for w, found in place.found.items())
+
+        for batch in batches:
+            for at, query, word, n, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != name:
+                    yield from end()
+                    name, place = at, Place(at)
+                if not query:
+                    place.own.append((vector, word, n))
+                elif row := place.ask(word, n, vector):
+                    yield row
+        yield from end()
+
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+    for part in itertools.batched(rows(), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part, strict=True), kinds, strict=True)], ["word", "near", "best_n", "best"])
     K.release_memory()
 
 
@@ -290,7 +371,7 @@ def spelling_variants(words: DataFrame, groups: int = GROUPS, leaf: int = LEAF,
     words = staged(words.filter("word IS NOT NULL AND n IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")), "spelling-words")
     vectors = staged(_with_vectors(words, level_order(words, groups)), "spelling-vectors")
     nodes, leaf = top_of_trie(vectors, groups, leaf, top)
-    dealt = _dealt(vectors, nodes, leaf).repartition("place").sortWithinPartitions("place", "query")
+    dealt = _dealt(vectors, nodes, leaf).repartition("place").sortWithinPartitions("place", "query", "vector")
     found = dealt.mapInArrow(_search, "word string, near long, best_n long, best string")
     near = found.groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("form"))).alias("best"))
     joined = words.join(near, "word", "left").withColumn("form_n", -F.col("best.less"))
