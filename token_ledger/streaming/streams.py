@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -21,8 +21,6 @@ def stream_ingest(spark: SparkSession, path: str, scan: Callable[[DataFrame], Da
     ``scan`` takes ``file_path, line, value, modified_at``. Lines are numbered in a batch, where
     a rolled file arrives whole. The sink upserts, so a batch that runs again changes nothing.
     """
-    from pyspark.sql import Window
-
     from ..sources.lines import plain_path
 
     raw = spark.readStream.option("recursiveFileLookup", True).text(path)
@@ -37,8 +35,70 @@ def stream_ingest(spark: SparkSession, path: str, scan: Callable[[DataFrame], Da
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
 
 
+def number_lines(rows: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(lines, state, reset files) of a batch of the ``tail`` source.
+
+    ``known`` (``file_path, byte_offset, line_index``) is the state after the batches before. A
+    chunk's lines are numbered where they are read; what comes before a chunk is a running sum
+    of counts, one row for each chunk, so a huge file is never sorted in one place. Chunks that
+    the state is beyond have been taken in already and are left out. Blank lines count, and go.
+    """
+    chunks = rows.groupBy("file_path", "chunk", "reset").agg(F.count("row").alias("n"), F.max("end").alias("end"), F.max("modified_at").alias("modified_at"))
+    if known is None:
+        known = rows.sparkSession.createDataFrame([], "file_path string, byte_offset bigint, line_index bigint")
+    chunks = chunks.join(known.select("file_path", "byte_offset", "line_index"), "file_path", "left")
+    fresh = F.col("reset") | F.col("byte_offset").isNull() | (F.col("chunk") >= F.col("byte_offset"))
+    order = Window.partitionBy("file_path").orderBy("chunk")
+    started = F.when(F.col("reset"), 0).otherwise(F.coalesce("line_index", F.lit(0)))
+    chunks = chunks.filter(fresh).withColumn("before", started + F.sum("n").over(order) - F.col("n"))
+    lines = rows.drop("reset", "modified_at").join(chunks.select("file_path", "chunk", "before", "modified_at"), ["file_path", "chunk"])
+    lines = lines.select("file_path", (F.col("before") + F.col("row")).alias("line"), "value", "modified_at").filter(F.trim("value") != "")
+    state = chunks.groupBy("file_path").agg(F.max("end").alias("byte_offset"), F.max(F.col("before") + F.col("n")).alias("line_index"), F.max("end").alias("file_size"), F.max("modified_at").alias("file_mtime"))
+    return lines, state, chunks.filter("reset").select("file_path").distinct()
+
+
+def stream_tail(spark: SparkSession, path: str, sink: Callable[[DataFrame, DataFrame, DataFrame], None], checkpoint: str, known: Callable[[], DataFrame | None], glob: str = "*.jsonl", interval: str = "10 seconds", available_now: bool = False, chunk_bytes: int | None = None) -> StreamingQuery:
+    """Follows a folder of growing files; each batch's new lines go to ``sink(lines, state, reset)``.
+
+    ``lines`` are ``file_path, line, value, modified_at``; ``state`` is that of files with new
+    lines; ``reset`` are files that have shrunk, whose earlier lines are void. ``known`` gives
+    the state that the sink has kept. A sink that commits lines, state and resets together
+    (``plans.store.write_events``) takes every line once, whatever batch runs again.
+    """
+    from ..session import staged
+    from ..sources.tail import CHUNK_BYTES, TailSource
+
+    spark.dataSource.register(TailSource)
+    rows = spark.readStream.format("tail").options(path=path, glob=glob, log=f"{checkpoint.rstrip('/')}-plans", chunkBytes=chunk_bytes or CHUNK_BYTES).load()
+
+    def handle(batch: DataFrame, _: int) -> None:
+        sink(*number_lines(staged(batch, "tail-lines"), known()))
+
+    writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def stream_to_store(events: DataFrame, root: str, checkpoint: str, scan: Callable[[DataFrame], DataFrame] | None = None, interval: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
+    """Merges a stream of events into a store, whose hours and day revisions follow every batch.
+
+    No row is too late: an event of any day changes that day's hours and raises its revision,
+    so the day is published again. A batch that runs again changes nothing. ``scan`` turns a
+    batch into events, if the stream holds something else.
+    """
+    from ..plans.store import write_events
+
+    def handle(batch: DataFrame, _: int) -> None:
+        write_events(scan(batch) if scan else batch, root)
+
+    writer = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
 def stream_hourly(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """The hourly roll-up on a stream of events; hours close once the watermark has passed them (append) or change (update)."""
+    """The hourly roll-up on a stream of events; hours close once the watermark has passed them (append) or change (update).
+
+    Rows behind the watermark are lost here; ``stream_to_store`` keeps hours that take them in.
+    """
     hours = events.withWatermark("timestamp_utc", watermark).groupBy(F.window("timestamp_utc", "1 hour"), "source_id", "model_family")
     sums = hours.agg(*(F.sum(c).alias(c) for c in (*TOKENS, "cost_usd")), F.count(F.lit(1)).alias("event_count"), F.count_if("cost_is_estimated").alias("estimated_event_count"))
     return sums.select(F.col("window.start").alias("hour_utc"), *(c for c in sums.columns if c != "window"))
