@@ -209,6 +209,25 @@ def test_ngram_jaccard(spark, hard, pairs, block):
     assert sorted((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in got) == _linked(rows)
 
 
+def test_ngram_jaccard_of_dense_groups_stays_in_proportion(spark, monkeypatch):
+    """Sets sent, and links of blocks that are left to join, for groups of near copies of one, two and four times a size."""
+    words, made = [f"v{k}" for k in range(100)], {}
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 60 * 96)
+    for n in (60, 120, 240):
+        rows = [(i, " ".join([*words[: i % 97], f"edit{i}", *words[i % 97 + 1 :]])) for i in range(n)]
+        seen = {}
+        real = ngram_jaccard.staged
+        monkeypatch.setattr(ngram_jaccard, "staged", lambda df, name: seen.setdefault(name, real(df, name)))
+        got = ngram_jaccard.ngram_jaccard_join(_frame(spark, rows), block=60).collect()
+        monkeypatch.setattr(ngram_jaccard, "staged", real)
+        assert sorted((r["doc_id"], r["class_id"], r["links"], r["copies"]) for r in got) == _linked(rows)
+        split = seen["jaccard-counted"].selectExpr("explode(roots) AS r", "low").filter("r != low").distinct().count() if "jaccard-counted" in seen else 0
+        made[n] = seen["jaccard-verified"].count(), split
+    assert made[60] == (60, 0) and made[120][0] <= 2 * 120 and made[240][0] <= 4 * 240 and max(x for _, x in made.values()) <= 16
+    parts = ngram_jaccard._dealt(spark.range(100 * 60).selectExpr("1L AS component", "id AS node", "1L AS size"), 0.8, 60).agg({"block": "max", "others": "max"}).first()
+    assert len(parts["max(others)"]) == 50  # 6,000 in blocks of up to 120
+
+
 @pytest.mark.parametrize("step", [10, 30])
 def test_ngram_jaccard_along_a_chain(spark, monkeypatch, step):
     """A component of many that are near to a few each, or that only meet, is verified by groups."""

@@ -13,8 +13,10 @@ of dense groups the longest.
 Representatives that meet form components (of meetings, not of similar pairs). A component
 that fits a block is verified at once. A larger one whose members met few others each (a
 chain of chance meetings) is verified by the groups that met, a pair where it met first; a
-larger one that is dense is verified as a whole, which is less work. What is larger than a
-block is parted by set size, since similar sets have sizes of one class or of two
+larger one that is dense is verified as a whole, which is less work. A block holds 2,000
+representatives, and up to 4,000 where that keeps a component within eight blocks, so sets
+are sent a bounded number of times until a dense component is larger than 32,000. What is
+larger than a block is parted by set size, since similar sets have sizes of one class or of two
 neighbouring ones, and then into blocks. Every pair of a block, or of two blocks, is verified
 exactly, and pairs are counted where they are found and never become rows.
 """
@@ -41,7 +43,9 @@ TREES = 36
 MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
 #: Representatives in a block, and shingles in it; a larger component is verified block against block.
-BLOCK, BLOCK_SHINGLES = 250, 1 << 20
+BLOCK, BLOCK_SHINGLES = 2_000, 1 << 21
+#: A larger component has so many blocks, of up to so many times the size; beyond that, more blocks.
+BLOCKS, GROWTH = 8, 2
 SALTS = 48
 
 _SEED = 20240612
@@ -280,7 +284,10 @@ def _dealt(members: DataFrame, threshold: float, block: int) -> DataFrame:
     A component of more than one block is parted into classes of set size; sets of similarity
     ``threshold`` are in one class or in two neighbouring ones.
     """
-    need = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts")
+    def blocks_of(n: Column, fits: int) -> Column:
+        return F.ceil(n / F.least(F.greatest(n / BLOCKS, F.lit(fits)), F.lit(GROWTH * fits)))
+
+    need = F.greatest(blocks_of(F.count(F.lit(1)), block), blocks_of(F.sum("size"), BLOCK_SHINGLES)).cast("int").alias("parts")
     whole = members.groupBy("component").agg(need).select("component", (F.col("parts") > 1).alias("large"))
     by_size = F.floor(F.log("size") / (-math.log(threshold) * (1 + 1e-9))) if threshold < 1 else F.col("size")
     members = members.join(whole, "component").withColumn("size_class", F.when(F.col("large"), by_size).otherwise(0).cast("int"))
@@ -349,9 +356,11 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     final = verified.filter("parts = 1").select("node", F.col("root").alias("component"), "links")
     split = verified.filter("parts > 1")  # in several blocks or groups
     if not split.isEmpty():
-        merged = connected_components(split.select(F.col("node").alias("src"), F.col("root").alias("dst")), "jaccard-links")
-        counted = split.groupBy("node").agg(F.sum("links").alias("links"))
-        final = final.unionByName(counted.join(merged, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "links"))
+        # A node hangs on the smallest root that a block gave it; what is left to join are roots of one node.
+        counted = staged(split.groupBy("node").agg(F.sum("links").alias("links"), F.min("root").alias("low"), F.collect_set("root").alias("roots")), "jaccard-counted")
+        ends = counted.select(F.explode("roots").alias("src"), F.col("low").alias("dst")).filter("src != dst").distinct()
+        merged = connected_components(ends, "jaccard-links").withColumnRenamed("node", "low")
+        final = final.unionByName(counted.join(merged, "low", "left").select("node", F.coalesce("component", "low").alias("component"), "links"))
 
     # Back to the rows: the first row of each component, over (class, salt).
     placed = classes.join(final.withColumnRenamed("node", "key"), "key", "left").select("key", "key2", "size", "bits", "copies", "low", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
