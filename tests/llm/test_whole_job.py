@@ -248,3 +248,28 @@ def test_pii_places_many_candidates_in_linear_time(spark):
     row = pii.find_pii(_docs(spark, [(1, text)])).first()
     assert (row["n_email"], row["n_ip"], row["n_found"]) == (1, 2000, 0)
     assert time.time() - began < 60
+    began = time.time()
+    signs = ["1" + "-" * 80_000 + "a", "1" + "-" * 80_000, "(" * 40_000 + "1" + ")" * 40_000, "@" + ".-" * 40_000 + "x@y.z"]
+    rows = pii.find_pii(_docs(spark, list(enumerate(signs)))).collect()
+    assert len(rows) == 4 and sum(r["n_email"] for r in rows) == 1
+    assert time.time() - began < 60
+
+
+def test_pii_trims_signs_around_candidates(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["--12-ab--", "(030) 5--", "1", "a@b.c!?", "x-1-", "1-é-", "+49.."]
+    df = spark.createDataFrame([(t,) for t in texts], "body string").select("body", F.explode(pii.candidates(F.col("body"))).alias("c"))
+    found = {(r["body"], r["c"]["body"]) for r in df.collect() if r["c"]["body"]}
+    assert found == {("--12-ab--", "12-ab"), ("(030) 5--", "(030) 5"), ("1", "1"), ("a@b.c!?", "a@b.c"), ("x-1-", "x-1"), ("1-é-", "1-é"), ("+49..", "+49")}
+
+
+def test_pii_says_what_has_not_settled(spark, monkeypatch):
+    import pytest
+
+    edges = spark.createDataFrame([(c, c, b, k) for c, b, k in [("1x", "s1", "ip"), ("1x", "s2", "ip"), ("1x", "s3", "ip"), ("1x", "u1", None), ("1y", "s1", "ip"), ("1y", "u1", None)]], "context string, wide string, body string, kind string")
+    with pytest.warns(UserWarning, match="after 1 rounds"):
+        pii.score_patterns(edges, rounds=1, min_seeds=1)
+    monkeypatch.setattr(pii, "GENERATIONS", 1)
+    with pytest.warns(UserWarning, match="after 1 generations"):
+        pii._bootstrapped(edges, 10, 1, 0.01)

@@ -12,6 +12,8 @@ among the known instances and induces patterns of its own, until a generation fi
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +131,7 @@ def candidates(text: Column) -> Column:
 def _trimmed(s: Column) -> Column:
     """The candidate without signs around it."""
     tail = F.regexp_replace(s["body"], r"^(?:(?!\([0-9]+\))[^\p{L}\p{N}+])+", "")
-    body = F.regexp_replace(tail, r"[^\p{L}\p{N}]+$", "")
+    body = F.regexp_replace(tail, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", "")  # a run of signs is tried from its start only
     start = s["start"] + F.length(s["body"]) - F.length(tail)
     return F.struct(body.alias("body"), start.alias("start"), (start + F.length(body)).alias("end"))
 
@@ -206,8 +208,10 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
         new = believed.groupBy("context", "kind").agg((F.sum(weight * F.coalesce("fixed", "other")) / (F.sum(weight) + DOUBT)).alias("confidence"), F.max("was").alias("was"))
         new = staged(new, f"{name}-{n}")
         scores = new.select("context", "kind", "confidence")
-        if not (new.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0] or 0) > CHANGE:
-            break
+        moved = new.agg(F.max(F.abs(F.col("confidence") - F.col("was")))).first()[0] or 0
+        if not moved > CHANGE:
+            return scores
+    warnings.warn(f"confidences still moved by {moved:.3g} after {rounds} rounds", stacklevel=2)
     return scores
 
 
@@ -227,8 +231,9 @@ def _bootstrapped(edges: DataFrame, rounds: int, min_seeds: int, min_confidence:
         best = hits.groupBy("body").agg(F.max(F.struct("confidence", "found_kind")).alias("best"))
         found = staged(best.select("body", F.col("best.found_kind").alias("found_kind")), f"pii-found-{n}")
         if (now := found.count()) <= count:
-            break
+            return good
         count = now
+    warnings.warn(f"instances were still being found after {GENERATIONS} generations: {count} so far", stacklevel=2)
     return good
 
 
