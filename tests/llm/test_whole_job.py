@@ -129,13 +129,18 @@ def test_packing_checks_the_bytes_of_words_with_one_hash(monkeypatch):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_bpe_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "MEMORY", 100)
+def test_bpe_memory_is_bounded_by_bytes(monkeypatch):
+    import sys
+
+    monkeypatch.setattr(bpe, "MEMORY_BYTES", 30_000)
     codec = bpe.Codec(bpe.PerfectHash.build({bytes([k]): k for k in range(256)}), r"\S+|\s+")
-    for k in range(40):
-        text = "  ".join(f"w{k}-{j}\n x" for j in range(20))
-        assert codec.decode(codec.encode(text)).decode() == text
-    assert len(codec.merged) <= 100
+    for k in range(60):
+        blanks = "  ".join(f"w{k}-{j}\n x" for j in range(20))
+        pieces = " ".join(f"{k}中{j}" * 90 for j in range(4))  # long pieces without blanks
+        for text in (blanks, pieces):
+            assert codec.decode(codec.encode(text)).decode() == text
+        held = sum(sys.getsizeof(a) + sys.getsizeof(b) for m in (codec.memory, codec.merged) for a, b in m.items())
+        assert held < 2 * 30_000 + 20_000
 
 
 def test_redaction_leaves_other_columns_alone(spark):

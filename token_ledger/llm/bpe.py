@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .runtime import small_batches
 
-#: Most pieces that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 400_000
+#: Bytes of pieces and ids in each of a Python worker's two memories, with 200 bytes for the entry of each piece; beyond it a memory starts anew.
+MEMORY_BYTES = 64 << 20
 _PRIME = (1 << 61) - 1
 _BLANK_EDGE = re.compile(r" (?=\s|\Z)|\s ")
 
@@ -131,6 +131,7 @@ class Codec:
         self.ranks = dict(zip(table.keys, table.values, strict=True))  # of the pairs that merges ask for
         self.memory: dict[str, bytes] = {}
         self.merged: dict[str, bytes] = {}
+        self.memory_bytes = self.merged_bytes = 0
         size = max(table.values, default=-1) + 1
         tokens = [b""] * size
         for key, value in zip(table.keys, table.values, strict=True):
@@ -149,8 +150,10 @@ class Codec:
                 whole = self.table.get(raw)
                 ids = array("I", [whole] if whole >= 0 else merge_bytes(raw, self.ranks)).tobytes()
                 if len(piece) < 100:
-                    if len(merged) >= MEMORY:
+                    self.merged_bytes += len(raw) + len(ids) + 200
+                    if self.merged_bytes > MEMORY_BYTES:
                         merged.clear()
+                        self.merged_bytes = 0
                     merged[piece] = ids
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
@@ -167,14 +170,16 @@ class Codec:
         if parts is None:
             return self._ids(text)
         memory = self.memory
-        if len(memory) > MEMORY:
+        if self.memory_bytes > MEMORY_BYTES:
             memory.clear()
+            self.memory_bytes = 0
         pieces = [parts[0], *[" " + p for p in parts[1:]]]
         for piece in set(pieces):
             if piece not in memory:
                 if len(piece) > 1000:
                     return self._ids(text)  # not worth remembering
-                memory[piece] = self._ids(piece)
+                ids = memory[piece] = self._ids(piece)
+                self.memory_bytes += 4 * len(piece) + len(ids) + 200
         return b"".join(map(memory.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
@@ -223,12 +228,21 @@ def bpe_encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
 
 
 def bpe_decode(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col, decoded`` (bytes), one row per input row; null ids decode to nothing."""
+    """``id_col, decoded`` (bytes), one row per input row; null ids decode to nothing.
+
+    Rows are independent: repeated rows give repeated results. Other columns are not read. An
+    empty table gives an empty result.
+    """
     return _each(df, id_col, ids_col, ranks, pattern, "decoded binary", lambda codec, ids: (codec.decode(bytes(ids or b"")),))
 
 
 def bpe_digests(df: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256``: encodes each text, then decodes its ids, in one pass."""
+    """``id_col, n_tokens, ids_sha256, decoded_sha256``: encodes each text, then decodes its ids, in one pass.
+
+    A null text is an empty one: no tokens, digests of nothing. Rows are independent: repeated
+    rows and ids give repeated results, a null id stays null. Very long texts are encoded
+    whole. Other columns are not read. An empty table gives an empty result.
+    """
 
     def row(codec: Codec, text: str):
         ids = codec.encode(text)
