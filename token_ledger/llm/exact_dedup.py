@@ -10,6 +10,8 @@ rows. Verdicts go back to the rows over (digest, salt), where one key holds at m
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +66,9 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    order = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)).alias("tie")).alias("order")
+    # Maps and variants have no hash of their own.
+    told = (F.to_json(F.struct(F.col(f"`{c}`"))) if re.search(r"\b(map<|variant\b)", kind) else F.col(f"`{c}`") for c, kind in df.dtypes)
+    order = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(*told).alias("tie")).alias("order")
     rows = df.select(F.sha2(body, 256).alias("digest"), body.alias("body"), row, order)
     salted = rows.groupBy("digest", F.pmod(F.col("order.tie"), F.lit(salts)).alias("salt"), "body").agg(F.max_by("row", "order").alias("row"), F.max("order").alias("order"))
     return salted.groupBy("digest", "body").agg(F.max_by("row", "order").alias("row")).select("row.*")

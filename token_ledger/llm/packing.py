@@ -306,6 +306,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Tokenise, cut and pack: ``id_col, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one end id. Rows that repeat an id are packed each on its own.
-    Other columns of ``df`` are not read.
+    A very long text is cut into full pieces and a rest. A null id stays null. Other columns of
+    ``df`` are not read, whatever their names. An empty table gives an empty result.
     """
     return best_fit_pack(staged(token_pieces(df, tokenizer_path, id_col, text_col, capacity, end_id), "pieces"), id_col, capacity)

@@ -152,7 +152,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     A null html is an empty payload; a null url has no target line. Rows that repeat the
     response's id are responses themselves. Records are in the order of their ids, so a task
-    that runs again writes the same archives over the old ones.
+    that runs again writes the same archives over the old ones. A very long html is one
+    record, whole. Other columns are not read, whatever their names. An empty table writes no
+    archive and gives no row.
     """
     marked = mark_revisits(pages, id_col, url_col, html_col, min_payload).sortWithinPartitions("id", "refers_to", "url", "html")
     pages.sparkSession.range(1).select(F.lit("")).write.mode("overwrite").text(f"{folder}/_about")  # makes the folder by Spark's own file system
