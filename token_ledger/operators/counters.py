@@ -1,6 +1,7 @@
 """Order-dependent semantics of cumulative counters in log files.
 
-Every window is partitioned by file and ordered by line; only narrow columns are sorted.
+Every scan is along the lines of a file; only narrow columns are sorted. With ``block`` a file
+is parted over many tasks (``segments``), without it is scanned in one.
 """
 
 from __future__ import annotations
@@ -10,65 +11,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import Carry, carry_along
+
 COUNTER_FIELDS = ("input", "cached", "output", "reasoning", "total")
 FALLBACK_MODEL = "gpt-5"
 REVIEW_MODEL, REVIEW_SINCE, REVIEW_TARGET = "codex-auto-review", "2026-02-01", "gpt-5.1-codex"
 
 
-def _before(keys: Sequence[str] = ("file_path",), order: str = "line"):
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _until(keys: Sequence[str] = ("file_path",), order: str = "line"):
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-
+def previous_total(df: DataFrame, total: str = "total", out: str = "_previous", block: int | None = None) -> DataFrame:
+    """``out``: the last non-null total before each row of the same file."""
+    return carry_along(df, {out: Carry(F.col(total))}, block=block)
 
-def previous_total(total: str) -> Column:
-    """The last non-null total before a row of the same file."""
-    return F.last(total, ignorenulls=True).over(_before())
 
-
-def drop_repeated_snapshot(df: DataFrame, total: str = "total") -> DataFrame:
+def drop_repeated_snapshot(df: DataFrame, total: str = "total", block: int | None = None) -> DataFrame:
     """Without rows whose total equals, in all fields, the last total before them."""
     same = F.col(total).isNotNull() & F.coalesce(F.col(total) == F.col("_previous"), F.lit(False))
-    return df.withColumn("_previous", previous_total(total)).filter(~same).drop("_previous")
+    return previous_total(df, total, block=block).filter(~same).drop("_previous")
 
 
-def counter_delta(df: DataFrame, total: str = "total", last: str = "last", out: str = "usage") -> DataFrame:
+def usage_of(total: str = "total", last: str = "last", previous: str = "_previous") -> Column:
+    """The row's own usage if it tells one, else its total less the total before it, each field at least 0."""
+    zero = F.lit(0).cast("bigint")
+    part = lambda f: F.greatest(zero, F.col(f"{total}.{f}") - F.coalesce(F.col(f"{previous}.{f}"), zero)).alias(f)
+    delta = F.when(F.col(total).isNotNull(), F.struct(*(part(f) for f in COUNTER_FIELDS)))
+    own = F.when(F.col(last).isNotNull(), F.struct(*(F.col(f"{last}.{f}").alias(f) for f in COUNTER_FIELDS)))
+    return F.coalesce(own, delta)
+
+
+def counter_delta(df: DataFrame, total: str = "total", last: str = "last", out: str = "usage", block: int | None = None) -> DataFrame:
     """``out``: the row's own usage if it tells one, else its total less the last total before it, each field at least 0.
 
     Needs ``file_path, line``; ``total`` and ``last`` are structs of the counter fields.
     """
-    zero = F.lit(0).cast("bigint")
-    part = lambda f: F.greatest(zero, F.col(f"{total}.{f}") - F.coalesce(F.col(f"_previous.{f}"), zero)).alias(f)
-    delta = F.when(F.col(total).isNotNull(), F.struct(*(part(f) for f in COUNTER_FIELDS)))
-    own = F.when(F.col(last).isNotNull(), F.struct(*(F.col(f"{last}.{f}").alias(f) for f in COUNTER_FIELDS)))
-    return df.withColumn("_previous", previous_total(total)).withColumn(out, F.coalesce(own, delta)).drop("_previous")
+    return previous_total(df, total, block=block).withColumn(out, usage_of(total, last)).drop("_previous")
 
 
-def carry_forward(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def carry_forward(df: DataFrame, columns: Sequence[str], block: int | None = None) -> DataFrame:
     """Each column filled with its last non-null value in the file."""
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(_until()) for c in columns})
+    filled = carry_along(df, {f"_filled_{c}": Carry(F.col(c), own=True) for c in columns}, block=block)
+    return filled.withColumns({c: F.col(f"_filled_{c}") for c in columns}).drop(*(f"_filled_{c}" for c in columns))
 
 
-def resolve_fallback_model(df: DataFrame, model: str = "model", is_usage: str = "is_usage", date: str = "event_date") -> DataFrame:
+def resolve_fallback_model(df: DataFrame, model: str = "model", is_usage: str = "is_usage", date: str = "event_date", block: int | None = None) -> DataFrame:
     """``resolved_model, is_fallback`` for rows that state a model or use the one stated before.
 
     ``is_usage`` marks usage rows; others only state a model. ``date`` is the usage row's date
     as text. A row before any stated model has the fallback model, flagged. The review model
     is replaced by date on the first usage row after it is stated, which is flagged; later
-    rows inherit the replacement without a flag.
+    rows inherit the replacement without a flag. With ``block`` a file of many lines is
+    resolved by many tasks.
     """
-    stated = F.coalesce(F.col(model), F.lit("")) != ""
-    own = Window.partitionBy("file_path", "_segment").orderBy("line")
-    out = df.withColumn("_segment", F.sum(stated.cast("int")).over(_until())).withColumn("_stated", F.last(F.when(stated, F.col(model)), ignorenulls=True).over(_until()))
-    out = out.withColumn("_usage_n", F.sum(F.col(is_usage).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_first_date", F.first(F.when(F.col(is_usage), F.col(date)), ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    review = F.col("_stated") == REVIEW_MODEL
-    none = F.col("_segment") == 0
-    resolved = F.when(none, FALLBACK_MODEL).when(review, F.when(F.substring("_first_date", 1, 10) >= REVIEW_SINCE, REVIEW_TARGET).otherwise(FALLBACK_MODEL)).otherwise(F.col("_stated"))
-    flagged = none | (review & F.col(is_usage) & (F.col("_usage_n") == 1))
-    return out.withColumns({"resolved_model": resolved, "is_fallback": F.coalesce(flagged, F.lit(False))}).drop("_segment", "_stated", "_usage_n", "_first_date")
+    used, dated = F.col(is_usage), F.when(F.col(is_usage) & F.col(date).isNotNull(), F.struct("line", F.col(date).alias("date")))
+    states = F.when(F.coalesce(F.col(model), F.lit("")) != "", F.struct("line", F.col(model).alias("model")))
+    near = {
+        "_stated": Carry(states, own=True),
+        "_next_stated": Carry(states, back=True),
+        "_used": Carry(F.when(used, F.struct("line"))),
+        "_dated": Carry(dated),
+        "_next_dated": Carry(dated, own=True, back=True),
+    }
+    out = carry_along(df, near, block=block)
+    start = F.col("_stated.line")
+    # The first dated usage since the model was stated is the row's own, one before it, or the next one before another model.
+    since = lambda c: F.col(f"{c}.line").isNotNull() & (start.isNull() | (F.col(f"{c}.line") >= start))
+    first_here = dated.isNotNull() & ~since("_dated")
+    out = carry_along(out, {"_first": Carry(F.when(first_here, F.struct("line", F.col(date).alias("date"))), own=True)}, block=block)
+    ahead = F.when(F.col("_next_stated").isNull() | (F.col("_next_dated.line") < F.col("_next_stated.line")), F.col("_next_dated.date"))
+    first_date = F.coalesce(F.when(since("_first"), F.col("_first.date")), ahead)
+    none, review = start.isNull(), F.coalesce(F.col("_stated.model") == REVIEW_MODEL, F.lit(False))
+    resolved = F.when(none, FALLBACK_MODEL).when(review, F.when(F.substring(first_date, 1, 10) >= REVIEW_SINCE, REVIEW_TARGET).otherwise(FALLBACK_MODEL)).otherwise(F.col("_stated.model"))
+    flagged = none | (review & used & ~since("_used"))
+    return out.withColumns({"resolved_model": resolved, "is_fallback": F.coalesce(flagged, F.lit(False))}).drop(*near, "_first")
 
 
 def drop_fork_replay(snapshots: DataFrame, forks: DataFrame) -> DataFrame:

@@ -97,12 +97,13 @@ def _model_at(*bases: str) -> Column:
 HEADLESS = ("", "data", "result", "response")
 
 
-def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+def scan_codex(spark: SparkSession, path: str | DataFrame, block: int | None = None) -> DataFrame:
     """Token counters (cumulative or per call) and headless usage records.
 
     In order: repeats are dropped and deltas taken, then models resolved, then what a forked
     session repeats of its parent goes, then rows without tokens. Lines are parsed when this
-    is called, and what was read stands in the shared folder.
+    is called, and what was read stands in the shared folder. ``block``: lines of a file that
+    one task takes at once, for files too long for one task.
     """
     lines = as_lines(spark, path)
     live = prefer_live_over_archived(lines.select("file_path").distinct())
@@ -137,11 +138,12 @@ def scan_codex(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     fresh = C.drop_fork_replay(shots, forks).select("file_path", "line")
     replayed = shots.select("file_path", "line").join(fresh, ["file_path", "line"], "left_anti")
 
-    counted = C.counter_delta(rows.filter("is_counter AND stamp IS NOT NULL").withColumn("_p", C.previous_total("total")).filter("NOT coalesce(total = _p, false)"))
+    # A repeat leaves the last total as it is, so one scan serves both.
+    counted = C.previous_total(rows.filter("is_counter AND stamp IS NOT NULL"), block=block).filter("NOT coalesce(total = _previous, false)").withColumn("usage", C.usage_of())
     usage = counted.filter("usage IS NOT NULL").select("file_path", "line", "stamp", "model", "usage").unionByName(rows.filter("headless IS NOT NULL").select("file_path", "line", "stamp", "model", F.col("headless").alias("usage")))
     stated = rows.filter("is_context AND model IS NOT NULL").select("file_path", "line", "stamp", "model", F.lit(None).cast(usage.schema["usage"].dataType).alias("usage"))
     ordered = usage.withColumn("is_usage", F.lit(True)).unionByName(stated.withColumn("is_usage", F.lit(False)))
-    resolved = C.resolve_fallback_model(ordered.withColumn("event_date", F.substring("stamp", 1, 10))).filter("is_usage")
+    resolved = C.resolve_fallback_model(ordered.withColumn("event_date", F.substring("stamp", 1, 10)), block=block).filter("is_usage")
     kept = resolved.join(replayed, ["file_path", "line"], "left_anti")
 
     u = lambda f: F.col(f"usage.{f}")

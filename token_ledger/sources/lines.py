@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.segments import number_rows
 
 
 def plain_path(uri: Column) -> Column:
@@ -18,13 +19,12 @@ def plain_path(uri: Column) -> Column:
 def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """``file_path, line`` (from 0), ``value, modified_at`` of non-blank lines under a folder.
 
-    Lines are numbered by their block and their order in it, before any shuffle moves them,
-    so a file may be split over many tasks.
+    Lines are numbered in the block that they are read from, after the lines of the blocks
+    before, so a file may be split over many tasks and is never sorted in one.
     """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
     raw = raw.select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_modification_time").alias("modified_at"), F.monotonically_increasing_id().alias("_id"))
-    line = F.row_number().over(Window.partitionBy("file_path").orderBy("_block", "_id")).cast("bigint") - 1
-    return raw.withColumn("line", line).filter(F.trim("value") != "").select("file_path", "line", "value", "modified_at")
+    return number_rows(raw, "_block", "_id").withColumnRenamed("row", "line").filter(F.trim("value") != "").select("file_path", "line", "value", "modified_at")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
