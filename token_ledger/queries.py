@@ -476,6 +476,22 @@ def q_fallback_model(spark, d):
     return C.resolve_fallback_model(usage(spark, d).selectExpr(*_FALLBACK_IN.replace("CASE", "\nCASE").split(", "))).select("file_path", "line", "resolved_model", "is_fallback")
 
 
+@query(f""", r AS (SELECT arrival, CASE WHEN arrival % 7 <> 3 THEN input_tokens END AS ti, CASE WHEN arrival % 7 <> 3 THEN output_tokens END AS tou, {_FALLBACK_IN.split(", ", 2)[2]} FROM usage_v),
+p AS (SELECT *, last_value(ti IGNORE NULLS) OVER w AS pi, last_value(tou IGNORE NULLS) OVER w AS po FROM r WINDOW w AS (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, sum(CASE WHEN model IS NOT NULL THEN 1 ELSE 0 END) OVER w AS seg, last_value(model IGNORE NULLS) OVER w AS em FROM p WINDOW w AS (ORDER BY arrival)),
+n AS (SELECT *, sum(CASE WHEN is_usage THEN 1 ELSE 0 END) OVER (PARTITION BY seg ORDER BY arrival) AS un, first_value(CASE WHEN is_usage THEN event_date END IGNORE NULLS) OVER (PARTITION BY seg ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS d0 FROM g)
+SELECT arrival, CAST(greatest(0, ti - coalesce(pi, 0)) AS BIGINT) AS input, CAST(greatest(0, tou - coalesce(po, 0)) AS BIGINT) AS output,
+  CASE WHEN seg = 0 THEN 'gpt-5' WHEN em = 'codex-auto-review' THEN CASE WHEN d0 >= '2026-02-01' THEN 'gpt-5.1-codex' ELSE 'gpt-5' END ELSE em END AS resolved_model,
+  seg = 0 OR (em = 'codex-auto-review' AND is_usage AND un = 1) AS is_fallback FROM n WHERE ti IS NOT NULL""")
+def q_one_file_counters(spark, d):
+    """All events as the lines of one file: deltas and models over blocks of it."""
+    models = [x.replace("CASE", "\nCASE") for x in _FALLBACK_IN.split(", ", 2)[2].split(", ")]
+    rows = usage(spark, d).selectExpr("'one' AS file_path", "arrival AS line", "CASE WHEN arrival % 7 <> 3 THEN named_struct('input', input_tokens, 'cached', 0L, 'output', output_tokens, 'reasoning', 0L, 'total', input_tokens + output_tokens) END AS total", *models)
+    rows = rows.withColumn("last", F.lit(None).cast(rows.schema["total"].dataType))
+    out = C.resolve_fallback_model(C.counter_delta(rows, block=500), block=500)
+    return out.filter("usage IS NOT NULL").select(F.col("line").alias("arrival"), "usage.input", "usage.output", "resolved_model", "is_fallback")
+
+
 @query("""SELECT arrival FROM usage_v WHERE arrival NOT IN (
   SELECT arrival FROM (SELECT *, lag(model_raw) OVER w AS m, lag(source_file_line) OVER w AS pl, lag(arrival) OVER w AS pa, arrival % 2 AS a, lag(arrival % 2) OVER w AS la, arrival % 5 // 3 AS b, lag(arrival % 5 // 3) OVER w AS lb FROM usage_v WHERE source_id = 'codex-cli' WINDOW w AS (PARTITION BY source_file_path ORDER BY source_file_line, arrival))
   WHERE model_raw = m AND a = la AND b = lb AND arrival % 3 = pa % 3 AND pl IS NOT NULL)""")
@@ -1048,6 +1064,71 @@ def q_late_days(spark, d):
 # Streams over the same rows
 
 
+def _append(rows):
+    """Appends ``value`` to the file of each row, in the order of the rows."""
+    import contextlib
+
+    from pyarrow import fs
+
+    with contextlib.ExitStack() as files:
+        place, out = None, None
+        for r in rows:
+            if r["place"] != place:
+                place = r["place"]
+                system, path = fs.FileSystem.from_uri(place)
+                system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                out = files.enter_context(system.open_append_stream(path))
+            out.write(r["value"].encode())
+
+
+@query("SELECT source_id, count(*) AS lines, CAST(sum(arrival) AS BIGINT) AS arrivals, CAST(sum(source_file_line - 1) AS BIGINT) AS line_numbers, count(DISTINCT source_file_path) AS files FROM usage_v GROUP BY 1")
+def q_stream_tail(spark, d):
+    """The log of each file of an event grows three times, twice up to the middle of a line; a stream takes the new lines each time."""
+    from .streaming.streams import stream_tail
+
+    logs, out, states, check = (shared_dir(spark, n) for n in ("growing", "tail-lines", "tail-state", "tail-check"))
+    third = F.ntile(3).over(Window.partitionBy("source_file_path").orderBy("source_file_line"))
+    rows = usage(spark, d).withColumn("third", third).select(F.concat(F.lit(f"{logs}/"), F.md5("source_file_path"), F.lit(".jsonl")).alias("place"), "source_file_line", "third", F.concat_ws(",", "source_id", F.col("arrival").cast("string"), F.lit("\n")).alias("text"))
+    # The first line of the later thirds has its first letters in the third before.
+    begins = F.coalesce(F.lag("third").over(Window.partitionBy("place").orderBy("source_file_line")) < F.col("third"), F.lit(False))
+    cut = F.array(F.struct((F.col("third") - 1).alias("part"), F.substring("text", 1, 3).alias("value")), F.struct(F.col("third").alias("part"), F.expr("substring(text, 4)").alias("value")))
+    whole = F.array(F.struct(F.col("third").alias("part"), F.col("text").alias("value")))
+    pieces = staged(rows.withColumn("begins", begins).select("place", "source_file_line", F.inline(F.when(F.col("begins"), cut).otherwise(whole))), "growing-pieces")
+    kept = []
+
+    def known():
+        return spark.read.parquet(kept[-1]) if kept else None
+
+    def sink(lines, state, reset):
+        lines.write.mode("append").parquet(out)
+        before = known()
+        if before is not None:
+            state = before.join(state.select("file_path"), "file_path", "left_anti").unionByName(state)
+        state.write.parquet(f"{states}/{len(kept)}")
+        kept.append(f"{states}/{len(kept)}")
+
+    for part in (1, 2, 3):
+        pieces.filter(F.col("part") == part).repartition("place").sortWithinPartitions("place", "source_file_line").foreachPartition(_append)
+        stream_tail(spark, logs, sink, check, known, available_now=True).awaitTermination()
+    lines = spark.read.parquet(out).withColumn("f", F.split("value", ","))
+    return lines.groupBy(F.col("f")[0].alias("source_id")).agg(F.count(F.lit(1)).alias("lines"), F.sum(F.col("f")[1].cast("bigint")).alias("arrivals"), F.sum("line").alias("line_numbers"), F.count_distinct("file_path").alias("files"))
+
+
+@query(f"SELECT date_trunc('hour', timestamp_utc) AS hour_utc, source_id, model_family, {SUMS}, {_CASH}, count(*) AS event_count, count(*) FILTER (WHERE cost_is_estimated) AS estimated_event_count FROM priced GROUP BY 1, 2, 3")
+def q_stream_store(spark, d):
+    """Events stream into a store in three batches, the earliest days last; its hours hold them all."""
+    from .plans import store
+    from .streaming.streams import stream_to_store
+
+    rows = priced(spark, d).withColumn("dedup_key", F.concat(F.lit("e"), "arrival"))
+    landed, place, check = (shared_dir(spark, n) for n in ("arriving", "streamed", "streamed-check"))
+    day = F.dayofmonth("timestamp_utc")
+    for batch in (day > 20, day.between(4, 20), day < 4):
+        rows.filter(batch).write.mode("append").parquet(landed)
+        stream_to_store(spark.readStream.schema(rows.schema).parquet(landed), place, check, available_now=True).awaitTermination()
+    return _money(store.read_hours(spark, place))
+
+
 @query("SELECT source_id, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(source_file_line - 1) AS BIGINT) AS line_numbers FROM usage_v GROUP BY 1")
 def q_stream_ingest(spark, d):
     """Rolled logs of the events' files, followed batch by batch into a table."""
