@@ -690,6 +690,86 @@ def q_quota_state(spark, d):
     return Q.quota_state(rows).select(F.col("source_id").alias("user_id"), "status", F.col("shown_at").cast("timestamp_ntz").alias("shown_at"))
 
 
+_ROWS_IN_ORDER = "row_number() OVER (ORDER BY {}) AS position"
+
+
+@query(f""", m AS (SELECT model_family AS name, source_id, sum(cost_usd) AS cost FROM ev GROUP BY 1, 2), p AS (SELECT coalesce(project_or_workspace, '') AS name, source_id, sum(cost_usd) AS cost FROM ev GROUP BY 1, 2), d AS (SELECT CAST(CAST(timestamp_utc AS DATE) AS STRING) AS name, source_id, sum(cost_usd) AS cost FROM ev GROUP BY 1, 2)
+SELECT 'model' AS report, name, source_id, {_ROWS_IN_ORDER.format("cost DESC, name, source_id")} FROM m UNION ALL SELECT 'project', name, source_id, {_ROWS_IN_ORDER.format("cost DESC, name, source_id")} FROM p UNION ALL SELECT 'day', name, source_id, {_ROWS_IN_ORDER.format("name, source_id")} FROM d""")
+def q_report_order(spark, d):
+    """The place of each row in the reports as they come out."""
+    ev, out = staged(merged(spark, d), "ordered"), None
+    projects = A.project_breakdown(events(spark, d))
+    for report, name, rows in (("model", "model_family", A.model_breakdown(ev)), ("project", "project", projects), ("day", "day", A.daily_summary(ev))):
+        placed = rows.select(F.lit(report).alias("report"), F.col(name).cast("string").alias("name"), "source_id", F.monotonically_increasing_id().alias("_at"))
+        placed = staged(placed, "report")  # a report's rows, so few that they may be counted in one place
+        placed = placed.select("report", "name", "source_id", F.row_number().over(Window.partitionBy("report").orderBy("_at")).cast("bigint").alias("position"))
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+@query("""SELECT event_id, date_trunc('second', ts) AS whole, date_trunc('milliseconds', ts) AS magnitude, CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('milliseconds', ts) END AS epoch,
+  CASE WHEN event_id % 2 = 0 THEN date_trunc('second', ts) ELSE date_trunc('milliseconds', ts) END AS epoch_late, CASE event_id % 3 WHEN 2 THEN date_trunc('day', ts) ELSE date_trunc('second', ts) END AS plain, CASE event_id % 4 WHEN 3 THEN NULL ELSE date_trunc('second', ts) END AS fallen_back FROM events""", base=False)
+def q_log_times(spark, d):
+    """Times as logs write them: seconds to nanoseconds told apart by size, seconds or milliseconds, plain text, and the first path that holds one."""
+    from .functions import jsonx as J
+
+    configure(spark)
+    e = _table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("ms", F.unix_millis("ts")).withColumn("s", F.unix_seconds("ts"))
+    unit = F.expr("CASE event_id % 4 WHEN 0 THEN ms * 1000000 WHEN 1 THEN ms * 1000 WHEN 2 THEN ms ELSE ms / 1000.0 END").cast("double")
+    either = F.expr("CASE WHEN event_id % 2 = 0 THEN s ELSE ms END").cast("double")
+    text = F.expr("CASE event_id % 3 WHEN 0 THEN date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") WHEN 1 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') ELSE date_format(ts, 'yyyy-MM-dd') END")
+    # A bad first value falls back to the second path, an ISO time stands before numbers, and what is no time gives none.
+    iso = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+    record = F.expr(f"CASE event_id % 4 WHEN 0 THEN to_json(named_struct('a', {iso}, 'b', 'x')) WHEN 1 THEN to_json(named_struct('a', 'soon', 'b', s)) WHEN 2 THEN to_json(named_struct('b', s * 1000)) ELSE to_json(named_struct('a', 'soon', 'b', 'later')) END")
+    out = e.select("event_id", F.timestamp_seconds("s").alias("whole"), J.magnitude_time(unit).alias("magnitude"), J.epoch_time(either).alias("epoch"), J.epoch_time(either, 1e11).alias("epoch_late"), J.plain_time(text).alias("plain"), J.time(F.parse_json(record), "a", "b").alias("fallen_back"))
+    return out.withColumns({c: F.date_trunc("millisecond", c).cast("timestamp_ntz") for c in out.columns[1:]})
+
+
+@query("SELECT o_orderkey FROM orders", base=False)
+def q_rowid_reset(spark, d):
+    """A table whose largest row id has gone down is read whole."""
+    o = _table(spark, d, "orders").select("o_orderkey")
+    return I.rowid_watermark(o, o.agg(F.max("o_orderkey")).first()[0] + 1, "o_orderkey")
+
+
+@query(f"""{_DAYS} SELECT CASE WHEN day % 9 = 2 THEN 'no id!' ELSE device_id END AS device_id, CASE WHEN day % 9 = 3 THEN day_utc || 'x' ELSE day_utc END AS day_utc, day % 9 = 0 AS ok,
+  CASE day % 9 WHEN 1 THEN 'schema version' WHEN 2 THEN 'device id' WHEN 3 THEN 'day' WHEN 4 THEN 'path' WHEN 5 THEN 'hour outside day' WHEN 6 THEN 'manifest' WHEN 7 THEN 'checksum form' WHEN 8 THEN 'checksum' END AS reason FROM days""")
+def q_verify_rules(spark, d):
+    """Day documents of which each breaks one of the eight rules, or none."""
+    b = _buckets(spark, d)
+    sums, rule = staged(X.day_checksum(b), "rules"), F.dayofmonth(F.try_to_date("day_utc", "yyyy-MM-dd")) % 9
+    hours = b.groupBy("device_id", X.utc_day(F.col("hour_utc")).alias("day_utc")).agg(F.collect_set("hour_utc").alias("hours")).join(sums, ["device_id", "day_utc"])
+    device, day = F.when(rule == 2, "no id!").otherwise(F.col("device_id")), F.when(rule == 3, F.concat("day_utc", F.lit("x"))).otherwise(F.col("day_utc"))
+    docs = hours.select(
+        F.when(rule == 4, "other").otherwise(device).alias("path_device"), day.alias("path_day"), F.when(rule == 1, 9).otherwise(1).alias("schema_version"), device.alias("device_id"), day.alias("day_utc"),
+        F.transform("hours", lambda h: F.struct(F.when(rule == 5, h + F.expr("interval 1 day")).otherwise(h).alias("hour_utc"))).alias("buckets"), F.when(rule == 8, F.sha2("checksum", 256)).otherwise(F.col("checksum")).alias("computed_checksum"),
+    )
+    listed = sums.filter(rule != 6).select("device_id", "day_utc", F.when(rule == 7, "short").otherwise(F.col("checksum")).alias("checksum"))
+    return X.verify_days(docs, listed)
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_type <> 'error' AS fine, event_id % 2 = 0 AS limited, event_id % 3 AS w, CASE WHEN event_id % 5 = 0 THEN 'pro' END AS tier FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS rn, last_value(CASE WHEN fine THEN w END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts) AS good FROM s)
+SELECT user_id, coalesce(tier, CASE WHEN CASE WHEN fine THEN w WHEN limited THEN good END = 0 THEN 'free' END) AS tier, CASE WHEN fine OR limited THEN CASE good WHEN 1 THEN 2 WHEN 0 THEN 1 WHEN 2 THEN 1 END END AS n_windows FROM n WHERE rn = 1""", base=False)
+def q_quota_tier(spark, d):
+    """The tier that is stored, or that the windows shown tell."""
+    configure(spark)
+    one, two = F.lit("primary_window"), F.lit("secondary_window")
+    rows = _table(spark, d, "events").select(
+        F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("fetched_at"), F.expr("CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END").alias("status"), F.expr("CASE WHEN event_id % 2 = 0 THEN 'HTTP 429' ELSE 'HTTP 500' END").alias("detail"),
+        F.when(F.expr("event_id % 3 = 0"), F.array(one)).when(F.expr("event_id % 3 = 1"), F.array(one, two)).otherwise(F.array(two)).alias("windows"), F.expr("CASE WHEN event_id % 5 = 0 THEN 'pro' END").alias("tier"),
+    )
+    return Q.quota_state(rows).select(F.col("source_id").alias("user_id"), "tier", F.when(F.col("windows").isNotNull(), F.size("windows")).alias("n_windows"))
+
+
+@query(f"SELECT count(*) AS families, 0 AS missing_prefixes, count(*) >= {R.LEAST_FAMILIES} AS complete FROM part", base=False)
+def q_price_table_complete(spark, d):
+    """A price table with families of every provider."""
+    prefixes = F.array(*(F.lit(p) for p in R.REQUIRED_PREFIXES))
+    n = F.col("p_partkey") % len(R.REQUIRED_PREFIXES)
+    return R.validate_price_table(_table(spark, d, "part").select(F.concat(F.element_at(prefixes, (n + 1).cast("int")), "p_partkey").alias("family")))
+
+
 # Usage from other tables, bundles
 
 
@@ -1192,15 +1272,39 @@ def q_stream_models(spark, d):
     """Counters and models of files that arrive in three parts, each met by a restart of the stream."""
     from .streaming.streams import stream_counter_delta
 
+    parts = _model_thirds(spark, d)
+    landed, out, check = (shared_dir(spark, n) for n in ("thirds-landed", "models-out", "models-state"))
+    for n in (1, 2, 3):
+        part = spark.read.parquet(f"{parts}/third={n}")
+        part.write.mode("append").parquet(landed)
+        stream = stream_counter_delta(spark.readStream.schema(part.schema).parquet(landed))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("file_path", "line", "input", "output", "resolved_model", "is_fallback")
+
+
+def _model_thirds(spark, d):
+    """A folder of counter rows with models, each file's rows in three parts."""
     models = usage(spark, d).selectExpr(*_FALLBACK_IN.split(", "))
     rows = _snapshots(spark, d).join(models, ["file_path", "line"])
     rows = rows.withColumns({c: F.when(F.col("is_usage"), F.col(c)) for c in ("total", "last")})
     third = F.ntile(3).over(Window.partitionBy("file_path").orderBy("line")).alias("third")
-    parts, landed, out, check = (shared_dir(spark, n) for n in ("thirds", "thirds-landed", "models-out", "models-state"))
+    parts = shared_dir(spark, "thirds")
     rows.select("file_path", "line", "total", "last", "model", "is_usage", "event_date", third).write.partitionBy("third").parquet(parts)
+    return parts
+
+
+@query(REGISTRY["stream_models"][1], base=False)
+def q_stream_counters(spark, d):
+    """The same in micro-batches without Python, with a few rows of each file as state."""
+    from .streaming.counters import stream_counters
+
+    parts = _model_thirds(spark, d)
+    landed, out, place, check = (shared_dir(spark, n) for n in ("counters-landed", "counters-out", "counters-state", "counters-check"))
+    text = F.lit(None).cast("string")
     for n in (1, 2, 3):
         part = spark.read.parquet(f"{parts}/third={n}")
+        part = part.withColumns({"seen": F.lit("2024-01-01").cast("timestamp"), "home": F.lit("h"), "session_id": F.col("file_path"), "parent_id": text, "fork_at": text.cast("timestamp")})
         part.write.mode("append").parquet(landed)
-        stream = stream_counter_delta(spark.readStream.schema(part.schema).parquet(landed))
-        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out).select("file_path", "line", "input", "output", "resolved_model", "is_fallback")
+        stream = spark.readStream.schema(part.schema).parquet(landed)
+        stream_counters(stream, lambda usage, batch: usage.write.mode("overwrite").parquet(f"{out}/batch={batch}"), place, check, block=100, available_now=True).awaitTermination()
+    return spark.read.parquet(out).select("file_path", "line", "usage.input", "usage.output", "resolved_model", "is_fallback")
