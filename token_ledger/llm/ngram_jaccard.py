@@ -10,8 +10,8 @@ so on, down to the depth at which any pair at the threshold meets with that prob
 lonely documents search the shortest prefixes, where they meet next to nothing, and members
 of dense groups the longest.
 
-Representatives that meet form components (of meetings, not of similar pairs). A component
-that fits a block is verified at once. A larger one whose members met few others each (a
+Representatives that meet form components (of meetings, not of similar pairs). A small
+component is verified at once. A larger one whose members met few others each (a
 chain of chance meetings) is verified by the groups that met, a pair where it met first; a
 larger one that is dense is verified as a whole, which is less work. A block holds 2,000
 representatives, and up to 4,000 where that keeps a component within eight blocks, so sets
@@ -44,7 +44,9 @@ MAX_DEPTH = 8
 TARGET_RECALL = 0.9999
 #: Representatives in a block, and shingles in it; a larger component is verified block against block.
 BLOCK, BLOCK_SHINGLES = 2_000, 1 << 21
-#: A larger component has so many blocks, of up to so many times the size; beyond that, more blocks.
+#: A component of more representatives is verified by the groups that met, where these hold fewer pairs than it has itself.
+SPARSE_FROM = 250
+#: A component of more than a block has so many blocks, of up to so many times the size; beyond that, more blocks.
 BLOCKS, GROWTH = 8, 2
 SALTS = 48
 
@@ -264,8 +266,8 @@ def forest_meetings(labelled: DataFrame, least: int, depth: int, trees: int, tar
 def _units(members: DataFrame, block: int) -> DataFrame:
     """``members`` (``component, node, size, lows, ...``) by what is verified together, with ``lows`` null but for groups.
 
-    A component stays one unit if it fits a block, or if its groups hold more pairs than it
-    has itself; otherwise each of its groups is a unit, under the number of its smallest node.
+    A component stays one unit if it is small, or if its groups hold more pairs than it has
+    itself; otherwise each of its groups is a unit, under the number of its smallest node.
     """
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter((F.col("n") > block) | (F.col("size") > BLOCK_SHINGLES))
     whole = staged(whole.select("component", "n"), "jaccard-large")
@@ -344,7 +346,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = connected_components(links, "jaccard-candidates").withColumnRenamed("node", "low")
     near = lows.join(joined, "low", "left").select("node", "lows", F.coalesce("component", "low").alias("component"))
 
-    members = _dealt(_units(near.join(classes.select(F.col("key").alias("node"), "rep", "copies", "size"), "node"), block), threshold, block)
+    members = _dealt(_units(near.join(classes.select(F.col("key").alias("node"), "rep", "copies", "size"), "node"), min(block, SPARSE_FROM)), threshold, block)
     gathered = members.groupBy("node", "rep", "copies").agg(F.first("lows").alias("lows"), F.collect_list(F.struct("component", "block", "others")).alias("places"))  # at most one place for each tree
     sets = once(gathered.join(rows.select("body", row_key), F.col("rep") == F.col("row_key"))).select(*MEMBER, "body")
     sets = sets.mapInArrow(_sets_of(k), f"node long, copies long, lows array<long>, places {PLACES}, shingles binary")
