@@ -29,13 +29,13 @@ def _count(total, last=None, at="2026-01-02T00:00:00Z"):
 
 
 def test_claude_literal(spark, tmp_path):
-    usage = {"input_tokens": 100, "output_tokens": 50, "cache_creation_input_tokens": 99, "cache_read_input_tokens": 10, "cache_creation": {"ephemeral_5m_input_tokens": 20, "ephemeral_1h_input_tokens": 5}}
-    good = {"timestamp": "2026-05-01T10:00:00.000Z", "sessionId": "s1", "version": "1.2.3", "costUSD": 0.12, "message": {"id": "m1", "model": "claude-sonnet-4-20250514", "usage": usage}}
+    usage = {"input_tokens": 731, "output_tokens": 64, "cache_creation_input_tokens": 8, "cache_read_input_tokens": 18, "cache_creation": {"ephemeral_5m_input_tokens": 31, "ephemeral_1h_input_tokens": 6}}
+    good = {"timestamp": "2026-05-01T10:00:00.000Z", "sessionId": "talk-a", "version": "7.0.2", "costUSD": 0.37, "message": {"id": "msg-a", "model": "claude-opus-4-20250601", "usage": usage}}
     bad = [{**good, "version": "x"}, {**good, "sessionId": ""}, {**good, "message": {**good["message"], "model": "<synthetic>"}}, "not json \"usage\"", ""]
-    _write(tmp_path / "projects" / "p" / "file.jsonl", good, *bad)
+    _write(tmp_path / "projects" / "garden" / "talk-a.jsonl", good, *bad)
     row = registry.scan(spark, "claude-code", str(tmp_path)).collect()
-    assert len(row) == 1 and tuple(row[0][t] for t in TOKENS) == (100, 50, 25, 10, 0)
-    assert (row[0]["dedup_key"], row[0]["project_or_workspace"], float(row[0]["reported_cost"])) == ("claude-message:m1", "p", 0.12)
+    assert len(row) == 1 and tuple(row[0][t] for t in TOKENS) == (731, 64, 37, 18, 0)
+    assert (row[0]["dedup_key"], row[0]["project_or_workspace"], float(row[0]["reported_cost"])) == ("claude-message:msg-a", "garden", 0.37)
 
 
 def test_codex_counters_and_fork(spark, tmp_path):
