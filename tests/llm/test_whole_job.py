@@ -149,19 +149,31 @@ def test_redaction_leaves_other_columns_alone(spark):
     assert sorted(map(tuple, secrets.redact_secrets(rows).collect())) == [(1, "see [SECRET] here", 7), (2, "nothing", 8), (3, None, 9)]
 
 
+_BEFORE, _BEHIND = "(?<![A-Za-z0-9+/_=-])", "(?![A-Za-z0-9+/_=-])"
+#: Each alphabet's candidates as a search of the whole text, what they must hold, and the bits a window must reach.
+CLASSES = (
+    ("(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])", ("[0-9]", "[A-Fa-f]"), 3.0),
+    (f"{_BEFORE}[A-Z2-7]{{20,}}=*{_BEHIND}", ("[2-7]", "[A-Z]"), 3.2),
+    (f"{_BEFORE}[a-z0-9+/_=-]{{20,}}{_BEHIND}", ("[0-9]", "[a-z]"), 3.7),
+    (f"{_BEFORE}[A-Z0-9+/_=-]{{20,}}{_BEHIND}", ("[0-9]", "[A-Z]"), 3.7),
+    ("[A-Za-z0-9+/_=-]{20,}", ("[0-9]", "[a-z]", "[A-Z]"), 3.7),
+    ("[A-Za-z0-9+/_=-]{20,}", (), 4.1),
+)
+
+
 def test_added_secrets_by_brute_force():
     """Every candidate's best window, counted anew for each place, decides as the running counts do."""
     rng = np.random.RandomState(11)
     letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-")
     for _ in range(60):
         parts = ["".join(rng.choice(letters[: rng.randint(2, len(letters))], rng.randint(1, 60))) for _ in range(12)]
-        text = " ".join(parts)
+        text = rng.choice([" ", "é", ".", "\u4e2d\n"]).join(parts)
         base, added = secrets.scan_text(text, None)
         taken = [(s, e) for s, e, _ in base]
         want = set()
-        for _, runs, needs, least in secrets.ALPHABETS:
-            for m in runs.finditer(text):
-                if any(s < m.end() and e > m.start() for s, e in taken) or not all(n.search(m[0]) for n in needs):
+        for pattern, needs, least in CLASSES:
+            for m in re.finditer(pattern, text):
+                if any(s < m.end() and e > m.start() for s, e in taken) or not all(re.search(n, m[0]) for n in needs):
                     continue
                 windows = [m[0][k : k + secrets.WINDOW] for k in range(max(1, len(m[0]) - secrets.WINDOW + 1))]
                 bits = max(-sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)) for w in windows)

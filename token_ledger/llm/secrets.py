@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and sliding-window Shannon entropy of candidate strings.
 
 Candidate strings are runs of one alphabet (hexadecimal, base32, lower or upper case with
-digits, base64, letters without digits). A window slides over a
+digits, base64, letters without digits); one pass finds the runs of the widest, classes are
+told apart inside them. A window slides over a
 candidate; its character counts, and with them the entropy, change by one character in and
 one out. A candidate whose best window reaches its alphabet's threshold is a secret, unless
 an allow-list pattern covers it.
@@ -13,7 +14,7 @@ import bisect
 import hashlib
 import math
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,17 +31,23 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 
 WINDOW = 20
+#: Candidates lie in runs of the widest alphabet; nothing shorter than a window is one.
+RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_IN_RUN, _BESIDE = b"x", b" "
+_MARKS = bytes(_IN_RUN[0] if chr(c) in RUN else _BESIDE[0] for c in range(256))
 _DIGIT, _LOWER, _UPPER = re.compile(r"[0-9]"), re.compile(r"[a-z]"), re.compile(r"[A-Z]")
-_OUTSIDE = r"(?<![A-Za-z0-9+/_=-])", r"(?![A-Za-z0-9+/_=-])"
-#: (name, runs of the alphabet, what a run must hold to be of the class, bits per character that a window must reach)
+#: The class of hexadecimal strings, which may be a part of a run between signs: what it must hold, and its bits per character.
+HEX_PART, HEX_NEEDS, HEX_BITS = re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), (_DIGIT, re.compile(r"[A-Fa-f]")), 3.0
+#: Classes of whole runs: (name, what the run is, what it must hold, bits per character that a window must reach)
 ALPHABETS = (
-    ("hex", re.compile(r"(?<![A-Za-z0-9])[0-9A-Fa-f]{20,}(?![A-Za-z0-9])"), (_DIGIT, re.compile(r"[A-Fa-f]")), 3.0),
-    ("base32", re.compile(r"[A-Z2-7]{20,}=*".join(_OUTSIDE)), (re.compile(r"[2-7]"), _UPPER), 3.2),
-    ("lower", re.compile(r"[a-z0-9+/_=-]{20,}".join(_OUTSIDE)), (_DIGIT, _LOWER), 3.7),
-    ("upper", re.compile(r"[A-Z0-9+/_=-]{20,}".join(_OUTSIDE)), (_DIGIT, _UPPER), 3.7),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (_DIGIT, _LOWER, _UPPER), 3.7),
-    ("letters", re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (), 4.1),
+    ("base32", re.compile(r"[A-Z2-7]{20,}=*"), (re.compile(r"[2-7]"), _UPPER), 3.2),
+    ("lower", re.compile(r"[a-z0-9+/_=-]+"), (_DIGIT, _LOWER), 3.7),
+    ("upper", re.compile(r"[A-Z0-9+/_=-]+"), (_DIGIT, _UPPER), 3.7),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), (_DIGIT, _LOWER, _UPPER), 3.7),
+    ("letters", re.compile(r"[A-Za-z0-9+/_=-]+"), (), 4.1),
 )
+#: What a text with an assignment holds in lower case.
+_NAMES = ("passw", "secret", "token", "apikey", "api_key")
 #: A name before a value, which no allow-list pattern has to cover.
 LABEL = re.compile(r"[A-Za-z_-]+=(?=.)")
 #: Allowed strings: UUIDs, dates and times run together, paths of lower-case words.
@@ -87,23 +94,54 @@ def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def long_runs(text: str) -> Iterator[tuple[int, str]]:
+    """(start, run) of the maximal runs of the widest alphabet that hold a window, in one pass over the bytes."""
+    data = text.encode()
+    marks = data.translate(_MARKS)
+    one_byte, place, seen = len(data) == len(text), 0, 0
+    at = marks.find(_IN_RUN * WINDOW)
+    while at >= 0:
+        end = marks.find(_BESIDE, at)
+        end = len(marks) if end < 0 else end
+        if not one_byte:
+            place, seen = place + len(data[seen:at].decode()), at
+        yield at if one_byte else place, data[at:end].decode()
+        at = marks.find(_IN_RUN * WINDOW, end)
+
+
+def _entropy_spans(run: str, start: int, free: Callable[[int, int], bool], allow: re.Pattern | None) -> list[tuple[int, int, str]]:
+    """Secrets by entropy in one run: its hexadecimal parts, or else the whole of it, by the easiest class that it is of."""
+
+    def secret(part: str, bits: float) -> bool:
+        return not (allow and allow.fullmatch(LABEL.sub("", part, count=1) if LABEL.match(part) else part)) and best_entropy(part) >= bits
+
+    out = []
+    for m in HEX_PART.finditer(run):
+        s, e = start + m.start(), start + m.end()
+        if free(s, e) and all(n.search(m[0]) for n in HEX_NEEDS) and secret(m[0], HEX_BITS):
+            out.append((s, e, "entropy"))
+    if out or not free(start, start + len(run)):
+        return out
+    bits = min(b for _, whole, needs, b in ALPHABETS if whole.fullmatch(run) and all(n.search(run) for n in needs))
+    return [(start, start + len(run), "entropy")] if secret(run, bits) else []
+
+
 def scan_text(text: str, allow: re.Pattern | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, added spans) as (start, end, kind), each by start."""
-    base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGN]
+    base, low, runs = [], text.lower(), list(long_runs(text))
+    if any(name in low for name in _NAMES):
+        base = [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[1]) >= MIN_ASSIGN]
     if "AKIA" in text:
         base += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
-    base += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    base += [(at + m.start(), at + m.end(), "hex") for at, run in runs for m in HEX.finditer(run)]
     base.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    added: list[tuple[int, int, str]] = []
-    for _, runs, needs, threshold in ALPHABETS:
-        starts, ends = _merged([(s, e) for s, e, _ in base + added])
-        for m in runs.finditer(text):
-            k = bisect.bisect_right(ends, m.start())
-            if k < len(starts) and starts[k] < m.end():
-                continue  # inside what is found already
-            if all(n.search(m[0]) for n in needs) and not (allow and allow.fullmatch(LABEL.sub("", m[0], count=1) if LABEL.match(m[0]) else m[0])) and best_entropy(m[0]) >= threshold:
-                added.append((*m.span(), "entropy"))
-    return base, sorted(added)
+    starts, ends = _merged([(s, e) for s, e, _ in base])
+
+    def free(start: int, end: int) -> bool:
+        k = bisect.bisect_right(ends, start)
+        return k == len(starts) or starts[k] >= end
+
+    return base, [span for at, run in runs for span in _entropy_spans(run, at, free, allow)]
 
 
 def _joined(spans) -> str:
