@@ -6,7 +6,8 @@ fingerprints and of files. A listing says in which version each partition stands
 created only if no other commit has taken the number, makes all of it visible at once. A
 commit that comes second looks at what came between: if that changed none of its partitions
 and brought none of its keys, only listing, day revisions and file state are written again on
-top of it, else the merge is done again. Old versions go by ``expire_versions``. Partitions
+top of it, else the merge is done again. Small versions are put together by
+``compact_versions``, old ones go by ``expire_versions``. Partitions
 that stand alone (device and day) are overwritten one by one. A path that is being read is
 never overwritten.
 """
@@ -17,6 +18,7 @@ import json
 import time
 import uuid
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,6 +236,40 @@ def _commit_tables(spark: SparkSession, root: str, base: Pointer | None, version
     return at
 
 
+def compact_versions(spark: SparkSession, root: str, fewest: int = 64, tries: int = 50) -> str | None:
+    """Moves the partitions of versions that list fewer than ``fewest`` into one version, as a commit; returns it, or None if there was nothing to gain.
+
+    Many small commits leave a partition here and there in many versions, whose folders and
+    small files every read lists. Rows, file state and day revisions stay as they are, so
+    nothing is published again. Other writers may commit meanwhile: a partition that one of
+    them has written is left to it. The old versions go by ``expire_versions``.
+    """
+    base = current(spark, root)
+    if base is None:
+        return None
+    listing = _listing(spark, root, base)
+    few = listing.groupBy("version").count().filter(F.col("count") < fewest).select("version")
+    due = staged(listing.join(few, "version", "left_semi").select(*PARTITION, "version"), "store-small")
+    if due.select("version").distinct().limit(2).count() < 2:
+        return None
+    version = uuid.uuid4().hex
+    _write_version(staged(_partitions(spark, root, base, "events", due), "store-moved"), root, version)
+    for _ in range(tries):
+        listing = _listing(spark, root, base)
+        still = listing.join(due, [*PARTITION, "version"], "left_semi").select(*PARTITION, F.lit(version).alias("version"))
+        if still.isEmpty():
+            break
+        number = base.number + 1
+        at = Pointer(number, version, f"listings/{number:012d}-{version}", base.days, base.state, base.columns, time.time())
+        listing.join(still.select(*PARTITION), list(PARTITION), "left_anti").select(*PARTITION, "version").unionByName(still).write.mode("overwrite").parquet(f"{root}/{at.listing}")
+        if storage.create_once(spark, f"{root}/pointers/{number:012d}.json", json.dumps(asdict(at))):
+            return version
+        base = current(spark, root)
+    for name in PARTS:
+        storage.delete(spark, f"{root}/{name}/version={version}")
+    return None
+
+
 def hold(spark: SparkSession, root: str, number: int) -> str:
     """Keeps a commit readable until ``release``; the name to release it by."""
     name = f"{number:012d}-{uuid.uuid4().hex}"
@@ -257,29 +293,26 @@ def expire_versions(spark: SparkSession, root: str, keep_seconds: float, now: fl
     replaced = [later.at for later in found[1:]]
     keep = [p for p, end in zip(found, [*replaced, now], strict=True) if end >= now - keep_seconds or p is found[-1] or p.number in held]
     drop = [p for p in found if p not in keep]
-    for p in drop:  # first the pointers: from now on nobody starts to read these
-        storage.delete(spark, f"{root}/pointers/{p.number:012d}.json")
-    for p in drop:
-        for table in (p.listing, p.days, p.state):
-            storage.delete(spark, f"{root}/{table}")
+    listed = lambda ps: {(r["version"], r["source_id"], str(r["day_utc"])) for r in reduce(DataFrame.unionByName, [_listing(spark, root, p) for p in ps]).distinct().collect()}  # noqa: E731 (names of partitions)
     if not drop:
         return []
-    listed = None
-    for p in keep:
-        one = _listing(spark, root, p)
-        listed = one if listed is None else listed.unionByName(one)
-    used = {(r["version"], r["source_id"], str(r["day_utc"])) for r in listed.distinct().collect()}  # names of partitions
-    kept, gone = {v for v, _, _ in used}, []
-    for version in {p.version for p in drop} - kept:
+    used, tables = listed(keep), {t for p in keep for t in (p.listing, p.days, p.state)}
+    # A version outlives its own commit as long as a later one lists some of it, so what goes is what the dropped ones listed.
+    kept, old, gone = {v for v, _, _ in used}, {p.version for p in drop} | {v for v, _, _ in listed(drop) - used}, []
+    for p in drop:  # first the pointers: from now on nobody starts to read these
+        storage.delete(spark, f"{root}/pointers/{p.number:012d}.json")
+    for version in old - kept:
         for table in PARTS:
             storage.delete(spark, f"{root}/{table}/version={version}")
         gone.append(version)
     at = F.col("_metadata.file_path")
-    for version in {p.version for p in drop} & kept:  # some of its partitions are listed yet
+    for version in old & kept:  # some of its partitions are listed yet
         rows = _table(spark, root, found[-1], "events").filter(F.col("version") == version)
         for r in rows.select("source_id", F.col("day_utc").cast("string").alias("day"), F.regexp_replace(at, "/[^/]*$", "").alias("folder")).distinct().collect():
             if (version, r["source_id"], r["day"]) not in used:
                 storage.delete(spark, r["folder"])
+    for table in {t for p in drop for t in (p.listing, p.days, p.state)} - tables:  # a commit that has only moved rows shares those before it
+        storage.delete(spark, f"{root}/{table}")
     return sorted(gone)
 
 
