@@ -1085,6 +1085,22 @@ def q_store_reset(spark, d):
     return _money(out)
 
 
+@query(f"SELECT hour_utc, source_id, model_family, {SUMS}, {_CASH}, CAST(sum(event_count) AS BIGINT) AS event_count, CAST(sum(estimated_event_count) AS BIGINT) AS estimated_event_count, 1::BIGINT AS versions, 1::BIGINT AS commits FROM bucket GROUP BY 1, 2, 3")
+def q_store_compact(spark, d):
+    """Four commits leave their partitions in as many versions; these become one, and the old ones go."""
+    from .plans import storage, store
+
+    rows, place = staged(priced(spark, d), "compact"), shared_dir(spark, "store")
+    half = F.pmod(F.xxhash64("dedup_key"), F.lit(2))
+    for n in range(2):
+        store.write_events(rows.filter(half == n).filter(F.day("timestamp_utc") <= 15), place)
+        store.write_events(rows.filter(half == n).filter(F.day("timestamp_utc") > 15), place)
+    store.compact_versions(spark, place, fewest=1_000_000)
+    store.expire_versions(spark, place, 0, now=store.current(spark, place).at + 1)
+    left = len(storage.names(spark, f"{place}/events")), len(store.pointers(spark, place))
+    return _money(store.read_hours(spark, place)).withColumns({"versions": F.lit(left[0]).cast("bigint"), "commits": F.lit(left[1]).cast("bigint")})
+
+
 @query(", k AS (SELECT * FROM usage_v WHERE arrival % 2 = 0 OR day(timestamp_utc) % 3 = 0) SELECT CAST(CAST(timestamp_utc AS DATE) AS STRING) AS day_utc, count(DISTINCT arrival % 2) AS revision, bool_or(arrival % 2 = 1) AS dirty FROM k GROUP BY 1")
 def q_store_publish(spark, d):
     """Days are published, then some get more rows: their revision goes up and they are dirty until they are published again."""
