@@ -19,3 +19,38 @@ def test_messages_and_sidecars_are_not_broadcast(spark):
     beside = L.sidecar_join(spark.createDataFrame([("a",), ("b",)], "side string"), side, "side", "model")
     assert "Broadcast" not in _plan(beside)
     assert sorted(tuple(r) for r in beside.collect()) == [("a", "m"), ("b", None)]
+
+
+def _scans(df) -> int:
+    return _plan(df).count("FileScan text")
+
+
+def test_filtered_lines_of_cut_files(spark, tmp_path):
+    """A filter on the path must not part the files of one scan otherwise than those of the other."""
+    from token_ledger.sources.lines import read_lines
+
+    for n in range(5):
+        (tmp_path / f"{n}.jsonl").write_text("".join(f"{n},{i}\n" for i in range(2_000 * (n + 1))))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for whole in (0, 30_000, 1 << 20):
+            rows = read_lines(spark, str(tmp_path), whole_bytes=whole).filter("file_path LIKE '%/4.jsonl'").collect()
+            assert sorted((r["line"], r["value"]) for r in rows) == [(i, f"4,{i}") for i in range(10_000)]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+
+
+def test_small_files_are_not_shuffled(spark, tmp_path):
+    """Lines of small files are numbered where they are read, with the same ends and marks as the text source knows."""
+    from token_ledger.sources.lines import read_lines
+
+    (tmp_path / "a.jsonl").write_bytes(b"\xef\xbb\xbfone\r\n\r\ntwo\rthree\n  \nfour\n\n")
+    (tmp_path / "b.jsonl").write_bytes(b"")
+    (tmp_path / "c.jsonl").write_bytes(b"\n\nlast")
+    want = [("a", 0, "one"), ("a", 2, "two"), ("a", 3, "three"), ("a", 5, "four"), ("c", 2, "last")]
+    for whole in (0, 4 << 20):
+        rows = read_lines(spark, str(tmp_path), whole_bytes=whole)
+        assert sorted((r["file_path"][-7], r["line"], r["value"]) for r in rows.collect()) == want
+    small = _plan(read_lines(spark, str(tmp_path))).split("Union")[1]
+    assert small.index("FileScan text") < (small.index("Exchange") if "Exchange" in small else len(small))

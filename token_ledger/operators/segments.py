@@ -58,9 +58,9 @@ def carry_along(df: DataFrame, carries: dict[str, Carry], keys: Sequence[str] =
 
 
 def number_rows(df: DataFrame, blocks: str, order: str, keys: Sequence[str] = ("file_path",)) -> DataFrame:
-    """``df`` with ``row``, from 0 along each key, where ``blocks`` part a key in order and ``order`` sorts a block."""
+    """``df`` with ``row``, from 0 along each key, where ``blocks`` part a key in order and ``order``, never null, sorts a block."""
     at = [*keys, blocks]
-    counts = df.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*at).agg(F.count(order).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(blocks)) - F.col("_n")
     inside = F.row_number().over(Window.partitionBy(*at).orderBy(order)).cast("bigint") - 1
     return df.withColumn("_in", inside).join(counts.select(*at, before.alias("_before")), at).withColumn("row", F.col("_before") + F.col("_in")).drop("_in", "_before")

@@ -10,21 +10,34 @@ from pyspark.sql import functions as F
 from ..operators.segments import number_rows
 
 
+#: Bytes of a file that is read at once.
+WHOLE_BYTES = 4 << 20
+
+
 def plain_path(uri: Column) -> Column:
     """A local file's path without scheme and escapes; other URIs as they are."""
     local = F.regexp_replace(uri, "^file:/+", "/")
     return F.url_decode(F.replace(local, F.lit("+"), F.lit("%2B")))
 
 
-def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """``file_path, line`` (from 0), ``value, modified_at`` of non-blank lines under a folder.
 
-    Lines are numbered in the block that they are read from, after the lines of the blocks
-    before, so a file may be split over many tasks and is never sorted in one.
+    A file of up to ``whole_bytes`` is read at once and numbered where it is read, so a great
+    many small files are read once and nothing of them is shuffled. Lines of larger ones are
+    numbered in the block that they are read from, after the lines of the blocks before, so a
+    file may be split over many tasks and is never sorted in one.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    raw = raw.select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_modification_time").alias("modified_at"), F.monotonically_increasing_id().alias("_id"))
-    return number_rows(raw, "_block", "_id").withColumnRenamed("row", "line").filter(F.trim("value") != "").select("file_path", "line", "value", "modified_at")
+    size, at = F.col("_metadata.file_size"), (plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    # Files are left out by their size before they are opened. Lines end as the text source ends them, which skips a mark at a file's start.
+    small = files.text(path, wholetext=True).filter(size <= whole_bytes).select("value", *at)
+    small = small.select("file_path", "modified_at", F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r\n|\n|\r")).alias("line", "value"))
+    small = small.select("file_path", F.col("line").cast("bigint").alias("line"), "value", "modified_at")
+    # Both branches of number_rows must cut files alike: they read ``_id``, below which no filter of a reader goes to one scan alone.
+    large = files.text(path).filter(size > whole_bytes).select("value", *at, F.col("_metadata.file_block_start").alias("_block"), F.nullif(F.monotonically_increasing_id(), F.lit(-1)).alias("_id"))
+    large = number_rows(large, "_block", "_id").select("file_path", F.col("row").alias("line"), "value", "modified_at")
+    return small.unionByName(large).filter(F.trim("value") != "")
 
 
 def read_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
