@@ -54,3 +54,20 @@ def test_small_files_are_not_shuffled(spark, tmp_path):
         assert sorted((r["file_path"][-7], r["line"], r["value"]) for r in rows.collect()) == want
     small = _plan(read_lines(spark, str(tmp_path))).split("Union")[1]
     assert small.index("FileScan text") < (small.index("Exchange") if "Exchange" in small else len(small))
+
+
+def test_small_growing_files_share_tasks(tmp_path):
+    """A task for each file would be as many tasks as files; lines are those of all files for all that."""
+    from token_ledger.sources import tail
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(2_000):
+        (logs / f"{n:04d}.jsonl").write_text("".join(f"{n},{i}\n" for i in range(n % 7)))
+    reader = tail.TailReader({"path": str(logs), "log": str(tmp_path / "plans"), "chunkbytes": 5})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) < 50
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["value"] for r in rows) == sorted(f"{n},{i}" for n in range(2_000) for i in range(n % 7))
+    whole = tail.bundles([tail.Range("", "a", 0, tail.CHUNK_BYTES, True, 9, 0.0, False)] * 3, tail.CHUNK_BYTES)
+    assert [len(b.ranges) for b in whole] == [1, 1, 1]

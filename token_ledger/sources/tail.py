@@ -5,6 +5,7 @@ has grown, from the start for one that is new or has shrunk. A line without its
 for a later batch. Plans are files in a folder beside the checkpoint, numbered; the stream's
 offset is the number of the last plan, so a batch that runs again reads the same ranges.
 Large ranges are read in chunks by many tasks; a line belongs to the chunk that it starts in.
+Small ones go together to a task, so a great many small files take few tasks.
 Paths are of file systems that pyarrow knows (local, HDFS, S3, GCS).
 """
 
@@ -21,6 +22,8 @@ from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 CHUNK_BYTES = 64 << 20
+#: Bytes that opening a file counts as when ranges are put together for a task.
+OPEN_COST = 128 << 10
 #: Plans between two snapshots of all files' offsets, and bytes read at once.
 SNAPSHOT_EVERY, BLOCK = 16, 4 << 20
 SCHEMA = "file_path string, chunk bigint, row bigint, end bigint, value string, modified_at timestamp, reset boolean"
@@ -45,6 +48,26 @@ class Range(InputPartition):
     reset: bool
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Ranges that one task reads."""
+
+    ranges: list[Range]
+
+
+def bundles(ranges: list[Range], most: int) -> list[Bundle]:
+    """Ranges in their order, together as long as their bytes and openings stay within ``most``."""
+    out, size = [], 0
+    for r in ranges:
+        cost = r.stop - r.start + OPEN_COST
+        if not out or size + cost > most:
+            out.append(Bundle([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += cost
+    return out
+
+
 def last_line_end(file, start: int, size: int, block: int = 1 << 16) -> int:
     """The place behind the last line end in ``start <= byte < size``, ``start`` if there is none; read from the end."""
     high = size
@@ -163,6 +186,10 @@ class Planner:
         return out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.path, self.glob, self.log = options["path"], options.get("glob", "*"), options["log"]
@@ -180,32 +207,31 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"plan": self._planner().plan()}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
-        return self._planner().ranges(start["plan"], end["plan"], self.chunk)
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        system, _ = _system(part.uri + part.path)
-        if part.start == part.stop:
-            yield pa.RecordBatch.from_pylist([{"file_path": part.path, "chunk": part.start, "end": part.stop, "modified_at": int(part.modified * 1_000_000), "reset": part.reset}], schema=_ARROW)
-            return
-        lines, ends, size, row = [], [], 0, 0
-
-        def batch() -> pa.RecordBatch:
-            n = len(lines)
-            values = [line.removesuffix(b"\r").decode(errors="replace") for line in lines]
-            at = pa.array([int(part.modified * 1_000_000)] * n, pa.timestamp("us", "UTC"))
-            return pa.RecordBatch.from_arrays([pa.array([part.path] * n), pa.array([part.start] * n, pa.int64()), pa.array(range(row, row + n), pa.int64()), pa.array(ends, pa.int64()), pa.array(values, pa.string()), at, pa.array([part.reset] * n)], schema=_ARROW)
-
-        with system.open_input_file(part.path) as file:
-            for line, end in range_lines(file, part.start, part.stop, part.first, part.last):
-                lines.append(line), ends.append(end)
-                size += len(line)
-                if size > BLOCK or len(lines) == 10_000:
-                    yield batch()
-                    row += len(lines)
-                    lines, ends, size = [], [], 0
-        if lines:
-            yield batch()
+    def partitions(self, start: dict, end: dict) -> list[Bundle]:
+        return bundles(self._planner().ranges(start["plan"], end["plan"], self.chunk), CHUNK_BYTES)
+
+    def read(self, part: Bundle) -> Iterator[pa.RecordBatch]:
+        """Lines of all ranges, in batches that go on from range to range."""
+        held: list[tuple] = []
+        size = 0
+        for r in part.ranges:
+            at = int(r.modified * 1_000_000)
+            if r.start == r.stop:
+                held.append((r.path, r.start, None, r.stop, None, at, r.reset))
+            else:
+                system, _ = _system(r.uri + r.path)
+                with system.open_input_file(r.path) as file:
+                    for row, (line, end) in enumerate(range_lines(file, r.start, r.stop, r.first, r.last)):
+                        held.append((r.path, r.start, row, end, line.removesuffix(b"\r").decode(errors="replace"), at, r.reset))
+                        size += len(line)
+                        if size > BLOCK or len(held) >= 10_000:
+                            yield _batch(held)
+                            held, size = [], 0
+            if len(held) >= 10_000:
+                yield _batch(held)
+                held, size = [], 0
+        if held:
+            yield _batch(held)
 
 
 class TailSource(DataSource):
