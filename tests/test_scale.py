@@ -71,3 +71,46 @@ def test_small_growing_files_share_tasks(tmp_path):
     assert sorted(r["value"] for r in rows) == sorted(f"{n},{i}" for n in range(2_000) for i in range(n % 7))
     whole = tail.bundles([tail.Range("", "a", 0, tail.CHUNK_BYTES, True, 9, 0.0, False)] * 3, tail.CHUNK_BYTES)
     assert [len(b.ranges) for b in whole] == [1, 1, 1]
+
+
+class _State:
+    """What the state function uses of a group's state."""
+
+    def __init__(self):
+        self.get, self.exists = None, False
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+
+def test_files_of_a_group_are_worked_on_together():
+    """Many files in one call, in three parts, give what each gives alone."""
+    import random
+
+    import pandas as pd
+
+    from token_ledger.operators.counters import COUNTER_FIELDS
+    from token_ledger.streaming.streams import _delta
+
+    rng, rows = random.Random(5), []
+    for n in range(40):
+        at = 0
+        for line in range(rng.randint(1, 9)):
+            at += rng.choice([0, 5, 70])
+            use, total, last = rng.random() < 0.8, rng.random() < 0.7, rng.random() < 0.3
+            counts = {f"total_{f}": at if use and total else None for f in COUNTER_FIELDS} | {f"last_{f}": 3 if use and last else None for f in COUNTER_FIELDS}
+            rows.append({"file_path": f"f{n}", "line": line, **counts, "model": rng.choice([None, "", "m", "codex-auto-review"]), "is_usage": use, "event_date": rng.choice([None, "2026-01-05", "2026-03-01"])})
+    df = pd.DataFrame(rows)
+
+    def run(parts):
+        state, out = _State(), []
+        for part in parts:
+            if len(part):
+                out += [tuple(r) for o in _delta((0,), iter([part]), state) for r in o.itertuples(index=False)]
+        return out, state.get
+
+    cuts = lambda d: [d[d["line"] < 2], d[d["line"].between(2, 4)], d[d["line"] > 4]]
+    together, held = run(cuts(df.sample(frac=1, random_state=1)))
+    alone = [run(cuts(d)) for _, d in df.groupby("file_path")]
+    assert len(together) > 50 and sorted(together) == sorted(r for out, _ in alone for r in out)
+    assert sorted(zip(*held, strict=True), key=repr) == sorted((tuple(c[0] for c in state) for _, state in alone), key=repr)

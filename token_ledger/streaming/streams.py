@@ -104,59 +104,76 @@ def stream_hourly(events: DataFrame, watermark: str = "2 hours") -> DataFrame:
     return sums.select(F.col("window.start").alias("hour_utc"), *(c for c in sums.columns if c != "window"))
 
 
-_STATE = ", ".join(f"{f} bigint" for f in COUNTER_FIELDS) + ", model string, is_fallback boolean"
+_STATE = "file_path array<string>, " + ", ".join(f"{f} array<bigint>" for f in COUNTER_FIELDS) + ", model array<string>, is_fallback array<boolean>"
 STREAM_DELTA = "file_path string, line bigint, " + ", ".join(f"{f} bigint" for f in COUNTER_FIELDS) + ", resolved_model string, is_fallback boolean"
+#: Groups of files that keep their state together.
+GROUPS = 512
 
 
-def _usage(rows: pd.DataFrame, before: tuple) -> tuple[pd.DataFrame, np.ndarray, tuple]:
-    """(usage of each row, which rows have any, the last total), given the last total before them."""
+def _usage(rows: pd.DataFrame, file: np.ndarray, before: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, pd.DataFrame]:
+    """(usage of each row, which rows have any, the last total of each file), given the last totals before them."""
     fields = list(COUNTER_FIELDS)
     total = rows[[f"total_{f}" for f in fields]].astype("float64").set_axis(fields, axis=1)
     last = rows[[f"last_{f}" for f in fields]].astype("float64").set_axis(fields, axis=1)
-    start = pd.DataFrame([before], columns=fields, dtype="float64")
-    known = pd.concat([start, total], ignore_index=True).ffill()
-    previous = known.iloc[:-1].reset_index(drop=True)
+    start = before[fields].astype("float64").reset_index(drop=True)
+    known = total.groupby(file).ffill()
+    previous = known.groupby(file).shift(1).fillna(start.iloc[file].reset_index(drop=True))
     has_total, has_last = total["total"].notna(), last["total"].notna()
     repeat = has_total & (total == previous).all(axis=1)
     usage = last.where(has_last, (total - previous.fillna(0)).clip(lower=0))
-    end = known.iloc[-1]
-    return usage, (rows["is_usage"] & ~repeat & (has_last | has_total)).to_numpy(), tuple(int(x) if pd.notna(x) else None for x in end)
+    end = known.groupby(file).last().fillna(start)
+    return usage, (rows["is_usage"] & ~repeat & (has_last | has_total)).to_numpy(dtype=bool), end
 
 
-def _models(rows: pd.DataFrame, model: str | None, flag: bool) -> tuple[pd.Series, pd.Series, tuple[str | None, bool]]:
-    """(resolved model, fallback flag) of each row and the (model, flag) to go on with, given those before."""
+def _models(rows: pd.DataFrame, file: np.ndarray, before: pd.DataFrame) -> tuple[pd.Series, pd.Series, pd.DataFrame]:
+    """(resolved model, fallback flag) of each row and the ``model, is_fallback`` that each of their files goes on with, given those before."""
     stated = rows["model"].astype("string").replace("", pd.NA)
-    segment = stated.notna().cumsum()
-    told = stated.ffill() if model is None else stated.ffill().fillna(model)
-    none, carried = told.isna(), (segment == 0) & flag
-    used = rows["is_usage"].astype("int64").groupby(segment).cumsum()
-    first = rows["event_date"].astype("string").where(rows["is_usage"]).groupby(segment).transform("first").str.slice(0, 10)
+    segment = stated.notna().groupby(file).cumsum()
+    model, flag = before["model"].astype("string"), before["is_fallback"].eq(True)
+    told = stated.groupby(file).ffill().fillna(model.iloc[file].reset_index(drop=True))
+    none, carried = told.isna(), (segment == 0) & flag.to_numpy()[file]
+    used = rows["is_usage"].astype("int64").groupby([file, segment]).cumsum()
+    first = rows["event_date"].astype("string").where(rows["is_usage"]).groupby([file, segment]).transform("first").str.slice(0, 10)
     review = (told == REVIEW_MODEL).fillna(False).astype(bool)
-    target = pd.Series(np.where(first.fillna("") >= REVIEW_SINCE, REVIEW_TARGET, FALLBACK_MODEL), index=rows.index, dtype="string")
+    target = pd.Series(np.where((first.fillna("") >= REVIEW_SINCE).to_numpy(dtype=bool), REVIEW_TARGET, FALLBACK_MODEL), index=rows.index, dtype="string")
     resolved = told.mask(review, target).fillna(FALLBACK_MODEL)
     flags = none | carried | (review & rows["is_usage"] & (used == 1))
-    if not used.iloc[-1]:  # nothing has used the last stated model yet
-        return resolved, flags, (None if none.iloc[-1] else told.iloc[-1], bool(carried.iloc[-1]))
-    return resolved, flags, (resolved.iloc[-1], bool(none.iloc[-1] or carried.iloc[-1]))
+    # Where nothing has used the last stated model yet, it goes on as stated.
+    on = pd.DataFrame({"model": resolved.where(used > 0, told), "is_fallback": carried | (none & (used > 0))})
+    return resolved, flags, on[np.append(file[1:] != file[:-1], True)].set_axis(file[np.append(file[1:] != file[:-1], True)])
 
 
 def _delta(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Deltas and models of one file's new lines; the state is its last total, model and fallback flag."""
-    *before, model, flag = state.get if state.exists else (*[None] * len(COUNTER_FIELDS), None, False)
-    rows = pd.concat(list(batches)).sort_values("line", ignore_index=True)
-    usage, kept, end = _usage(rows, tuple(before))
+    """Deltas and models of the new lines of a group's files; the state is the last total, model and fallback flag of each."""
+    names = ["file_path", *COUNTER_FIELDS, "model", "is_fallback"]
+    held = pd.DataFrame({n: pd.Series(list(v), dtype=object) for n, v in zip(names, state.get, strict=True)} if state.exists else {n: pd.Series(dtype=object) for n in names}).set_index("file_path")
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["file_path", "line"], ignore_index=True)
+    rows["is_usage"] = rows["is_usage"].astype(bool)
+    file, files = pd.factorize(rows["file_path"])
+    before = held.reindex(files)
+    usage, kept, totals = _usage(rows, file, before)
     stands = kept | (~rows["is_usage"] & (rows["model"].fillna("") != "")).to_numpy()
     out = usage[kept].astype("int64")
     out.insert(0, "line", rows["line"].to_numpy()[kept])
-    out.insert(0, "file_path", key[0])
+    out.insert(0, "file_path", rows["file_path"].to_numpy()[kept])
+    after = before.copy()
+    for f in COUNTER_FIELDS:
+        after[f] = totals[f].to_numpy()
     resolved, flags = pd.Series(dtype=object), pd.Series(dtype=bool)
     if stands.any():
-        resolved, flags, (model, flag) = _models(rows[stands].reset_index(drop=True), model, flag)
-    state.update((*end, model, flag))
+        resolved, flags, on = _models(rows[stands].reset_index(drop=True), file[stands], before)
+        for n in ("model", "is_fallback"):
+            values = after[n].to_numpy(dtype=object, copy=True)
+            values[on.index] = on[n].to_numpy(dtype=object)
+            after[n] = values
+    others = held.drop(index=files, errors="ignore")
+    held = (pd.concat([others, after]) if len(others) else after).rename_axis("file_path").reset_index()
+    plain = lambda n: [None if pd.isna(x) else (str(x) if n in ("file_path", "model") else bool(x) if n == "is_fallback" else int(x)) for x in held[n]]
+    state.update(tuple(plain(n) for n in names))
     yield out.assign(resolved_model=resolved.to_numpy()[kept[stands]], is_fallback=flags.to_numpy(dtype=bool)[kept[stands]])
 
 
-def stream_counter_delta(snapshots: DataFrame) -> DataFrame:
+def stream_counter_delta(snapshots: DataFrame, groups: int = GROUPS) -> DataFrame:
     """``drop_repeated_snapshot``, ``counter_delta`` and ``resolve_fallback_model`` over micro-batches.
 
     Takes ``file_path, line, total, last`` (structs of the counter fields) and, if there are
@@ -164,14 +181,17 @@ def stream_counter_delta(snapshots: DataFrame) -> DataFrame:
     ``event_date`` (text). Gives the usage rows: ``file_path, line``, the counter fields,
     ``resolved_model, is_fallback``. A file's last total, model and fallback flag are kept as
     state, so a batch may end anywhere in a file; later batches hold later lines. Repeats and
-    rows without usage state no model. A file's lines of one batch meet in one worker, as
-    numbers and names of models only; bound them by ``maxBytesPerTrigger`` at the source.
+    rows without usage state no model. Files are dealt by a hash to ``groups`` that are worked
+    on one at a time, all files of one together, as a call for each of very many small files
+    costs more than its rows. A group's lines of one batch meet in one worker, as numbers and
+    names of models only; bound them by more groups (for a new checkpoint) or by
+    ``maxBytesPerTrigger`` at the source.
     """
     have = lambda c, otherwise: F.col(c) if c in snapshots.columns else otherwise.alias(c)
     text = F.lit(None).cast("string")
     counters = (F.col(f"{s}.{f}").alias(f"{s}_{f}") for f in COUNTER_FIELDS for s in ("total", "last"))
     flat = snapshots.select("file_path", "line", *counters, have("model", text), have("is_usage", F.lit(True)), have("event_date", text))
-    return flat.groupBy("file_path").applyInPandasWithState(_delta, STREAM_DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return flat.withColumn("_group", F.pmod(F.xxhash64("file_path"), F.lit(groups))).groupBy("_group").applyInPandasWithState(_delta, STREAM_DELTA, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def republish_days(batch: DataFrame, revisions: DataFrame, write: Callable[[DataFrame], None]) -> DataFrame:
