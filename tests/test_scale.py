@@ -114,3 +114,20 @@ def test_files_of_a_group_are_worked_on_together():
     alone = [run(cuts(d)) for _, d in df.groupby("file_path")]
     assert len(together) > 50 and sorted(together) == sorted(r for out, _ in alone for r in out)
     assert sorted(zip(*held, strict=True), key=repr) == sorted((tuple(c[0] for c in state) for _, state in alone), key=repr)
+
+
+def test_listing_takes_few_tasks(spark, tmp_path):
+    """A batch of many small files is listed by a bounded number of tasks, not by one for each few paths."""
+    from token_ledger.session import configure
+
+    paths = []
+    for n in range(300):
+        (tmp_path / f"{n}.txt").write_text("x\n")
+        paths.append(str(tmp_path / f"{n}.txt"))
+    context = configure(spark).sparkContext
+    context.setJobGroup("listing", "listing")
+    spark.read.text(paths)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert tasks and max(tasks) <= 100

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Tasks that list the paths of a batch; the default of 10,000 makes one for each few of many small files.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "96",
 }
 
 
