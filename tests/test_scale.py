@@ -1,8 +1,12 @@
 """What a step does as its input grows: plans, tasks and files, not rows alone."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from token_ledger.operators import dedup as D
 from token_ledger.operators import lookups as L
+from token_ledger.schema import TOKENS
 
 
 def _plan(df) -> str:
@@ -150,3 +154,14 @@ def test_store_scans_its_rows_once(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         core.queries()["event_store"](spark, "/root/testdata/sf0.001")
     assert seen.value.args[0] and not any("events.parquet" in f for f in seen.value.args[0])
+
+
+def test_values_are_carried_over_blocks_without_a_join(spark):
+    """What comes from other blocks of a file stands at their ends; a row finds it without a join of all rows."""
+    from token_ledger.operators.segments import Carry, carry_along
+
+    rows = spark.createDataFrame([("f", i, i if i in (3, 17) else None) for i in range(30)], "file_path string, line bigint, v bigint")
+    out = carry_along(rows, {"last": Carry(F.col("v")), "next": Carry(F.col("v"), own=True, back=True)}, block=5)
+    assert "Join" not in _plan(out)
+    want = [(i, 17 if i > 17 else 3 if i > 3 else None, 3 if i <= 3 else 17 if i <= 17 else None) for i in range(30)]
+    assert sorted((r["line"], r["last"], r["next"]) for r in out.collect()) == want

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .segments import Carry, carry_along
 
 COUNTER_FIELDS = ("input", "cached", "output", "reasoning", "total")
@@ -59,7 +60,7 @@ def resolve_fallback_model(df: DataFrame, model: str = "model", is_usage: str =
     as text. A row before any stated model has the fallback model, flagged. The review model
     is replaced by date on the first usage row after it is stated, which is flagged; later
     rows inherit the replacement without a flag. With ``block`` a file of many lines is
-    resolved by many tasks.
+    resolved by many tasks; rows with what is near them then stand in the shared folder.
     """
     used, dated = F.col(is_usage), F.when(F.col(is_usage) & F.col(date).isNotNull(), F.struct("line", F.col(date).alias("date")))
     states = F.when(F.coalesce(F.col(model), F.lit("")) != "", F.struct("line", F.col(model).alias("model")))
@@ -75,6 +76,8 @@ def resolve_fallback_model(df: DataFrame, model: str = "model", is_usage: str =
     # The first dated usage since the model was stated is the row's own, one before it, or the next one before another model.
     since = lambda c: F.col(f"{c}.line").isNotNull() & (start.isNull() | (F.col(f"{c}.line") >= start))
     first_here = dated.isNotNull() & ~since("_dated")
+    if block:  # read by two branches of the next scan
+        out = staged(out, "models-near")
     out = carry_along(out, {"_first": Carry(F.when(first_here, F.struct("line", F.col(date).alias("date"))), own=True)}, block=block)
     ahead = F.when(F.col("_next_stated").isNull() | (F.col("_next_dated.line") < F.col("_next_stated.line")), F.col("_next_dated.date"))
     first_date = F.coalesce(F.when(since("_first"), F.col("_first.date")), ahead)

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,11 +40,11 @@ def carry_along(df: DataFrame, carries: dict[str, Carry], keys: Sequence[str] =
     if block:
         df = df.withColumn("_block", F.floor(F.col(order) / block))
 
-    def along(by: Sequence[str], o: str, c: Carry, own: bool):
-        side = Window.partitionBy(*by).orderBy(F.desc(o) if c.back else F.asc(o))
+    def along(by: Sequence[str], o: Sequence[str], c: Carry, own: bool):
+        side = Window.partitionBy(*by).orderBy(*(F.desc(x) if c.back else F.asc(x) for x in o))
         return side.rowsBetween(Window.unboundedPreceding, 0 if own else -1)
 
-    inside = {f"_in_{name}": F.last(f"_v_{name}", ignorenulls=True).over(along(at, order, c, c.own)) for name, c in carries.items()}
+    inside = {f"_in_{name}": F.last(f"_v_{name}", ignorenulls=True).over(along(at, ["_edge", order] if block else [order], c, c.own)) for name, c in carries.items()}
     if not block:
         return df.withColumns(inside).withColumnsRenamed({f"_in_{n}": n for n in carries}).drop(*(f"_v_{n}" for n in carries))
     ends = []
@@ -50,11 +52,14 @@ def carry_along(df: DataFrame, carries: dict[str, Carry], keys: Sequence[str] =
         place = F.when(F.col(f"_v_{name}").isNotNull(), F.col(order))
         ends.append((F.min_by if c.back else F.max_by)(f"_v_{name}", place).alias(f"_end_{name}"))
     summaries = df.groupBy(*at).agg(*ends)
-    before = {f"_from_{name}": F.last(f"_end_{name}", ignorenulls=True).over(along(keys, "_block", c, False)) for name, c in carries.items()}
-    summaries = summaries.withColumns(before).select(*at, *before)
-    out = df.withColumns(inside).join(summaries, at)
-    out = out.withColumns({name: F.coalesce(f"_in_{name}", f"_from_{name}") for name in carries})
-    return out.drop("_block", *(f"_{p}_{n}" for p in ("v", "in", "from") for n in carries))
+    before = {f"_from_{name}": F.last(f"_end_{name}", ignorenulls=True).over(along(keys, ["_block"], c, False)) for name, c in carries.items()}
+    summaries = summaries.withColumns(before).filter(reduce(or_, (F.col(c).isNotNull() for c in before)))
+    # What comes from other blocks stands at a block's ends as rows of it; a file of one block has none.
+    edge = lambda place, back: F.struct(F.lit(place).alias("_edge"), *(F.when(F.lit(c.back == back), F.col(f"_from_{n}")).alias(f"_v_{n}") for n, c in carries.items()))
+    edges = summaries.select(*at, F.inline(F.array(edge(0, False), edge(2, True))))
+    rows = df.withColumn("_edge", F.lit(1)).unionByName(edges, allowMissingColumns=True)
+    out = rows.withColumns(inside).filter("_edge = 1").withColumnsRenamed({f"_in_{n}": n for n in carries})
+    return out.drop("_block", "_edge", *(f"_v_{n}" for n in carries))
 
 
 def number_rows(df: DataFrame, blocks: str, order: str, keys: Sequence[str] = ("file_path",)) -> DataFrame:
