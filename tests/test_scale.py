@@ -156,6 +156,22 @@ def test_store_scans_its_rows_once(spark, monkeypatch):
     assert seen.value.args[0] and not any("events.parquet" in f for f in seen.value.args[0])
 
 
+def _keyed(spark, rows):
+    return spark.createDataFrame([(s, k, False, n, 0, 0, 0, 0, i, dt.datetime(2024, 1, i + 1)) for s, k, n, i in rows], f"source_id string, dedup_key string, is_sidechain_replay boolean, {', '.join(f'{t} bigint' for t in TOKENS)}, arrival bigint, timestamp_utc timestamp")
+
+
+def test_rows_are_merged_in_one_move(spark):
+    """A merge moves rows once, to their keys; days are told from what has come and gone."""
+    old = _keyed(spark, [("a", "k", 5, 0), ("a", "l", 5, 1), ("a", None, 1, 2), ("a", "m", 5, 3)])
+    new = _keyed(spark, [("a", "k", 9, 4), ("a", "l", 5, 5), ("a", None, 7, 6), ("a", "n", 1, 7)])
+    merged = D.upsert_events(old, new)
+    assert _plan(merged).count("Exchange hashpartitioning") == 1
+    assert sorted(r["arrival"] for r in merged.collect()) == [1, 2, 3, 4, 6, 7]
+    days = D.changed_days(D.upsert_sides(old, new))
+    assert sorted((r["day_utc"].day, r["changes"]) for r in days.collect()) == [(1, 1), (5, 1), (7, 1), (8, 1)]
+    assert sorted(map(tuple, days.collect())) == sorted(map(tuple, D.touched_days(old, merged).collect()))
+
+
 def test_values_are_carried_over_blocks_without_a_join(spark):
     """What comes from other blocks of a file stands at their ends; a row finds it without a join of all rows."""
     from token_ledger.operators.segments import Carry, carry_along

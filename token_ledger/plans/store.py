@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedup import touched_days, upsert_events
+from ..operators.dedup import changed_days, upsert_sides
 from ..operators.exchange import day_checksum, days_to_publish, utc_day
 from ..operators.rollup import hourly_rollup
 from ..schema import HOUR_BUCKET, MONEY
@@ -137,15 +137,24 @@ def _holding(spark: SparkSession, root: str, at: Pointer, table: str, by: DataFr
 
 
 def _write_version(merged: DataFrame, root: str, version: str) -> None:
-    """Events, hours and indexes of the version's partitions; a large partition is dealt over many tasks."""
-    merged.hint("rebalance", *PARTITION).write.partitionBy(*PARTITION).parquet(f"{root}/events/version={version}")
+    """Events, hours and indexes of the version's partitions."""
     tables = {
+        "events": merged,
         "hours": hourly_rollup(merged).withColumns({"cost_usd": F.col("cost_usd").cast(MONEY), "day_utc": F.to_date("hour_utc")}),
         "keys": merged.select(*PARTITION, _fingerprint(F.col("dedup_key"))).distinct(),
         "files": merged.select(*PARTITION, "source_file_path").distinct(),
     }
+    _write_tables(tables, root, version)
+
+
+def _write_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """The tables of a version; a large partition is dealt over many tasks."""
     for name, rows in tables.items():
-        rows.hint("rebalance", *PARTITION).sortWithinPartitions(*PARTITION).write.parquet(f"{root}/{name}/version={version}")
+        rows, place = rows.hint("rebalance", *PARTITION), f"{root}/{name}/version={version}"
+        if name == "events":
+            rows.write.partitionBy(*PARTITION).parquet(place)
+        else:
+            rows.sortWithinPartitions(*PARTITION).write.parquet(place)
 
 
 def write_events(incoming: DataFrame, root: str, state: DataFrame | None = None, removed: DataFrame | None = None, tries: int = 50) -> str:
@@ -184,7 +193,7 @@ def _merged(spark: SparkSession, root: str, base: Pointer | None, incoming: Data
     """(rows of all partitions that are written, those partitions, days of which rows change)."""
     touched = incoming.select(*PARTITION).distinct()
     if base is None:
-        return staged(upsert_events(incoming.limit(0), incoming), "store-merged"), touched, touched.select("day_utc").distinct()
+        return staged(upsert_sides(incoming.limit(0), incoming).drop("_side"), "store-merged"), touched, touched.select("day_utc").distinct()
     touched = touched.unionByName(_holding(spark, root, base, "keys", keys))
     if gone is not None:
         touched = touched.unionByName(_holding(spark, root, base, "files", gone))
@@ -192,8 +201,12 @@ def _merged(spark: SparkSession, root: str, base: Pointer | None, incoming: Data
     old = kept = _partitions(spark, root, base, "events", touched).select(*incoming.columns)
     if gone is not None:
         kept = old.join(gone, "source_file_path", "left_anti").select(*incoming.columns)
-    merged = staged(upsert_events(kept, incoming), "store-merged")
-    return merged, touched, staged(touched_days(old, merged).select("day_utc"), "store-days")
+    sides = upsert_sides(kept, incoming)
+    if gone is not None:
+        sides = sides.unionByName(old.join(gone, "source_file_path", "left_semi").select(*incoming.columns).withColumn("_side", F.lit(-1)))
+    # What has gone is staged with what stands, so that only rows that change are compared to tell their days.
+    sides = staged(sides, "store-merged")
+    return sides.filter("_side >= 0").drop("_side"), touched, staged(changed_days(sides).select("day_utc"), "store-days")
 
 
 def _conflicts(spark: SparkSession, root: str, base: Pointer | None, now: Pointer, touched: DataFrame, keys: DataFrame, gone: DataFrame | None) -> bool:
