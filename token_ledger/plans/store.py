@@ -266,7 +266,8 @@ def compact_versions(spark: SparkSession, root: str, fewest: int = 64, tries: in
     if due.select("version").distinct().limit(2).count() < 2:
         return None
     version = uuid.uuid4().hex
-    _write_version(staged(_partitions(spark, root, base, "events", due), "store-moved"), root, version)
+    # Hours and indexes are those of the same rows: they are moved like these, not told anew.
+    _write_tables({name: _partitions(spark, root, base, name, due) for name in PARTS}, root, version)
     for _ in range(tries):
         listing = _listing(spark, root, base)
         still = listing.join(due, [*PARTITION, "version"], "left_semi").select(*PARTITION, F.lit(version).alias("version"))
