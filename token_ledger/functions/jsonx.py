@@ -6,6 +6,8 @@ yields a value. Numbers may be strings and strings numbers, as agents write them
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,31 @@ def taken(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select(*others, *(c.alias(n) for n, c in columns.items())).select(*others, F.inline(F.array(F.struct(*columns))))
 
 
+def members(rows: DataFrame, **objects: Column) -> DataFrame:
+    """``rows`` with the members of objects as maps of values, each built once.
+
+    ``at`` looks one up there, whereas a path into ``v`` searches the object once more for every
+    look-up. What is no object has no members.
+    """
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*(F.try_variant_get(c, "$", "map<string,variant>").alias(n) for n, c in objects.items())))))
+
+
+def at(members: Column | str, name: str) -> Column:
+    """A member as a value; null if there is none."""
+    return F.try_element_at(members, F.lit(name))
+
+
+def first(read: Callable[..., Column], members: Column | str, *names: str) -> Column:
+    """What ``read`` (``text``, ``integer``, ``number``) finds in the first of several members that holds any."""
+    return F.coalesce(*(read(at(members, n), "$") for n in names))
+
+
+def whole(member: Column, path: str = "$") -> Column:
+    """``integer`` of one value; the text of a string is cast as a column, as a cast inside a value costs some hundred times that."""
+    text = F.try_variant_get(member, path, "string").try_cast("bigint")
+    return F.when(F.schema_of_variant(member) == "STRING", text).otherwise(F.try_variant_get(member, path, "bigint"))
+
+
 def filled(c: Column | str) -> Column:
     """The trimmed string; null if nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -111,7 +138,11 @@ def magnitude_time(n: Column) -> Column:
 
 def parts_time(v: Column | str, p: str) -> Column:
     """Time of ``[seconds, nanoseconds]``."""
-    pair = _get(v, p, "array<double>")
+    return pair_time(_get(v, p, "array<double>"))
+
+
+def pair_time(pair: Column) -> Column:
+    """Time of an array of seconds and nanoseconds."""
     return F.when(F.size(pair) >= 2, F.timestamp_micros(F.round(F.get(pair, F.lit(0)) * 1e6 + F.get(pair, F.lit(1)) / 1e3).cast("bigint")))
 
 

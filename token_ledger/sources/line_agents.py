@@ -337,12 +337,41 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
 
     Lines are parsed when this is called, and what was read stands in the shared folder.
     """
-    a = lambda *names: [J.path("attributes", n) for n in names]
-    string = lambda *names: J.text(V, *a(*names))
-    lines = J.parsed(as_lines(spark, path))
-    name, body = J.text(V, "name"), J.text(V, "body", "_body")
-    span = F.coalesce(J.text(V, "type") == "span", F.lit(False)) | (name.isNotNull() & (J.text(V, "spanId", "traceId").isNotNull() | J.has(V, "startTime") | J.has(V, "endTime") | J.has(V, "duration") | J.has(V, "kind")))
-    op, event = string("gen_ai.operation.name"), string("event.name")
+    lines = J.members(J.members(J.parsed(as_lines(spark, path)), own=F.col(V)), attributes=J.at("own", "attributes"))
+    own = lambda *names: J.first(J.text, "own", *names)
+    string = lambda *names: J.first(J.text, "attributes", *names)
+    whole = lambda *names: J.first(J.whole, "attributes", *names)
+    count = lambda *names: F.coalesce(whole(*names), F.lit(0).cast("bigint"))
+    has = lambda n: J.has(J.at("own", n), "$")
+    inside = lambda n: J.text(J.at("own", "spanContext"), n)
+    pairs, numbers = ("endTime", "startTime", "hrTime", "_hrTime", "time"), ("timestamp", "observedTimestamp", "timeUnixNano")
+    # Each is read once, as turning a value into a number or an array costs most; what follows reads the columns.
+    lines = J.taken(
+        lines.select("file_path", "line", "modified_at", "own", "attributes"),
+        name=own("name"),
+        body=own("body", "_body"),
+        is_span=own("type") == "span",
+        seems_span=own("spanId", "traceId").isNotNull() | has("startTime") | has("endTime") | has("duration") | has("kind"),
+        op=string("gen_ai.operation.name"),
+        event=string("event.name"),
+        has_attributes=has("attributes"),
+        trace_id=F.coalesce(own("traceId"), inside("traceId")),
+        span_id=F.coalesce(own("spanId"), inside("spanId")),
+        response_id=string("gen_ai.response.id"),
+        model=string("gen_ai.response.model", "gen_ai.request.model"),
+        sessions=F.array(*(string(k) for k, _ in SESSION_ATTRIBUTES)),
+        turn=whole("turn.index", "copilot_chat.turn.index").cast("string"),
+        total=whole("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count"),
+        input=count("gen_ai.usage.input_tokens"),
+        output=count("gen_ai.usage.output_tokens"),
+        cache_create=count("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens"),
+        cache_read=count("gen_ai.usage.cache_read.input_tokens"),
+        reasoning=count("gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens"),
+        **{f"pair_{n}": F.try_variant_get(J.at("own", n), "$", "array<double>") for n in pairs},
+        **{f"number_{n}": J.number(J.at("own", n), "$") for n in numbers},
+    )
+    name, body, op, event = (F.col(c) for c in ("name", "body", "op", "event"))
+    span = F.coalesce("is_span", F.lit(False)) | (name.isNotNull() & F.col("seems_span"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     rank = (
         F.when(span & (yes(op == "chat") | yes(name.startswith("chat "))), 1)
@@ -350,32 +379,18 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
         .when(~span & (yes(event == "copilot_chat.agent.turn") | yes(body.startswith("copilot_chat.agent.turn"))), 3)
         .when(span & (yes(op == "invoke_agent") | yes(name.startswith("invoke_agent "))), 4)
     )
-    session = F.coalesce(*(string(k) for k, _ in SESSION_ATTRIBUTES))
-    priority = F.coalesce(*(F.when(string(k).isNotNull(), F.lit(p)) for k, p in SESSION_ATTRIBUTES))
-    cached = J.count(V, *a("gen_ai.usage.cache_read.input_tokens"))
-    tokens = {
-        "input": F.greatest(F.lit(0).cast("bigint"), J.count(V, *a("gen_ai.usage.input_tokens")) - cached),
-        "output": J.count(V, *a("gen_ai.usage.output_tokens")),
-        "cache_create": J.count(V, *a("gen_ai.usage.cache_write.input_tokens", "gen_ai.usage.cache_creation.input_tokens")),
-        "cache_read": cached,
-        "reasoning": J.count(V, *a("gen_ai.usage.reasoning.output_tokens", "gen_ai.usage.reasoning_tokens")),
-    }
-    at = F.coalesce(*(J.parts_time(V, k) for k in ("endTime", "startTime", "hrTime", "_hrTime", "time")), J.magnitude_time(J.number(V, "timestamp")), J.magnitude_time(J.number(V, "observedTimestamp")), F.when(J.number(V, "timeUnixNano") > 0, F.timestamp_micros(F.round(J.number(V, "timeUnixNano") / 1e3).cast("bigint"))), F.col("modified_at"))
+    tokens = ("input", "output", "cache_create", "cache_read", "reasoning")
+    session = [F.get("sessions", F.lit(i)) for i in range(len(SESSION_ATTRIBUTES))]
+    nano = F.col("number_timeUnixNano")
+    at = F.coalesce(*(J.pair_time(F.col(f"pair_{n}")) for n in pairs), J.magnitude_time(F.col("number_timestamp")), J.magnitude_time(F.col("number_observedTimestamp")), F.when(nano > 0, F.timestamp_micros(F.round(nano / 1e3).cast("bigint"))), F.col("modified_at"))
     rows = lines.select(
-        "file_path",
-        "line",
-        J.has(V, "attributes").alias("has_attributes"),
+        *("file_path", "line", "has_attributes", "trace_id", "span_id", "response_id", "model", "turn", "total"),
         at.alias("at"),
         rank.alias("kind_rank"),
-        J.text(V, "traceId", "spanContext.traceId").alias("trace_id"),
-        J.text(V, "spanId", "spanContext.spanId").alias("span_id"),
-        string("gen_ai.response.id").alias("response_id"),
-        string("gen_ai.response.model", "gen_ai.request.model").alias("model"),
-        session.alias("session_id"),
-        priority.alias("session_priority"),
-        J.integer(V, *a("turn.index", "copilot_chat.turn.index")).cast("string").alias("turn"),
-        J.integer(V, *a("gen_ai.usage.total_tokens", "gen_ai.usage.total.token_count")).alias("total"),
-        *(c.alias(t) for t, c in tokens.items()),
+        F.coalesce(*session).alias("session_id"),
+        F.coalesce(*(F.when(s.isNotNull(), F.lit(p)) for s, (_, p) in zip(session, SESSION_ATTRIBUTES, strict=True))).alias("session_priority"),
+        F.greatest(F.lit(0).cast("bigint"), F.col("input") - F.col("cache_read")).alias("input"),
+        *tokens[1:],
     )
     n = F.row_number().over(Window.partitionBy("file_path").orderBy("line")).cast("bigint") - 1
     rows = staged(rows.withColumn("line", n).filter("has_attributes").drop("has_attributes"), "copilot-rows")  # read by two branches
