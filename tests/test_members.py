@@ -15,7 +15,7 @@ def test_members_are_read_as_by_path(spark):
     for by, path in (("own", J.path("a.x")), ("inner", J.path("in", "a.x"))):
         pairs = {
             "text": (J.first(J.text, by, "none", "a.x"), J.text("w", "$.none", path)),
-            "whole": (J.first(J.whole, by, "none", "a.x"), J.integer("w", "$.none", path)),
+            "whole": (J.first(J.integer, by, "none", "a.x"), J.integer("w", "$.none", path)),
             "number": (J.number(J.at(by, "a.x"), "$"), J.number("w", path)),
             "has": (J.has(J.at(by, "a.x"), "$"), J.has("w", path)),
             "pair": (F.try_variant_get(J.at(by, "a.x"), "$", "array<double>"), F.try_variant_get("w", path, "array<double>")),

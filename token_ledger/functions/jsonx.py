@@ -53,12 +53,6 @@ def first(read: Callable[..., Column], members: Column | str, *names: str) -> Co
     return F.coalesce(*(read(at(members, n), "$") for n in names))
 
 
-def whole(member: Column, path: str = "$") -> Column:
-    """``integer`` of one value; the text of a string is cast as a column, as a cast inside a value costs some hundred times that."""
-    text = F.try_variant_get(member, path, "string").try_cast("bigint")
-    return F.when(F.schema_of_variant(member) == "STRING", text).otherwise(F.try_variant_get(member, path, "bigint"))
-
-
 def filled(c: Column | str) -> Column:
     """The trimmed string; null if nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))

@@ -340,7 +340,7 @@ def scan_copilot(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     lines = J.members(J.members(J.parsed(as_lines(spark, path)), own=F.col(V)), attributes=J.at("own", "attributes"))
     own = lambda *names: J.first(J.text, "own", *names)
     string = lambda *names: J.first(J.text, "attributes", *names)
-    whole = lambda *names: J.first(J.whole, "attributes", *names)
+    whole = lambda *names: J.first(J.integer, "attributes", *names)
     count = lambda *names: F.coalesce(whole(*names), F.lit(0).cast("bigint"))
     has = lambda n: J.has(J.at("own", n), "$")
     inside = lambda n: J.text(J.at("own", "spanContext"), n)
