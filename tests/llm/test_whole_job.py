@@ -129,6 +129,50 @@ def test_packing_checks_the_bytes_of_words_with_one_hash(monkeypatch):
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def _encoder(monkeypatch):
+    """(encoder, encode of a list of texts, the pieces that the encoder's tokenizer was asked for, encode of one text by the library)."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tokenizer, asked = packing.WordEncoder(path), Tokenizer.from_file(path), []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: asked.extend(pieces) or learn(pieces))
+    return encoder, lambda texts: [np.frombuffer(b, dtype="<u4").tolist() for b in encoder.encode_column(pa.array(texts, pa.string()))], asked, lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+def test_packing_asks_the_tokenizer_once_for_a_piece(monkeypatch):
+    _, encode, asked, want = _encoder(monkeypatch)
+    for text in ("alpha beta 7", "(Alpha)", "alpha-BETA/alpha77 ALPHA's", '"beta|alpha;" 1alpha', "été, ÉTÉ [été]"):
+        assert encode([text]) == [want(text)]
+    assert sum(b"alpha" in p.lower() for p in asked) == 1
+    assert sum(b"beta" in p.lower() for p in asked) == 1
+
+
+def test_packing_cuts_where_the_tokenizer_cuts(monkeypatch):
+    import random
+
+    _, encode, _, want = _encoder(monkeypatch)
+    atoms = ["'", "''", "'s", "'S", "'re", "s", "t", "a", "B", "K", "\u212a", "H", "\u0331", "\u0301", "\u0307", "İ", "ß", "É", "é", "×", "ª", "5", "٣", "²", "!", "?!", "-", ";", "`", "\u037e", "\u1fef", " ", "\n", "\u00a0", "\u3000", "\x1c", "\x85", "\x00", "\x7f"]
+    atoms += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", "endoftext", "|>", "中文", "\u1100", "\u1161", "\u09c7", "\u09be", "🙂", "word", "Words", "ΑΣ"]
+    dice = random.Random(5)
+    texts = ["".join(dice.choice(atoms) for _ in range(dice.randint(0, 14))) for _ in range(5000)] + [None, "", " ", "!<|endof", "text|>?"]
+    for _ in range(2):
+        for text, got in zip(texts, encode(texts), strict=True):
+            assert got == want(text), repr(text)
+    assert encode([]) == [] and encode([None]) == [[]]
+
+
+def test_packing_memory_is_bounded_and_keeps_what_it_meets(monkeypatch):
+    monkeypatch.setattr(packing, "MEMORY_BYTES", 50_000)
+    encoder, encode, asked, want = _encoder(monkeypatch)
+    for k in range(60):
+        text = "often " + " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j // 10)}{chr(97 + j % 10)}" for j in range(100))
+        assert encode([text]) == [want(text)]
+        assert sum(len(p) + len(c) + packing.ENTRY_BYTES for m in (encoder.memory, encoder.older) for p, c in m.items()) < 2 * (50_000 + 40_000)
+    assert asked.count(b"often") == 1 and len(encoder.memory) + len(encoder.older) < len(asked)
+
+
 def test_bpe_memory_is_bounded_by_bytes(monkeypatch):
     import sys
 

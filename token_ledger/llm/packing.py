@@ -11,8 +11,10 @@ pieces share is spread) and looks each number up in the plan.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,13 +28,12 @@ from .runtime import shuffle_partitions, small_batches, staged
 
 CAPACITY = 2048
 END_ID = 0
-#: Most words that a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 2_000_000
-#: Most words without tails that it remembers besides.
-BASES = 400_000
-_TAIL = b".,!?;:%$&#*"
+#: Bytes of pieces that a Python worker remembers before it begins anew; of the memory before, it keeps what it meets.
+MEMORY_BYTES = 100_000_000
+#: What Python takes for a piece in the memory besides its letters and ids.
+ENTRY_BYTES = 180
 #: Bytes of text that are looked up at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 23
 #: Shares that pieces of one length are numbered in: as many as shuffle partitions, within these bounds.
 SALTS = 64, 1024
 
@@ -109,36 +110,43 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarra
     return np.array(runs, dtype=np.int64).reshape(-1, 6)
 
 
-def _parts(word: bytes) -> tuple[bytes, bytes]:
-    """The word, in lower case if that is the tokenizer's own, and its tail of signs; no tail unless a letter or an ASCII digit stands before it."""
-    base = word.rstrip(_TAIL)
-    if base.isascii():
-        if not base[-1:].isalnum():
-            base = word
-        return base.lower(), word[len(base) :]
-    if len(base) < len(word):
-        last = base.decode()[-1].lower()  # as the tokenizer makes it
-        if not (last.isalpha() or "0" <= last <= "9"):
-            return word, b""
-    return base, word[len(base) :]
+def _cut_table() -> np.ndarray:
+    """Whether the tokenizer always cuts between two bytes, by 8 times the first one's kind and the second's.
 
-
-def _equal(a: np.ndarray, a_starts: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_lengths: np.ndarray) -> bool:
-    """Whether all spans of ``a`` have the same bytes as those of ``b``."""
-    if not (a_lengths == b_lengths).all():
-        return False
-    ends = np.cumsum(a_lengths)
-    step = np.arange(a_lengths.sum())
-    skip = ends - a_lengths
-    return bool((a[np.repeat(a_starts - skip, a_lengths) + step] == b[np.repeat(b_starts - skip, b_lengths) + step]).all())
+    It cuts at white space, around a digit, and where signs and letters meet; not before the
+    letters of a contraction, which an apostrophe opens. Beside a byte of a character beyond
+    ASCII nothing is told, as that may join its neighbour.
+    """
+    table = np.zeros((8, 8), dtype=bool)
+    for a, b in itertools.product((_LETTER, _DIGIT, _SIGN, _QUOTE), repeat=2):
+        table[a, b] = _DIGIT in (a, b) or (a == _LETTER) != (b == _LETTER) and (a, b) != (_QUOTE, _LETTER)
+    table[_SPACE], table[:, _SPACE] = True, True
+    return table.ravel()
+
+
+_SPACE, _LETTER, _DIGIT, _SIGN, _QUOTE, _WIDE = range(6)
+_KIND = np.full(256, _WIDE, dtype=np.uint8)
+_KIND[:128] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[ord("'")] = _QUOTE
+_KIND[K.SPACE] = _SPACE
+_CUT = _cut_table()
+#: Letters that have no other normal form and whose lower case is one letter of these.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+#: The characters by which the tokenizer's merges spell bytes: those shown for themselves, the others by 256 and on; lines stay.
+_SPELT = "".join("\n" if b == 10 else chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizer file, word by word with a memory.
+    """Ids of whole texts by the tokenizer file, piece by piece with a memory.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words'
-    ids in a row; the memory is found by a word's hash and checked by its bytes. A tail of ASCII signs is cut off a word where the tokenizer cuts as well.
-    A word that may hold one of the tokenizer's special tokens goes to it as it stands.
+    The tokenizer lower-cases, drops white space, and joins nothing over it, around digits or
+    between letters and signs, so a text's ids are its pieces' ids in a row. Arrow tells the
+    different pieces of a slice by their bytes; each is looked up once. Pieces of plain letters
+    go straight to the tokenizer's merges. Special tokens are pieces as they stand.
     """
 
     def __init__(self, path: str):
@@ -146,85 +154,90 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Special tokens, in lower case: of another case they are plain text, which no lower-casing may change.
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.bases: dict[bytes, bytes] = {b"": b""}  # ids of words without tails, and of tails
-        self._forget()
-
-    def _forget(self) -> None:
-        """Empties the memory: sorted word hashes, where each word's ids begin and how many there are, and the same of its bytes."""
-        self.keys, self.begins, self.sizes, self.table = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
-        self.spells, self.lengths, self.letters = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-
-    def _cut(self, word: bytes) -> tuple[bytes, bytes]:
-        low = word.lower()
-        return (word, b"") if any(t in low for t in self.special) else _parts(word)
-
-    def _learn(self, words: list[bytes]) -> None:
-        bases = self.bases
-        for at in range(0, len(words), 50):
-            part = words[at : at + 50]
+        self.model = self.tokenizer.model
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids of pieces, and those of the memory before, from which what is met again is taken over.
+        self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of some texts in a row, and where each text's begin."""
+        kind = _KIND[data]
+        edge = np.ones(data.size + 1, dtype=bool)
+        edge[1:-1] = _CUT[kind[:-1] << 3 | kind[1:]]
+        low = K.LOWER[data]
+        self._keep_special(data, low, offsets, edge)
+        np.copyto(low[:-1], data[:-1], where=kind[1:] == _WIDE)  # a mark may follow, and join with one case only
+        edge[offsets] = True
+        solid = kind != _SPACE
+        starts, ends = np.flatnonzero(solid & edge[:-1]), np.flatnonzero(solid & edge[1:]) + 1
+        places = np.concatenate(([0], np.cumsum(ends - starts)))
+        pieces = pa.Array.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(places), pa.py_buffer(low[solid])])
+        return pieces, np.searchsorted(starts, offsets)
+
+    def _keep_special(self, data: np.ndarray, low: np.ndarray, offsets: np.ndarray, edge: np.ndarray) -> None:
+        """Makes a special token one piece; of another case it is plain text, which no lower-casing may change."""
+        lowered = low.tobytes()
+        for token in self.special:
+            n, at = len(token), lowered.find(token.lower())
+            while at >= 0:
+                low[at : at + n] = data[at : at + n]
+                one_text = np.searchsorted(offsets, at, side="right") == np.searchsorted(offsets, at + n - 1, side="right")
+                if one_text and data[at : at + n].tobytes() == token:
+                    edge[at + 1 : at + n] = False
+                    edge[[at, at + n]] = True
+                at = lowered.find(token.lower(), at + 1)
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pieces by the tokenizer."""
+        texts = b"\n".join(pieces).decode().split("\n")
+        plain = [bool(_PLAIN.fullmatch(t)) and p not in self.special for t, p in zip(texts, pieces, strict=True)]
+        spelt = "\n".join(itertools.compress(texts, plain)).lower().encode()
+        codes = [[t.id for t in self.model.tokenize(word)] for word in codecs.charmap_decode(spelt, "strict", _SPELT)[0].split("\n")]
+        raw = np.fromiter(itertools.chain.from_iterable(codes), dtype="<u4").tobytes()
+        places = itertools.pairwise(itertools.accumulate((4 * len(c) for c in codes), initial=0))
+        out = {piece: raw[lo:hi] for piece, (lo, hi) in zip(itertools.compress(pieces, plain), places, strict=False)}
+        others = [piece for piece, is_plain in zip(pieces, plain, strict=True) if not is_plain]
+        for first in range(0, len(others), 50):
+            part = others[first : first + 50]
             texts = b"\n".join(part).decode()
             code = self.tokenizer.encode(texts, add_special_tokens=False)
             begins = [0, *itertools.accumulate(len(t) + 1 for t in texts.split("\n"))]
             cut = np.searchsorted(np.array([o[0] for o in code.offsets], dtype=np.int64), begins).tolist()
             raw = np.array(code.ids, dtype="<u4").tobytes()
-            for word, lo, hi in zip(part, cut, cut[1:], strict=False):
-                bases[word] = raw[4 * lo : 4 * hi]
-
-    def _one_by_one(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) without the memory, where two different words have one hash."""
-        codes = []
-        for lo, hi in zip(words.starts.tolist(), words.ends.tolist(), strict=True):
-            base, tail = self._cut(words.raw[lo:hi])
-            self._learn([w for w in {base, tail} if w not in self.bases])
-            codes.append(self.bases[base] + self.bases[tail])
-        return np.frombuffer(b"".join(codes), dtype="<u4"), np.array([0, *itertools.accumulate(len(c) // 4 for c in codes)], dtype=np.int64)
-
-    def _codes(self, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of all words of a slice in a row."""
-        if self.keys.size > MEMORY:
-            self._forget()
-        if len(self.bases) > BASES:
-            self.bases = {b"": b""}
-        keys, first, place = np.unique(words.hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.keys, keys), max(0, self.keys.size - 1))
-        known = self.keys[at] == keys if self.keys.size else np.zeros(keys.size, dtype=bool)
-        starts, lengths = words.starts, words.ends - words.starts
-        again, seen = np.flatnonzero(starts != starts[first][place]), np.flatnonzero(known)
-        model = first[place[again]]
-        if not (
-            _equal(words.data, starts[again], lengths[again], words.data, starts[model], lengths[model])
-            and _equal(words.data, starts[first[seen]], lengths[first[seen]], self.letters, self.spells[at[seen]], self.lengths[at[seen]])
-        ):
-            return self._one_by_one(words)
-        new = np.flatnonzero(~known)
-        if new.size:
-            raw, bases, n = words.raw, self.bases, first[new]
-            spelt = [raw[s:e] for s, e in zip(starts[n].tolist(), words.ends[n].tolist(), strict=True)]
-            cut = [self._cut(w) for w in spelt]
-            self._learn([w for w in {part for pair in cut for part in pair} if w not in bases])
-            codes = [bases[b] + bases[t] for b, t in cut]
-            sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
-            begins, spells = self.table.size + np.cumsum(sizes) - sizes, self.letters.size + np.cumsum(lengths[n]) - lengths[n]
-            self.table = np.concatenate((self.table, np.frombuffer(b"".join(codes), dtype="<u4")))
-            self.letters = np.concatenate((self.letters, np.frombuffer(b"".join(spelt), dtype=np.uint8)))
-            order = np.argsort(np.concatenate((self.keys, keys[new])), kind="stable")
-            columns = ("keys", keys[new]), ("begins", begins), ("sizes", sizes), ("spells", spells), ("lengths", lengths[n])
-            for name, more in columns:
-                setattr(self, name, np.concatenate((getattr(self, name), more))[order])
-            at = np.searchsorted(self.keys, keys)
-        own = self.sizes[at][place]
-        ends = np.cumsum(own)
-        ids = self.table[np.repeat(self.begins[at][place] - (ends - own), own) + np.arange(own.sum())]
-        return ids, np.concatenate(([0], ends))
+            for piece, lo, hi in zip(part, cut, cut[1:], strict=False):
+                out[piece] = raw[4 * lo : 4 * hi]
+        return out
+
+    def _codes(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces, from the memory where they are known."""
+        codes = list(map(self.memory.get, pieces))
+        missing = [p for p, c in zip(pieces, codes, strict=True) if c is None]
+        if not missing:
+            return codes
+        found = {p: self.older[p] for p in missing if p in self.older}
+        found |= self._learn([p for p in missing if p not in found])
+        if self.held > MEMORY_BYTES:
+            self.older, self.memory, self.held = self.memory, {}, 0
+        self.memory |= found
+        self.held += sum(len(p) + len(c) + ENTRY_BYTES for p, c in found.items())
+        return [found[p] if c is None else c for p, c in zip(pieces, codes, strict=True)]
 
     def encode_column(self, column: pa.Array) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        for _, _, words in K.batch_words(column, most=SLICE_BYTES):
-            ids, ends = self._codes(words)
-            for lo, hi in itertools.pairwise(ends[words.bounds].tolist()):
-                yield ids[lo:hi].tobytes()
+        data, offsets = K.text_buffers(column)
+        for first, end in K.slices(offsets, SLICE_BYTES):
+            lo, hi = offsets[first], offsets[end]
+            pieces, bounds = self._pieces(data[lo:hi], offsets[first : end + 1] - lo)
+            met = pieces.dictionary_encode()
+            codes = self._codes(met.dictionary.to_numpy(zero_copy_only=False).tolist())
+            coded = pa.array(codes, pa.large_binary()).take(met.indices)
+            _, places, ids = coded.buffers()
+            raw = memoryview(ids or b"")
+            places = np.frombuffer(places, dtype=np.int64)[: len(coded) + 1] if len(coded) else np.zeros(1, np.int64)
+            for a, b in itertools.pairwise(places[bounds].tolist()):
+                yield bytes(raw[a:b])
 
 
 _encoders: dict[str, WordEncoder] = {}
