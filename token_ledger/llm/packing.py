@@ -29,7 +29,7 @@ from .runtime import shuffle_partitions, small_batches, staged
 CAPACITY = 2048
 END_ID = 0
 #: Bytes of pieces that a Python worker remembers before it begins anew; of the memory before, it keeps what it meets.
-MEMORY_BYTES = 100_000_000
+MEMORY_BYTES = 60_000_000
 #: What Python takes for a piece in the memory besides its letters and ids.
 ENTRY_BYTES = 180
 #: Bytes of text that are looked up at once.
