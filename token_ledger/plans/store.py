@@ -136,19 +136,18 @@ def _holding(spark: SparkSession, root: str, at: Pointer, table: str, by: DataFr
     return index.join(by, by.columns, "left_semi").select(*PARTITION).distinct()
 
 
-def _write_version(merged: DataFrame, root: str, version: str) -> None:
-    """Events, hours and indexes of the version's partitions."""
-    tables = {
+def _version_tables(merged: DataFrame) -> dict[str, DataFrame]:
+    """Events, hours and indexes of the partitions that rows make up."""
+    return {
         "events": merged,
         "hours": hourly_rollup(merged).withColumns({"cost_usd": F.col("cost_usd").cast(MONEY), "day_utc": F.to_date("hour_utc")}),
         "keys": merged.select(*PARTITION, _fingerprint(F.col("dedup_key"))).distinct(),
         "files": merged.select(*PARTITION, "source_file_path").distinct(),
     }
-    _write_tables(tables, root, version)
 
 
-def _write_tables(tables: dict[str, DataFrame], root: str, version: str) -> None:
-    """The tables of a version; a large partition is dealt over many tasks."""
+def _write_version(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """The tables of a version; a large partition is dealt over many tasks. Every version, merged or moved, is written here."""
     for name, rows in tables.items():
         rows, place = rows.hint("rebalance", *PARTITION), f"{root}/{name}/version={version}"
         if name == "events":
@@ -176,7 +175,7 @@ def write_events(incoming: DataFrame, root: str, state: DataFrame | None = None,
         if version is None:
             version = uuid.uuid4().hex
             merged, touched, days = _merged(spark, root, base, incoming, keys, gone)
-            _write_version(merged, root, version)
+            _write_version(_version_tables(merged), root, version)
         at = _commit_tables(spark, root, base, version, merged, touched, days, state, gone)
         if storage.create_once(spark, f"{root}/pointers/{at.number:012d}.json", json.dumps(asdict(at))):
             return version
@@ -267,7 +266,7 @@ def compact_versions(spark: SparkSession, root: str, fewest: int = 64, tries: in
         return None
     version = uuid.uuid4().hex
     # Hours and indexes are those of the same rows: they are moved like these, not told anew.
-    _write_tables({name: _partitions(spark, root, base, name, due) for name in PARTS}, root, version)
+    _write_version({name: _partitions(spark, root, base, name, due) for name in PARTS}, root, version)
     for _ in range(tries):
         listing = _listing(spark, root, base)
         still = listing.join(due, [*PARTITION, "version"], "left_semi").select(*PARTITION, F.lit(version).alias("version"))
