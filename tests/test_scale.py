@@ -181,3 +181,28 @@ def test_values_are_carried_over_blocks_without_a_join(spark):
     assert "Join" not in _plan(out)
     want = [(i, 17 if i > 17 else 3 if i > 3 else None, 3 if i <= 3 else 17 if i <= 17 else None) for i in range(30)]
     assert sorted((r["line"], r["last"], r["next"]) for r in out.collect()) == want
+
+
+def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
+    """Beyond a few, files are rows: none is listed in the driver, each is read where its row is, and lines are those of Spark's reader."""
+    import gzip
+
+    from token_ledger.sources.lines import read_lines
+
+    for n in range(150):
+        (tmp_path / f"s={n % 70}" / "deep er").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"s={n % 70}" / "deep er" / f"{n}+%41.jsonl").write_bytes(f"{n},0\r\n\n \n{n},3\rnot\n\n".encode() * (1 + 300 * (n == 7)) + b"last" * (n % 2))
+    for name in ("_hidden.jsonl", ".x.jsonl", "other.txt", "_temporary/a.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"no\n")
+    (tmp_path / "mark.jsonl").write_bytes(b"\xef\xbb\xbf\xc3\xa4\n")
+    (tmp_path / "broken.jsonl").write_bytes(b"\xff\xfe\n")
+    (tmp_path / "empty.jsonl").write_bytes(b"")
+    (tmp_path / "x[1].jsonl.gz").write_bytes(gzip.compress(b"packed\nlines\n"))
+    for glob in ("*.jsonl", "*"):
+        for whole in (1_000, 4 << 20):
+            few, many = (read_lines(spark, str(tmp_path), glob, whole, limit) for limit in (1_000, 0))
+            want, got = (sorted(map(tuple, df.selectExpr("file_path", "line", "hex(value) AS value", "modified_at").collect())) for df in (few, many))
+            assert got == want and len(got) > 150 * 4
+    plan = _plan(read_lines(spark, str(tmp_path), few=0))
+    assert "FileScan text" not in plan and "MapInArrow" in plan

@@ -25,11 +25,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def can_stage(spark: SparkSession) -> bool:
+    """Whether there is a place for shared folders."""
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors share, under ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local["):
+        if not can_stage(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="ledger-")
         spark.conf.set("spark.checkpoint.dir", place)
