@@ -206,3 +206,78 @@ def test_many_files_are_listed_and_read_by_tasks(spark, tmp_path):
             assert got == want and len(got) > 150 * 4
     plan = _plan(read_lines(spark, str(tmp_path), few=0))
     assert "FileScan text" not in plan and "MapInArrow" in plan
+
+
+def test_planning_opens_no_file_and_holds_none(tmp_path, monkeypatch):
+    """A plan takes a listing only; what it leaves in the driver is 24 bytes a file and a few names of parts."""
+    import pickle
+
+    from token_ledger.sources import tail
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    for n in range(3_000):
+        (logs / f"{n:04d}.jsonl").write_text(f"{n},0\n{n}")
+    opened = tail.opened
+    monkeypatch.setattr(tail, "opened", None)
+    reader = tail.TailReader({"path": str(logs), "log": str(tmp_path / "plans")})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    held = reader.planner.offsets
+    assert held.keys.nbytes + held.ends.nbytes == 24 * 3_000 and len(pickle.dumps(parts)) < 5_000
+    monkeypatch.setattr(tail, "opened", opened)
+    lines = lambda parts: sorted(r["value"] for p in parts for b in reader.read(p) for r in b.to_pylist() if r["value"])
+    assert lines(parts) == sorted(f"{n},0" for n in range(3_000))
+    for n in range(0, 3_000, 2):
+        (logs / f"{n:04d}.jsonl").write_text(f"{n},0\n{n},1\n{n}")
+    again = tail.TailReader({"path": str(logs), "log": str(tmp_path / "plans")})
+    assert lines(again.partitions({"plan": 1}, again.latestOffset())) == sorted(f"{n},1" for n in range(0, 3_000, 2))
+    assert again.latestOffset() == {"plan": 2}
+
+
+def test_plans_are_snapshot_and_files_reset_between_plans(tmp_path):
+    from token_ledger.sources import tail
+
+    logs, options = tmp_path / "logs", {"log": str(tmp_path / "plans"), "chunkbytes": 4}
+    logs.mkdir()
+    options["path"] = str(logs)
+    for n in range(1, 20):
+        (logs / "a").write_text("".join(f"a{i}\n" for i in range(n)))
+        (logs / "b").write_text("".join(f"b{n}.{i}\n" for i in range(1 + n % 3)))
+        assert tail.TailReader(options).latestOffset() == {"plan": n}
+    assert len(list((tmp_path / "plans").glob("offsets-*"))) == 1
+    reader = tail.TailReader(options)
+    rows = [r for p in reader.partitions({"plan": 10}, {"plan": 19}) for b in reader.read(p) for r in b.to_pylist() if r["value"]]
+    assert [r["value"] for r in rows if r["file_path"].endswith("a")] == [f"a{i}" for i in range(10, 19)]
+    assert sorted({r["value"] for r in rows if r["file_path"].endswith("b")}) == ["b19.0", "b19.1"] and len(rows) == 11
+    assert all(r["reset"] for r in rows if r["file_path"].endswith("b"))
+
+
+def test_another_file_by_a_name_is_read_anew(spark, tmp_path):
+    """A file that has grown but doesn't go on where its lines ended is reset, without a look at it in the driver."""
+    from token_ledger.session import configure
+    from token_ledger.streaming.streams import stream_tail
+
+    logs, kept, seen = tmp_path / "logs", [], []
+    logs.mkdir()
+
+    def sink(lines, state, reset):
+        seen.append((sorted((r["file_path"][-7], r["line"], r["value"]) for r in lines.collect()), sorted(r["file_path"][-7] for r in reset.collect())))
+        rows = {r["file_path"]: r for r in (kept[-1].collect() if kept else [])} | {r["file_path"]: r for r in state.collect()}
+        kept.append(spark.createDataFrame(list(rows.values()), state.schema))
+
+    def follow():
+        stream_tail(configure(spark), str(logs), sink, f"file://{tmp_path}/check", lambda: kept[-1] if kept else None, available_now=True, chunk_bytes=8).awaitTermination()
+
+    (logs / "a.jsonl").write_text("one\ntwo\nthr")
+    (logs / "b.jsonl").write_text("one\ntwo\nthr")
+    (logs / "c.jsonl").write_text("thr")
+    follow()
+    assert seen[-1] == ([(f, n, v) for f in "ab" for n, v in enumerate(("one", "two"))], [])
+    (logs / "a.jsonl").write_text("one\ntwo\nthree\nfour\n")
+    (logs / "b.jsonl").write_text("another one\nline here\nand more\ncut")
+    (logs / "c.jsonl").write_text("three\n")
+    follow()
+    assert seen[-1] == ([("a", 2, "three"), ("a", 3, "four"), ("b", 0, "another one"), ("b", 1, "line here"), ("b", 2, "and more"), ("c", 0, "three")], ["b"])
+    (logs / "b.jsonl").write_text("another one\nline here\nand more\ncut off\n")
+    follow()
+    assert seen[-1] == ([("b", 3, "cut off")], [])

@@ -57,25 +57,23 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl", whole_byte
     """
     if (root := listing.known_place(spark, path)) and listing.plain(glob) and can_stage(spark):
         found = listing.list_files(spark, root, glob)
-        n, size = found.agg(F.count(F.lit(1)), F.sum(F.col("length") + listing.OPEN_COST)).first()
-        if n > few:
-            return lines_of(found, root, whole_bytes, size).filter(F.trim("value") != "")
+        if found.count() > few:
+            return lines_of(found, root, whole_bytes).filter(F.trim("value") != "")
     size, files = F.col("_metadata.file_size"), spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
     # Files are left out by their size before they are opened.
     small = files.text(path, wholetext=True).filter(size <= whole_bytes).select("value", *_place())
     return _cut(small).unionByName(_cut_by_blocks(files.text(path).filter(size > whole_bytes))).filter(F.trim("value") != "")
 
 
-def lines_of(files: DataFrame, root: str, whole_bytes: int = WHOLE_BYTES, size: int | None = None) -> DataFrame:
+def lines_of(files: DataFrame, root: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """``file_path, line, value, modified_at`` of all lines of a table of files below a folder (``listing.FILES``), blank ones too.
 
-    Small files are read in the tasks that their rows are in, or dealt anew where their
-    ``size`` is given; only names of large and packed ones go through the driver, to Spark's reader.
+    Small files are dealt to tasks as rows and read there; only names of large and packed ones
+    go through the driver, to Spark's reader. The table is read more than once.
     """
     apart = (F.col("length") > whole_bytes) | F.lower("uri").rlike(_PACKED)
     names = [r["uri"] for r in files.filter(apart).select("uri").collect()]
-    small = files.filter(~apart)
-    out = _cut(listing.whole_files(small if size is None else listing.by_tasks(small, size), root))
+    out = _cut(listing.whole_files(listing.by_tasks(files.filter(~apart)), root))
     if not names:
         return out
     escaped = [re.sub(r"([*?\[\]{}\\])", r"\\\1", n) for n in names]

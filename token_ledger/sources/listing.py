@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from fnmatch import fnmatchcase
+from fnmatch import fnmatchcase, translate
 from functools import partial, reduce
 from itertools import islice
 
@@ -25,7 +25,7 @@ WIDE = 64
 #: Rows of a batch of files, bytes of files that a task reads, and what opening one counts as.
 BATCH, TASK_BYTES, OPEN_COST = 10_000, 64 << 20, 32 << 10
 FILES = "uri string, file_path string, length bigint, modified_at timestamp"
-_FOUND = pa.schema([("uri", pa.string()), ("file_path", pa.string()), ("length", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
+FOUND = pa.schema([("uri", pa.string()), ("file_path", pa.string()), ("length", pa.int64()), ("modified_at", pa.timestamp("us", "UTC"))])
 
 
 def system_of(uri: str) -> tuple[fs.FileSystem, str, str]:
@@ -70,13 +70,13 @@ def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | Non
     try:
         with os.scandir(folder) as found:
             for e in found:
-                try:
-                    stat = e.stat()
-                except FileNotFoundError:
-                    continue
                 if e.is_dir():
                     yield e.name, None, 0
                 elif e.is_file():
+                    try:
+                        stat = e.stat()
+                    except FileNotFoundError:
+                        continue
                     yield e.name, stat.st_size, stat.st_mtime_ns
     except FileNotFoundError:
         return
@@ -84,7 +84,7 @@ def entries(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, int | Non
 
 def walk(system: fs.FileSystem, folder: str, glob: str, skip=lambda name: False) -> Iterator[tuple[str, int, int]]:
     """(path, bytes, nanoseconds) of the files below a folder; one folder is listed at a time."""
-    due = [folder.rstrip("/")]
+    due, named = [folder.rstrip("/")], re.compile(translate(glob)).match
     while due:
         at = due.pop()
         for name, size, changed in entries(system, at):
@@ -92,7 +92,7 @@ def walk(system: fs.FileSystem, folder: str, glob: str, skip=lambda name: False)
                 continue
             if size is None:
                 due.append(f"{at}/{name}")
-            elif fnmatchcase(name, glob):
+            elif named(name):
                 yield f"{at}/{name}", size, changed
 
 
@@ -117,7 +117,7 @@ def _list(root: str, glob: str, deep: bool, batches: Iterator[pa.RecordBatch]) -
         paths, sizes, changed = zip(*held, strict=True)
         # Spark tells milliseconds of a file.
         at = [c // 1_000_000 * 1000 for c in changed]
-        yield pa.RecordBatch.from_arrays([pa.array([before + p for p in paths]), pa.array([shown + p for p in paths]), pa.array(sizes, pa.int64()), pa.array(at, pa.timestamp("us", "UTC"))], schema=_FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array([before + p for p in paths]), pa.array([shown + p for p in paths]), pa.array(sizes, pa.int64()), pa.array(at, pa.timestamp("us", "UTC"))], schema=FOUND)
 
 
 def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
@@ -165,6 +165,7 @@ def whole_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("uri", "file_path", "modified_at").mapInArrow(partial(_contents, root), "file_path string, value binary, modified_at timestamp").withColumn("value", F.col("value").cast("string"))
 
 
-def by_tasks(files: DataFrame, size: int) -> DataFrame:
-    """The same files, of ``size`` bytes with ``OPEN_COST`` for each, dealt to tasks of about ``TASK_BYTES``."""
+def by_tasks(files: DataFrame) -> DataFrame:
+    """The same files, dealt to tasks of about ``TASK_BYTES``, where opening one counts as ``OPEN_COST``."""
+    size = files.agg(F.sum(F.col("length") + OPEN_COST)).first()[0] or 0
     return files.repartition(max(-(-size // TASK_BYTES), files.sparkSession.sparkContext.defaultParallelism), "uri")

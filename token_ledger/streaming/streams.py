@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.counters import COUNTER_FIELDS, FALLBACK_MODEL, REVIEW_MODEL, REVIEW_SINCE, REVIEW_TARGET
 from ..schema import TOKENS
+from ..session import staged
 
 
 def stream_ingest(spark: SparkSession, path: str, scan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, interval: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
@@ -47,16 +49,30 @@ def number_lines(rows: DataFrame, known: DataFrame | None) -> tuple[DataFrame, D
     if known is None:
         known = rows.sparkSession.createDataFrame([], "file_path string, byte_offset bigint, line_index bigint")
     chunks = chunks.join(known.select("file_path", "byte_offset", "line_index"), "file_path", "left")
+    chunks = chunks.filter("n > 0 OR reset")  # a part of a line changes nothing yet
     fresh = F.col("reset") | F.col("byte_offset").isNull() | (F.col("chunk") >= F.col("byte_offset"))
     order = Window.partitionBy("file_path").orderBy("chunk")
     started = F.when(F.col("reset"), 0).otherwise(F.coalesce("line_index", F.lit(0)))
-    chunks = chunks.filter(fresh).withColumn("before", started + F.sum("n").over(order) - F.col("n"))
-    lines = rows.drop("reset", "modified_at").join(chunks.select("file_path", "chunk", "before", "modified_at"), ["file_path", "chunk"])
+    # Lines, state and resets each need the chunks, which are few against the lines.
+    chunks = staged(chunks.filter(fresh).withColumn("before", started + F.sum("n").over(order) - F.col("n")), "tail-chunks")
+    lines = rows.select("file_path", "chunk", "row", "value").join(chunks.select("file_path", "chunk", "before", "modified_at"), ["file_path", "chunk"])
     lines = lines.select("file_path", (F.col("before") + F.col("row")).alias("line"), "value", "modified_at").filter(F.trim("value") != "")
     state = chunks.groupBy("file_path").agg(F.max("end").alias("byte_offset"), F.max(F.col("before") + F.col("n")).alias("line_index"), F.max("end").alias("file_size"), F.max("modified_at").alias("file_mtime"))
     return lines, state, chunks.filter("reset").select("file_path").distinct()
 
 
+def void_files(rows: DataFrame, known: DataFrame | None) -> DataFrame | None:
+    """``file_path, last, modified_at`` of files that were continued but don't go on where the state says: others by the same name.
+
+    A file's first new lines begin behind its last line end before; chunks that the state is beyond have been taken in.
+    """
+    if known is None:
+        return None
+    firsts = rows.filter("begin IS NOT NULL AND NOT reset").join(known.select("file_path", "byte_offset"), "file_path").filter("chunk >= byte_offset")
+    each = firsts.groupBy("file_path").agg(F.min_by("begin", "chunk").alias("begin"), F.max("byte_offset").alias("byte_offset"), F.max("last").alias("last"), F.max("modified_at").alias("modified_at"))
+    return each.filter("begin != byte_offset").select("file_path", "last", "modified_at")
+
+
 def stream_tail(spark: SparkSession, path: str, sink: Callable[[DataFrame, DataFrame, DataFrame], None], checkpoint: str, known: Callable[[], DataFrame | None], glob: str = "*.jsonl", interval: str = "10 seconds", available_now: bool = False, chunk_bytes: int | None = None) -> StreamingQuery:
     """Follows a folder of growing files; each batch's new lines go to ``sink(lines, state, reset)``.
 
@@ -65,14 +81,20 @@ def stream_tail(spark: SparkSession, path: str, sink: Callable[[DataFrame, DataF
     the state that the sink has kept. A sink that commits lines, state and resets together
     (``plans.store.write_events``) takes every line once, whatever batch runs again.
     """
-    from ..session import staged
-    from ..sources.tail import CHUNK_BYTES, TailSource
+    from ..sources.tail import CHUNK_BYTES, SCHEMA, TailSource, read_again
 
     spark.dataSource.register(TailSource)
-    rows = spark.readStream.format("tail").options(path=path, glob=glob, log=f"{checkpoint.rstrip('/')}-plans", chunkBytes=chunk_bytes or CHUNK_BYTES).load()
+    chunk = chunk_bytes or CHUNK_BYTES
+    rows = spark.readStream.format("tail").options(path=path, glob=glob, log=f"{checkpoint.rstrip('/')}-plans", chunkBytes=chunk).load()
 
     def handle(batch: DataFrame, _: int) -> None:
-        sink(*number_lines(staged(batch, "tail-lines"), known()))
+        new, was = staged(batch, "tail-lines"), known()
+        void = void_files(new, was)
+        if void is not None and not (void := staged(void, "tail-void")).isEmpty():
+            start = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") - 1, F.lit(chunk).cast("bigint"))).alias("start")
+            chunks = void.select("file_path", start, "last", F.col("modified_at").cast("double").alias("modified")).withColumn("stop", F.least(F.col("start") + chunk, "last"))
+            new = new.join(void, "file_path", "left_anti").unionByName(staged(chunks.repartition("file_path", "start").mapInArrow(partial(read_again, path), SCHEMA), "tail-again"))
+        sink(*number_lines(new, was))
 
     writer = rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
