@@ -281,3 +281,45 @@ def test_another_file_by_a_name_is_read_anew(spark, tmp_path):
     (logs / "b.jsonl").write_text("another one\nline here\nand more\ncut off\n")
     follow()
     assert seen[-1] == ([("b", 3, "cut off")], [])
+
+
+def test_rolled_files_are_ingested_without_a_shuffle_of_lines(spark, tmp_path, monkeypatch):
+    """Rolled files are taken once, whole, with the lines that Spark's own stream of files gives."""
+    import gzip
+
+    from token_ledger.session import configure
+    from token_ledger.sources import listing
+    from token_ledger.streaming.streams import stream_ingest
+
+    logs, plans = tmp_path / "logs", []
+    (logs / "deep").mkdir(parents=True)
+
+    def follow(check):
+        got = []
+
+        def sink(batch):
+            plans.append(_plan(batch))
+            got.extend(sorted((r["file_path"].rsplit("/", 1)[1], r["line"], r["value"], r["modified_at"]) for r in batch.collect()))
+
+        stream_ingest(configure(spark), str(logs), lambda rows: rows, sink, f"file://{tmp_path}/{check}", available_now=True).awaitTermination()
+        return got
+
+    def both():
+        new = follow("rolled")
+        with monkeypatch.context() as m:
+            m.setattr(listing, "known_place", lambda *_: None)
+            return new, follow("text")
+
+    for n in range(30):
+        (logs / "deep" / f"{n} +%.txt").write_bytes(f"{n},0\r\n\n \n{n},3".encode() + b"\n" * (n % 3))
+    (logs / "p.log.gz").write_bytes(gzip.compress(b"packed\n\nlines"))
+    (logs / "_hidden").write_bytes(b"no\n")
+    (logs / "none").write_bytes(b"")
+    new, old = both()
+    assert new == old and len(new) > 120
+    (logs / "late").write_bytes(b"late\n")
+    (logs / "deep" / "0 +%.txt").write_bytes(b"0,0\nrolled files are taken once\n")
+    new, old = both()
+    assert [r[:3] for r in new] == [r[:3] for r in old] == [("late", 0, "late")]
+    assert "Window" not in plans[-2] and "Sort" not in plans[-2]
+    assert follow("rolled") == []

@@ -20,21 +20,38 @@ from ..session import staged
 def stream_ingest(spark: SparkSession, path: str, scan: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame], None], checkpoint: str, interval: str = "10 seconds", available_now: bool = False) -> StreamingQuery:
     """Follows a folder of rolled (immutable) log files; each batch of lines goes through ``scan`` to ``sink``.
 
-    ``scan`` takes ``file_path, line, value, modified_at``. Lines are numbered in a batch, where
-    a rolled file arrives whole. The sink upserts, so a batch that runs again changes nothing.
+    ``scan`` takes ``file_path, line, value, modified_at``. A rolled file arrives whole and is
+    taken once. Files are planned by the ``rolled`` source and read where their rows are, without
+    a shuffle. Spark's own stream of files is used where pyarrow doesn't know the file system,
+    and where a checkpoint goes on that began with it. The sink upserts, so a batch that runs
+    again changes nothing.
     """
+    from ..plans.storage import names
+    from ..sources.lines import lines_of
+    from ..sources.listing import known_place
+    from ..sources.tail import RolledSource
+
+    root, log = known_place(spark, path), f"{checkpoint.rstrip('/')}-plans"
+    if root is None or (names(spark, f"{checkpoint}/sources/0") and not names(spark, log)):
+        rows, lines = _text_stream(spark, path), _number_batch
+    else:
+        spark.dataSource.register(RolledSource)
+        rows, lines = spark.readStream.format("rolled").options(path=root, log=log).load(), lambda batch: lines_of(staged(batch, "rolled-files"), root)
+    writer = rows.writeStream.foreachBatch(lambda batch, _: sink(scan(lines(batch)))).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+
+
+def _text_stream(spark: SparkSession, path: str) -> DataFrame:
     from ..sources.lines import plain_path
 
     raw = spark.readStream.option("recursiveFileLookup", True).text(path)
-    raw = raw.select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_modification_time").alias("modified_at"))
+    return raw.select("value", plain_path(F.col("_metadata.file_path")).alias("file_path"), F.col("_metadata.file_block_start").alias("_block"), F.col("_metadata.file_modification_time").alias("modified_at"))
 
-    def handle(batch: DataFrame, _: int) -> None:
-        numbered = batch.withColumn("_id", F.monotonically_increasing_id())
-        line = F.row_number().over(Window.partitionBy("file_path").orderBy("_block", "_id")).cast("bigint") - 1
-        sink(scan(numbered.withColumn("line", line).select("file_path", "line", "value", "modified_at")))
 
-    writer = raw.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)).start()
+def _number_batch(batch: DataFrame) -> DataFrame:
+    numbered = batch.withColumn("_id", F.monotonically_increasing_id())
+    line = F.row_number().over(Window.partitionBy("file_path").orderBy("_block", "_id")).cast("bigint") - 1
+    return numbered.withColumn("line", line).select("file_path", "line", "value", "modified_at")
 
 
 def number_lines(rows: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
