@@ -323,3 +323,17 @@ def test_rolled_files_are_ingested_without_a_shuffle_of_lines(spark, tmp_path, m
     assert [r[:3] for r in new] == [r[:3] for r in old] == [("late", 0, "late")]
     assert "Window" not in plans[-2] and "Sort" not in plans[-2]
     assert follow("rolled") == []
+
+
+def test_a_file_that_shrank_to_nothing_is_told_though_gone(tmp_path):
+    from token_ledger.sources import tail
+
+    logs, options = tmp_path / "logs", {"path": str(tmp_path / "logs"), "log": str(tmp_path / "plans")}
+    logs.mkdir()
+    (logs / "a").write_text("one\n")
+    tail.TailReader(options).latestOffset()
+    (logs / "a").write_text("")
+    reader = tail.TailReader(options)
+    parts = reader.partitions({"plan": 1}, reader.latestOffset())
+    (logs / "a").unlink()
+    assert [(r["row"], r["end"], r["reset"]) for p in parts for b in reader.read(p) for r in b.to_pylist()] == [(None, 0, True)]

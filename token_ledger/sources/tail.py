@@ -295,6 +295,9 @@ def read_ranges(system: fs.FileSystem, ranges: Iterable[Range]) -> Iterator[pa.R
     size = 0
     for r in ranges:
         at, begin, row = int(r.modified * 1_000_000), r.start, 0
+        if r.start == r.stop:  # it has shrunk to nothing and may be gone since
+            held.append((r.path, r.start, None, begin, None, at, r.reset, begin, r.last))
+            continue
         with opened(system, r.path) as file:
             if r.first and r.start:
                 begin = last_line_end(file, 0, r.start, 1 << 12)
